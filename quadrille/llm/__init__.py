@@ -1,0 +1,11 @@
+"""Training-data operators: ten building blocks of a text corpus pipeline.
+
+Nothing outside this subpackage imports it.  Functions that run in Python workers are pickled by value,
+so a cluster needs no copy of the package on its executors.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
