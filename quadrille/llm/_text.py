@@ -95,14 +95,17 @@ def word_spans(data, offs):
     return s, e, np.searchsorted(s, offs)
 
 
-def span_hashes(data, starts, ends, table=None, pows=None):
-    """64-bit hash of each byte span."""
-    if not len(starts):
-        return np.zeros(0, _U)
+def span_hasher(data, table=None, pows=None):
+    """A function from byte spans (starts, ends) of data to their 64-bit hashes."""
     fwd, back = pows if pows is not None and len(pows[0]) > len(data) else powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=_U)
     np.cumsum((BYTES if table is None else table)[data] * fwd[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(_U))
+    return lambda starts, ends: mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(_U))
+
+
+def span_hashes(data, starts, ends, table=None, pows=None):
+    """64-bit hash of each byte span."""
+    return span_hasher(data, table, pows)(starts, ends)
 
 
 def shingles(words, first, n):

@@ -1,12 +1,20 @@
 """The registered queries of the training-data operators and the SQL of those that SQL can express."""
 
+from pyspark.sql import functions as F
+
 from .near_dup import near_duplicates
+from .toxicity import held_out, toxicity
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_crf_toxicity(spark, sf_dir):
+    scored = toxicity(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op9_minhash_near_dup(spark, sf_dir):
     return near_duplicates(spark, _read(spark, sf_dir, "documents"), n=4, percent=80)
 
