@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from . import mixing
 from .near_dup import near_duplicates
 from .toxicity import held_out, toxicity
 
@@ -10,6 +11,10 @@ def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_pfair_mix(spark, sf_dir):
+    return mixing.mix(spark, _read(spark, sf_dir, "documents"))
+
+
 def op5_crf_toxicity(spark, sf_dir):
     scored = toxicity(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
@@ -30,4 +35,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op4_pfair_mix": mixing.ORACLE}
