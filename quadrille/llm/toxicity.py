@@ -160,40 +160,51 @@ def fit(texts, toxic, prior=None, rounds=30, rate=0.4, ridge=1e-4, sure=18.0, wi
     model = {"w": np.zeros(1 << BITS, np.float32), "bias": -6.0, "trans": np.zeros((2, 2)), "start": np.zeros(2), "doc": np.zeros(4), "base": base}
     if not len(toxic) or base in (0.0, 1.0):
         return model
-    data, offs = string_buffers(texts)
-    data = folded(data)
-    s, e, first = token_spans(data, offs)
-    grams, valid = shingles(span_hashes(data, s, e), first, 4)
-    grams[~valid] = np.uint64(2**64 - 1)
-    counts = np.diff(first)
-    full = np.flatnonzero(counts)
-    lowest = np.arange(len(toxic), dtype=np.uint64)
-    if len(full):
-        lowest[full] = np.minimum.reduceat(grams, first[full])
+    xs_, counts, lowest = [], [], []
+    for part in small_batches([pa.RecordBatch.from_arrays([texts], names=["text"])]):  # bounded working memory
+        data, offs = string_buffers(part.column(0))
+        data = folded(data)
+        s, e, f = token_spans(data, offs)
+        grams, valid = shingles(span_hashes(data, s, e), f, 4)
+        grams[~valid] = np.uint64(2**64 - 1)
+        c = np.diff(f)
+        low = mix(np.arange(len(c), dtype=np.uint64) + np.uint64(sum(map(len, counts))))
+        full = np.flatnonzero(c)
+        if len(full):
+            low[full] = np.minimum.reduceat(grams, f[full])
+        xs_.append(token_features(data, s, e))
+        counts.append(c)
+        lowest.append(low)
+    x, counts = np.concatenate(xs_), np.concatenate(counts)
+    del xs_
+    first = np.concatenate(([0], np.cumsum(counts)))
     own = np.zeros(len(toxic), dtype=bool)
-    own[np.unique(lowest, return_index=True)[1]] = True
-    x = token_features(data, s, e)
-    doc = np.repeat(np.arange(len(toxic)), counts)
+    own[np.unique(np.concatenate(lowest), return_index=True)[1]] = True
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), counts)
     bucket_docs = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
     for k in range(x.shape[1]):
         pairs = np.unique((doc.astype(np.int64) << BITS) | x[:, k])
         pairs = pairs[own[pairs >> BITS]]
         for v in (0, 1):
             bucket_docs[v] += np.bincount((pairs & ((1 << BITS) - 1))[toxic[pairs >> BITS] == v], minlength=1 << BITS)
-    g2 = association(bucket_docs[1], bucket_docs[0], max(1, (toxic[own] == 1).sum()), max(1, (toxic[own] == 0).sum()))
+    g2 = association(bucket_docs[1], bucket_docs[0], max(1, (toxic[own] == 1).sum()), max(1, (toxic[own] == 0).sum())).astype(np.float32)
     active = np.abs(g2) >= sure / 2
-    y = ((toxic[doc] == 1) & (g2[x].max(axis=1) >= sure)).astype(np.float64)
+    best = g2[x[:, 0]]
+    for k in range(1, x.shape[1]):
+        np.maximum(best, g2[x[:, k]], out=best)
+    y = ((toxic[doc] == 1) & (best >= sure)).astype(np.float32)
+    del doc, best
     # a bounded set of training chains, half of them with labelled tokens where there are so many
     heads = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b, window) for a, b, o in zip(first[:-1], first[1:], own) if o)])
     ends = np.minimum(heads + window, first[np.searchsorted(first, heads, side="right")])
     order = np.argsort(mix(heads.astype(np.uint64)), kind="stable")
-    summed = np.concatenate(([0], np.cumsum(y)))
+    summed = np.concatenate(([0], np.cumsum(y, dtype=np.int64)))
     marked = (summed[ends] - summed[heads] > 0)[order]
     some = order[marked][: windows // 2]
     chosen = np.sort(np.concatenate([some, order[~marked][: windows - len(some)]]))
     cut = np.concatenate(([0], np.cumsum(ends[chosen] - heads[chosen]))).astype(np.int64)
     at = np.repeat(heads[chosen] - cut[:-1], np.diff(cut)) + np.arange(cut[-1])
-    xs, ys = x[at], y[at]
+    xs, ys = x[at], y[at].astype(np.float64)
     flat = xs.reshape(-1)
     seen_t, seen_s = _pairwise_counts(ys, cut)
     w, bias, trans, start = np.zeros(1 << BITS), -4.0, np.zeros((2, 2)), np.zeros(2)
@@ -210,7 +221,10 @@ def fit(texts, toxic, prior=None, rounds=30, rate=0.4, ridge=1e-4, sure=18.0, wi
         trans = np.clip(trans + 2 * (seen_t - exp_t) / n, -3, 3)
         start = np.clip(start + 2 * (seen_s - exp_s) / max(1, len(cut) - 1), -3, 3)
     model |= {"w": w.astype(np.float32), "bias": bias, "trans": trans, "start": start}
-    z = document_features(marginals(model["w"][x].sum(axis=1, dtype=np.float64) + bias, first, trans, start), first)
+    z = np.zeros((len(toxic), 3))
+    for a in range(0, len(toxic), 100):
+        f = first[a : a + 101]
+        z[a : a + 100] = document_features(marginals(model["w"][x[f[0] : f[-1]]].sum(axis=1, dtype=np.float64) + bias, f - f[0], trans, start), f - f[0])
     z1, v = np.hstack([z, np.ones((len(z), 1))]), np.zeros(4)
     prior = base if prior is None else prior
     weight = np.where(toxic == 1, prior / base, (1 - prior) / (1 - base)) * own
@@ -275,7 +289,7 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def train(spark, docs, labels, per_class=2500):
+def train(spark, docs, labels, per_class=1500):
     """Fit on at most `per_class` toxic and as many clean labelled documents that aren't held out."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -290,7 +304,7 @@ def train(spark, docs, labels, per_class=2500):
     return fit(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("toxic").to_numpy(), share.get(1, 0) / max(1, sum(share.values())))
 
 
-def toxicity(spark, docs, labels, per_class=2500):
+def toxicity(spark, docs, labels, per_class=1500):
     """Score every document: rows (doc_id, score, spans); spans are code-point offsets with their highest marginal."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = spark.sparkContext.broadcast(train(spark, docs, labels, per_class))
