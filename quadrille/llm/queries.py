@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from . import mixing
+from .decontam import contamination
 from .near_dup import near_duplicates
 from .toxicity import held_out, toxicity
 
@@ -20,6 +21,10 @@ def op5_crf_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op8_simhash_decontam(spark, sf_dir):
+    return contamination(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_minhash_near_dup(spark, sf_dir):
     return near_duplicates(spark, _read(spark, sf_dir, "documents"), n=4, percent=80)
 
