@@ -1,2 +1,58 @@
-"""stub"""
-STAGES = []
+"""The corpus pipeline: five stages over documents, each a training-data operator whose decisions take effect."""
+
+from quadrille.llm import mixing
+from quadrille.llm._store import stored
+from quadrille.llm.decontam import contamination
+from quadrille.llm.near_dup import near_duplicates
+from quadrille.llm.passages import repeated_passages, without_passages
+from quadrille.llm.toxicity import toxicity
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents whose toxicity score is 0.5 or more go."""
+    scored = toxicity(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("score >= 0.5").select("doc_id").distinct()
+    return docs.join(scored, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """One document of each class of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    gone = near_duplicates(spark, docs, n=5, percent=80).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark, docs, sf_dir):
+    """Passages of 50 words or more that an earlier document holds are cut from the later one."""
+    return without_passages(spark, docs, repeated_passages(spark, docs))
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    hit = contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Every document's slot and place in the mixture of sources."""
+    return mixing.mix(spark, docs, keep=("text", "lang", "n_chars"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pfair_mix", mix_sources),
+]
+
+#: SQL can't express the stages of learnt scores, signatures and chains; tests hold them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    """All stages over documents, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(spark, docs, name)
+    return docs

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from . import mixing
 from .decontam import contamination
 from .near_dup import near_duplicates
+from .passages import repeated_passages
 from .toxicity import held_out, toxicity
 
 
@@ -12,6 +13,10 @@ def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_chained_passages(spark, sf_dir):
+    return repeated_passages(spark, _read(spark, sf_dir, "documents"))
+
+
 def op4_pfair_mix(spark, sf_dir):
     return mixing.mix(spark, _read(spark, sf_dir, "documents"))
 
