@@ -7,6 +7,7 @@ from .decontam import contamination
 from .near_dup import near_duplicates
 from .passages import repeated_passages
 from .toxicity import held_out, toxicity
+from .url_rules import judge
 
 
 def _read(spark, sf_dir, table):
@@ -17,6 +18,10 @@ def op1_chained_passages(spark, sf_dir):
     return repeated_passages(spark, _read(spark, sf_dir, "documents"))
 
 
+def op2_url_rules(spark, sf_dir):
+    return judge(spark, _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+
+
 def op4_pfair_mix(spark, sf_dir):
     return mixing.mix(spark, _read(spark, sf_dir, "documents"))
 
