@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from . import mixing
 from .decontam import contamination
+from .html_main import main_texts
 from .near_dup import near_duplicates
 from .passages import repeated_passages
 from .toxicity import held_out, toxicity
@@ -31,6 +32,10 @@ def op5_crf_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op7_tag_path_text(spark, sf_dir):
+    return main_texts(spark, _read(spark, sf_dir, "pages"))
+
+
 def op8_simhash_decontam(spark, sf_dir):
     return contamination(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
