@@ -62,49 +62,58 @@ def token_features(data, s, e, pows=None):
     return out
 
 
+def running_products(m, lanes):
+    """Running products of a stream of 2 x 2 matrices m (2, 2, n), each scaled to sum 1, as vectors: v[t] = (1, 1) m[0] ... m[t].
+
+    The stream is cut into lanes of equal length; all lanes advance together, then each is entered with the vector that
+    the lanes before it leave.
+    """
+    n = m.shape[2]
+    steps = -(-n // lanes)
+    p = np.zeros((steps * lanes, 2, 2))
+    p[:, 0, 0] = p[:, 1, 1] = 1
+    p[:n] = m.transpose(2, 0, 1)
+    p = np.ascontiguousarray(p.reshape(lanes, steps, 2, 2).transpose(1, 2, 3, 0))
+    for t in range(1, steps):
+        x, y = p[t - 1], p[t]
+        z = x[:, :1] * y[0]
+        z += x[:, 1:] * y[1]
+        z /= z.sum(axis=(0, 1))
+        p[t] = z
+    enter, v0, v1 = np.empty((2, lanes)), 0.5, 0.5
+    for k, (a, b, c, d) in enumerate(zip(*(p[-1, i, j].tolist() for i in (0, 1) for j in (0, 1)))):
+        enter[0, k], enter[1, k] = v0, v1
+        v0, v1 = v0 * a + v1 * c, v0 * b + v1 * d
+        s = v0 + v1
+        v0, v1 = v0 / s, v1 / s
+    out = p[:, 0] * enter[0]
+    out += p[:, 1] * enter[1]  # (steps, 2, lanes)
+    return out.transpose(1, 2, 0).reshape(2, -1)[:, :n]
+
+
 def marginals(emit, first, trans, start):
-    """P(tag 1) per token: forward-backward by a segmented scan over normalised 2 x 2 matrices, exact for any length.
+    """P(tag 1) per token by forward-backward, exact for any length.
 
-    emit is the log-odds of tag 1 per token, first the index of each document's first token (and the end).
+    emit is the log-odds of tag 1 per token, first the index of each document's first token (and the end).  A document's
+    first matrix has equal rows, so nothing is carried over from the document before.
     """
     n = len(emit)
     if not n:
         return np.zeros(0)
     psi = np.clip(emit, -60, 60)
-    w1, w0 = np.exp(np.minimum(psi, 0)), np.exp(np.minimum(-psi, 0))
-    t = np.exp(trans - trans.max())
-    counts = np.diff(first)
-    place = np.arange(n) - np.repeat(first[:-1], counts)
-    left = np.repeat(first[1:], counts) - 1 - np.arange(n)
+    w = np.stack([np.exp(np.minimum(-psi, 0)), np.exp(np.minimum(psi, 0))])
+    m = np.exp(trans - trans.max())[:, :, None] * w[None]
+    heads = first[:-1][np.diff(first) > 0]
     p1 = np.exp(start[1] - np.logaddexp(start[0], start[1]))
-    f = np.empty((4, n))  # m[i, j] as rows 00 01 10 11: from tag i before to tag j at the token
-    f[0], f[1], f[2], f[3] = t[0, 0] * w0, t[0, 1] * w1, t[1, 0] * w0, t[1, 1] * w1
-    b = f.copy()
-    heads = first[:-1][counts > 0]
-    f[0, heads] = f[2, heads] = (1 - p1) * w0[heads]
-    f[1, heads] = f[3, heads] = p1 * w1[heads]
-    longest, d = int(counts.max()), 1
-    while d < longest:
-        at = np.flatnonzero(place >= d)
-        x, y = f[:, at - d], f[:, at]
-        z = np.stack([x[0] * y[0] + x[1] * y[2], x[0] * y[1] + x[1] * y[3], x[2] * y[0] + x[3] * y[2], x[2] * y[1] + x[3] * y[3]])
-        f[:, at] = z / z.max(axis=0)
-        d *= 2
-    alpha0, alpha1 = f[0], f[1]
-    # beta[t] = M[t+1] ... M[end] (1, 1): suffix products of the matrices after t
-    g = np.zeros((4, n))
-    g[0] = g[3] = 1
-    more = np.flatnonzero(left > 0)
-    g[:, more] = b[:, more + 1]
-    d = 1
-    while d < longest:
-        at = np.flatnonzero(left > d)
-        x, y = g[:, at], g[:, at + d]
-        z = np.stack([x[0] * y[0] + x[1] * y[2], x[0] * y[1] + x[1] * y[3], x[2] * y[0] + x[3] * y[2], x[2] * y[1] + x[3] * y[3]])
-        g[:, at] = z / z.max(axis=0)
-        d *= 2
-    beta0, beta1 = g[0] + g[1], g[2] + g[3]
-    one, zero = alpha1 * beta1, alpha0 * beta0
+    m[:, :, heads] = np.array([1 - p1, p1])[None, :, None] * w[:, heads][None]
+    lanes = max(1, int(np.sqrt(n)))
+    alpha = running_products(m, lanes)
+    # beta[t] = m[t+1] ... m[end] (1, 1): the same products over the transposed matrices from the end
+    back = np.empty_like(m)
+    back[:, :, 1:] = m[:, :, :0:-1].transpose(1, 0, 2)
+    back[:, :, 0] = 0.5
+    beta = running_products(back, lanes)[:, ::-1]
+    one, zero = alpha[1] * beta[1], alpha[0] * beta[0]
     return one / np.maximum(one + zero, 1e-300)
 
 
@@ -265,7 +274,7 @@ def score_texts(model, texts, pows=None, floor=0.5):
     opens = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(doc[at]) > 0)))
     o = np.flatnonzero(opens)
     closes = at[np.concatenate((o[1:] - 1, [len(at) - 1]))]
-    heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
     d = doc[at[o]]
     base = heads[offs[d]]
     return score, np.stack([d, heads[s[at[o]]] - base, heads[e[closes]] - base, np.maximum.reduceat(m[at], o)], axis=1)
