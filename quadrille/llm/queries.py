@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from . import mixing
+from .cross_polytope import similar_vectors
 from .decontam import contamination
 from .html_main import main_texts
 from .near_dup import near_duplicates
@@ -44,6 +45,10 @@ def op9_minhash_near_dup(spark, sf_dir):
     return near_duplicates(spark, _read(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op10_cross_polytope(spark, sf_dir):
+    return similar_vectors(spark, _read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
