@@ -10,6 +10,7 @@ from .near_dup import near_duplicates
 from .passages import repeated_passages
 from .toxicity import held_out, toxicity
 from .url_rules import judge
+from .ziv_merhav import cross_parse_scores
 
 
 def _read(spark, sf_dir, table):
@@ -24,6 +25,11 @@ def op2_url_rules(spark, sf_dir):
     return judge(spark, _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
 
+def op3_ziv_merhav(spark, sf_dir):
+    good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_parse_scores(spark, _read(spark, sf_dir, "documents"), good)
+
+
 def op4_pfair_mix(spark, sf_dir):
     return mixing.mix(spark, _read(spark, sf_dir, "documents"))
 
