@@ -8,6 +8,7 @@ from .decontam import contamination
 from .html_main import main_texts
 from .near_dup import near_duplicates
 from .passages import repeated_passages
+from .suffix_dedup import without_repeats
 from .toxicity import held_out, toxicity
 from .url_rules import judge
 from .ziv_merhav import cross_parse_scores
@@ -39,6 +40,10 @@ def op5_crf_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op6_induced_suffix(spark, sf_dir):
+    return without_repeats(spark, _read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_tag_path_text(spark, sf_dir):
     return main_texts(spark, _read(spark, sf_dir, "pages"))
 
