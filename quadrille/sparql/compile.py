@@ -561,8 +561,9 @@ class Compiler:
         return self.describe(q)
 
     def result(self, plan, output="values"):
-        plan = P.decode(plan, list(plan.vars), self.source.terms) if ID in plan.vars.values() else plan
-        vals = [(v, plan.val(v)) for v in plan.vars]
+        names = list(plan.vars)
+        plan = P.decode(plan, names, self.source.terms) if ID in plan.vars.values() else plan
+        vals = [(v, plan.val(v)) for v in names]
         if not vals:
             return plan.df.select(F.lit(None).cast("string").alias("_")) if not plan.df.columns else plan.df
         return plan.df.select(*[(x.native() if output == "values" else x.nt()).alias(v) for v, x in vals])
