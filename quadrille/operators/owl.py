@@ -53,9 +53,12 @@ class Ontology:
             node = next(iter(self.get(node, RDF + "rest")), None)
         return out
 
-    def sub_bodies(self, c, x, fresh):
-        """Bodies (lists of atoms) under which x is in the class expression c, for the subclass side; None if not expressible."""
-        if c[0] == "iri":
+    def sub_bodies(self, c, x, fresh, defined=False):
+        """Bodies (lists of atoms) under which x is in the class expression c, for the subclass side; None if not expressible.
+
+        A named class stands for itself, with `defined` for what it is defined as.
+        """
+        if c[0] == "iri" and not defined:
             return [[]] if c[1] == OWL + "Thing" else [[_type(x, c[1])]]
         if lst := self.get(c, OWL + "intersectionOf"):
             out = [[]]
@@ -135,7 +138,10 @@ class Ontology:
                 sub(s, o)
                 sub(o, s)
             elif name in (OWL + "intersectionOf", OWL + "unionOf") and s[0] == "iri":
-                sub(s, s)
+                for b in self.sub_bodies(s, X, fresh, defined=True) or []:
+                    out.append(Rule(_type(X, s[1]), tuple(("pos", a) for a in b)))
+                for part in self.items(o) if name == OWL + "intersectionOf" else []:
+                    out.extend(self.super_rules(part, X, [_type(X, s[1])], fresh))
             elif name == OWL + "disjointWith":
                 for a in self.sub_bodies(s, X, fresh) or []:
                     for b in self.sub_bodies(o, X, fresh) or []:

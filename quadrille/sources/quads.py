@@ -142,3 +142,17 @@ class QuadSource:
 def _open(t):
     """Whether a triple term pattern holds a variable."""
     return t[0] == "var" or t[0] == "triple" and any(_open(x) for x in t[1:])
+
+
+def quads_of(source, properties, classes=()):
+    """Quads of term structs that a mapped source has for these properties and classes only."""
+    from ..functions.names import TYPE
+
+    out = None
+    parts = [((("iri", p)), ("var", "o")) for p in properties] + [(("iri", TYPE), ("iri", c)) for c in classes]
+    for p, o in parts:
+        plan = source.star(("var", "s"), [(p, o)])
+        obj = plan.val("o").term() if o[0] == "var" else Val.const(o).term()
+        rows = plan.df.select(plan.val("s").term().alias("s"), Val.const(p).term().alias("p"), obj.alias("o"), Val.const(("iri", DEFAULT)).term().alias("g"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
