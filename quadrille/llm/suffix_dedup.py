@@ -210,7 +210,7 @@ def _anchors(length, gram):
         width = length - gram + 1
         for batch in small_batches(batches):
             data, offs = string_buffers(batch.column("text"))
-            names = ["anchor", "body", "doc", "lo", "n"]
+            names = ["anchor", "body", "doc", "at"]
             if len(data) < length:
                 continue
             fwd, back = pows if len(pows[0]) > len(data) else powers(len(data) + 1)
@@ -239,7 +239,13 @@ def _anchors(length, gram):
             body = mix((sums[hi + length] - sums[lo]) * back[lo] + (at[lo] - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))
             doc = np.searchsorted(offs, lo, side="right") - 1
             ids = np.asarray(batch.column("doc").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at[lo]].view(np.int64)), pa.array(body.view(np.int64)), pa.array(ids[doc]), pa.array((lo - offs[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
+            name = grams[at[lo]]
+            order = np.lexsort((body, name, doc))  # stable: positions ascend among equals
+            x, y, z = doc[order], name[order], body[order]
+            again = np.zeros(len(lo), dtype=np.int64)
+            again[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (z[1:] == z[:-1])
+            packed = (lo - offs[doc]) << 17 | n << 1 | again
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(body.view(np.int64)), pa.array(ids[doc]), pa.array(packed)], names=names)
 
     return run
 
@@ -337,27 +343,29 @@ def _settle(spark):
 
 def repeated_spans(spark, docs, length=LENGTH, gram=GRAM, shard_bytes=2 << 20):
     """Removed byte ranges of docs(doc, text), doc unique and in corpus order: rows (doc, start, end), which may overlap."""
-    anchors = stored(spark, docs.mapInArrow(_anchors(length, gram), "anchor long, body long, doc long, lo int, n int"), "anchors")
-    place = F.struct("doc", "lo")
-    several = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("body").alias("b0"), F.max("body").alias("b1"), F.min(place).alias("first")).where("c > 1")
+    anchors = stored(spark, docs.mapInArrow(_anchors(length, gram), "anchor long, body long, doc long, at long"), "anchors")
+    # plain numbers only, so that both aggregations hash
+    several = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("body").alias("b0"), F.max("body").alias("b1"), F.min("doc").alias("first")).where("c > 1")
     several = several.select("anchor", (F.col("b0") != F.col("b1")).alias("mixed"), "first")
     met = stored(spark, anchors.join(several, "anchor"), "met")
     drop_stored(spark, anchors)
     del several
     _settle(spark)
-    span = [F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end")]
-    plain = met.where(~F.col("mixed") & (place != F.col("first"))).select("doc", *span)
-    mixed = met.where("mixed").select("anchor", "body", "doc", "lo", "n")
-    firsts = mixed.groupBy("anchor", "body").agg(F.min(F.struct("doc", "lo", "n")).alias("f"))
-    copies = mixed.join(firsts, ["anchor", "body"]).where((F.col("doc") != F.col("f.doc")) | (F.col("lo") != F.col("f.lo"))).select("doc", *span)
-    needs = firsts.select("anchor", "f.doc", "f.lo", "f.n").groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("needs"))
+    lo, n = F.shiftright("at", 17).cast("int"), (F.shiftright("at", 1).bitwiseAND(0xFFFF)).cast("int")
+    own, again = F.col("doc") == F.col("first"), F.col("at").bitwiseAND(1) == 1
+    span = ["doc", lo.alias("start"), (lo + n - 1 + length).alias("end")]
+    plain = met.where(~F.col("mixed") & (~own | again)).select(*span)
+    mixed = met.where("mixed").select("anchor", "body", "doc", "at")
+    mixed = stored(spark, mixed.join(mixed.groupBy("anchor", "body").agg(F.min("doc").alias("first")), ["anchor", "body"]), "mixed")
+    copies = mixed.where(~own | again).select(*span)
+    needs = mixed.where(own & ~again).select("anchor", "doc", lo.alias("lo"), n.alias("n")).groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("needs"))
     pieces = stored(spark, docs.join(needs, "doc").select("doc", "text", "needs").mapInArrow(_pieces(length), "anchor long, doc long, lo int, body binary"), "pieces")
     _settle(spark)
     ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc", "lo")
     sorted_ = ordered.mapInArrow(_sorter(length, shard_bytes), "doc long, start int, end int")
     spans = stored(spark, plain.unionAll(copies).unionAll(sorted_), "spans")
-    drop_stored(spark, met)
-    drop_stored(spark, pieces)
+    for table in (met, mixed, pieces):
+        drop_stored(spark, table)
     return spans
 
 
