@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .names import RDF, XSD
 from .terms import ANY, BNODE, BOOLEAN, DATE, DATETIME, INTEGERS, IRI, LIT, RANKS, STRING, WHOLE, Val, literal, term
 
-NULL = F.lit(None)
 _REGISTERED = {}
 
 
@@ -50,12 +49,12 @@ def less(a, b, op):
         return f(a.number(), b.number())
     if a.rep.kind == b.rep.kind == "lit":
         if a.rep.lang or b.rep.lang:
-            return NULL.cast("boolean")
+            return F.lit(None).cast("boolean")
         if a.rep.dt == b.rep.dt or {a.rep.dt, b.rep.dt} <= {DATE, DATETIME}:
             return f(a.col, b.col)
-        return NULL.cast("boolean") if a.rank or b.rank else f(a.lex(), b.lex())
+        return F.lit(None).cast("boolean") if a.rank or b.rank else f(a.lex(), b.lex())
     if "iri" in (a.rep.kind, b.rep.kind):
-        return NULL.cast("boolean")
+        return F.lit(None).cast("boolean")
     numeric = a.ranks().isNotNull() & b.ranks().isNotNull()
     plain = (a.kind() == LIT) & (b.kind() == LIT) & (a.lang() == "") & (b.lang() == "") & a.ranks().isNull() & b.ranks().isNull()
     return F.when(numeric, f(a.number().cast("double"), b.number().cast("double"))).when(plain, f(a.lex(), b.lex()))
@@ -79,7 +78,7 @@ def dynamic_number(rank, value):
 def arithmetic(op, a, b):
     """+ - * / with integer < decimal < float < double; integer / integer is a decimal."""
     if a.rank == 0 or b.rank == 0:
-        return Val(literal(XSD + "double"), NULL.cast("double"))
+        return Val(literal(XSD + "double"), F.lit(None).cast("double"))
     if a.rank and b.rank:
         rank, x, y = max(a.rank, b.rank), a.col, b.col
         if op == "/" and rank <= 2:
@@ -206,7 +205,7 @@ _STAMP = r"^(-?\d{4,})(?:-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d):(\d\d(?:\.\d+)?))?)?
 
 def _field(v, group, native, stamps=(DATETIME,)):
     if v.rep.kind == "lit" and v.rep.dt in (DATETIME, DATE):
-        return native(v.col) if v.rep.dt in stamps else NULL.cast("bigint")
+        return native(v.col) if v.rep.dt in stamps else F.lit(None).cast("bigint")
     ok = v.dt().isin(DATETIME, DATE, XSD + "gYear", XSD + "gYearMonth") if v.rep.kind == "term" else F.lit(v.rep.dt in (XSD + "gYear", XSD + "gYearMonth"))
     x = F.regexp_extract(v.lex(), _STAMP, group)
     return F.when(ok & (x != ""), x)
@@ -265,7 +264,7 @@ def strlang(v, tag):
 
 def datatype(v):
     if v.rep.kind == "iri":
-        return Val(WHOLE, NULL.cast("string"))
+        return Val(WHOLE, F.lit(None).cast("string"))
     return Val(WHOLE, F.when(v.kind() == LIT, v.dt()))
 
 
@@ -301,7 +300,7 @@ def unify(vals):
 def if_(cond, yes, no):
     c = cond.truth()
     rep, (a, b) = unify([yes, no])
-    return Val(rep, *[F.when(c.isNull(), NULL).when(c, x).otherwise(y) for x, y in zip(a.cols, b.cols)])
+    return Val(rep, *[F.when(c.isNull(), F.lit(None)).when(c, x).otherwise(y) for x, y in zip(a.cols, b.cols)])
 
 
 def coalesce(*vals):
@@ -311,13 +310,13 @@ def coalesce(*vals):
 
 # casts
 def cast(dt, v):
-    lex = v.lex() if v.rep.kind != "iri" else NULL.cast("string")
+    lex = v.lex() if v.rep.kind != "iri" else F.lit(None).cast("string")
     if v.rep.kind == "term":
         lex = F.when(v.kind() == LIT, lex)
     if dt == STRING:
         return Val.string(v.lex() if v.rep.kind != "term" else F.when(v.kind() != BNODE, v.lex()))
     if v.rep.kind == "iri":
-        return Val(literal(dt), NULL.cast("string"))
+        return Val(literal(dt), F.lit(None).cast("string"))
     if dt == BOOLEAN:
         number = (v.number() != 0) & ~F.isnan(v.number().cast("double"))
         text = F.when(lex.isin("true", "1"), True).when(lex.isin("false", "0"), False)

@@ -4,7 +4,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import NULL
 from ..functions.terms import ANY, ID, Val, common, convert, disjoint
 
 
@@ -53,6 +52,40 @@ def is_unit(p):
     return not p.vars and "q_one" in p.df.columns
 
 
+_DICTIONARY = [None]
+
+
+def use_dictionary(terms):
+    """The dictionary that ids are decoded with where they meet computed terms."""
+    _DICTIONARY[0] = terms
+
+
+def bridge(a, b, shared):
+    """Both plans ready to join where a variable is an id on one side and a computed term on the other.
+
+    A computed term that is bound for sure is compared by its id and keeps its own columns, so nothing is decoded; otherwise
+    the ids are decoded.
+    """
+    for v in shared:
+        ka, kb = a.vars[v] == ID, b.vars[v] == ID
+        if ka == kb:
+            continue
+        h = f"__j_{v}"
+        if kb and v in a.must:
+            a = a.with_vals({h: Val(ID, a.val(v).id())}, {h})
+            b = b.with_vals({h: b.val(v)}, {h} & ({h} if v in b.must else set())).only([x for x in (*b.vars, h) if x != v])
+        elif ka and v in a.must and v in b.must:
+            a = a.with_vals({h: a.val(v)}, {h})
+            b = b.with_vals({h: Val(ID, b.val(v).id())}, {h}).only([x for x in (*b.vars, h) if x != v])
+        else:
+            a, b = decode(a, [v], _DICTIONARY[0]), decode(b, [v], _DICTIONARY[0])
+    return a, b
+
+
+def unbridged(plan):
+    return plan.only([v for v in plan.vars if not v.startswith("__j_")]) if any(v.startswith("__j_") for v in plan.vars) else plan
+
+
 def as_rep(plan, var, rep):
     return plan if plan.vars[var] == rep else plan.with_vals({var: convert(plan.val(var), rep)}, plan.must & {var})
 
@@ -87,6 +120,11 @@ def join(a, b, how="inner", extra=None):
         return b
     if is_unit(b):
         return a
+    a, b = bridge(a, b, [v for v in a.vars if v in b.vars])
+    return unbridged(_join(a, b, how, extra))
+
+
+def _join(a, b, how, extra):
     shared = [v for v in a.vars if v in b.vars]
     both = align(a, b, shared)
     must_l, must_r = a.must, b.must
@@ -96,9 +134,9 @@ def join(a, b, how="inner", extra=None):
             df = a.df.limit(0)
             for v, r in b.vars.items():
                 if v not in a.vars:
-                    df = df.withColumns({c: NULL.cast(dict(b.df.dtypes)[c]) for c in columns(v, r)})
+                    df = df.withColumns({c: F.lit(None).cast(dict(b.df.dtypes)[c]) for c in columns(v, r)})
             return Plan(df.select(*[c for v, r in vars_.items() for c in columns(v, r)]), vars_, a.must | b.must)
-        new = {c: NULL.cast(dict(b.df.dtypes)[c]) for v, r in b.vars.items() if v not in a.vars for c in columns(v, r)}
+        new = {c: F.lit(None).cast(dict(b.df.dtypes)[c]) for v, r in b.vars.items() if v not in a.vars for c in columns(v, r)}
         return Plan(a.df.withColumns(new), a.vars | {v: r for v, r in b.vars.items() if v not in a.vars}, a.must)
     a, b = both
     right, ren = _sided(a, b, shared)
@@ -127,6 +165,13 @@ def union(plans):
     """Bag union; a variable that an arm lacks is unbound there."""
     if len(plans) == 1:
         return plans[0]
+    kinds = {}
+    for p in plans:
+        for v, r in p.vars.items():
+            kinds.setdefault(v, set()).add(r == ID)
+    mixed = [v for v, k in kinds.items() if len(k) > 1]
+    if mixed:
+        plans = [decode(p, mixed, _DICTIONARY[0]) for p in plans]
     reps = {}
     for p in plans:
         for v, r in p.vars.items():
@@ -147,9 +192,12 @@ def minus(a, b):
     shared = [v for v in a.vars if v in b.vars]
     if not shared:
         return a
+    own = list(a.vars)
+    a, b = bridge(a, b.only(shared), shared)
+    shared = [v for v in a.vars if v in b.vars]
     both = align(a, b.only(shared), shared)
     if both is None:
-        return a
+        return a.only(own)
     x, y = both
     right, ren = _sided(x, y, shared)
     sure = [v for v in shared if v in a.must and v in b.must]
@@ -162,16 +210,20 @@ def minus(a, b):
         overlap = o if overlap is None else overlap | o
     if not sure:
         cond = cond & overlap
-    return Plan(x.df.join(right.distinct() if sure else right, cond, "left_anti"), x.vars, a.must)
+    return Plan(x.df.join(right.distinct() if sure else right, cond, "left_anti"), x.vars, a.must).only(own)
 
 
 def semi(a, b, anti=False):
     """EXISTS or NOT EXISTS of b, correlated on the shared variables."""
     shared = [v for v in a.vars if v in b.vars]
     how = "left_anti" if anti else "left_semi"
+    own = list(a.vars)
+    if shared:
+        a, b = bridge(a, b.only(shared), shared)
+        shared = [v for v in a.vars if v in b.vars]
     both = align(a, b.only(shared), shared) if shared else (a, b)
     if both is None:
-        return a if anti else a.empty()
+        return a.only(own) if anti else a.only(own).empty()
     x, y = both
     if not shared:
         return Plan(x.df.join(y.df.select(F.lit(1).alias("r_one")).limit(1), F.lit(True), how), x.vars, a.must)
@@ -180,7 +232,7 @@ def semi(a, b, anti=False):
     for v in shared:
         c = _agree(v, x.vars[v], v in a.must and v in b.must, ren)
         cond = c if cond is None else cond & c
-    return Plan(x.df.join(right, cond, how), x.vars, a.must)
+    return Plan(x.df.join(right, cond, how), x.vars, a.must).only(own)
 
 
 def decode(plan, names, terms):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.names import XSD
-from ..functions.scalar import NULL, arithmetic, call, dynamic_number
+from ..functions.scalar import arithmetic, call, dynamic_number
 from ..functions.terms import ANY, BNODE, ID, IRI, LIT, TRIPLE, WHOLE, Rep, Val, common, convert, literal, term
 from ..plans import plan as P
 from ..plans.fixpoint import closure
@@ -47,6 +47,7 @@ class Compiler:
 
     def __init__(self, source, base=None, reorder=True):
         self.source, self.base, self.reorder, self.count = source, base, reorder, 0
+        P.use_dictionary(source.terms)
 
     @property
     def spark(self):
@@ -100,6 +101,7 @@ class Compiler:
     # groups
     def group(self, elements, graph=None, start=None, keep_filters=None):
         """Plan of a group.  With keep_filters (a list) the group's own filters are put there instead of applied."""
+        P.use_dictionary(self.source.terms)
         out, filters = start or P.unit(self.spark), []
         for el in self.ordered(elements):
             kind = el[0]
@@ -414,7 +416,7 @@ class Compiler:
             if e is not None:
                 plan = self.bind(plan, e, name, graph)
             elif name not in plan.vars:
-                plan = plan.with_vals({name: Val(WHOLE, NULL.cast("string"))})
+                plan = plan.with_vals({name: Val(WHOLE, F.lit(None).cast("string"))})
             keys.append(name)
         wanted = {repr(a): a for e in [*[e for _, e in q["project"] or [] if e], *q["having"], *[e for e, _ in q["order"]]] for a in aggregates(e)}
         plan = self.decoded(plan, [a[3] for a in wanted.values() if a[3] is not None and not (a[1] == "COUNT" and a[3][0] == "var")])
@@ -526,11 +528,12 @@ class Compiler:
         shown = [v for v in plan.vars if not v.startswith("__")] if q["project"] is None else [n for n, _ in q["project"]]
         if grouped and (loose := [n for n, e in q["project"] if e is None and n not in plan.vars and n not in {k for k, _ in q["group"] or []}]):
             raise ValueError(f"?{loose[0]} is neither grouped nor aggregated")
-        plan = plan.with_vals({n: Val(WHOLE, NULL.cast("string")) for n in shown if n not in plan.vars})
+        plan = plan.with_vals({n: Val(WHOLE, F.lit(None).cast("string")) for n in shown if n not in plan.vars})
         if q["distinct"]:
             plan = self.distinct(plan.only(shown))
         if q["order"]:
-            plan = self.decoded(plan, [e for e, _ in q["order"]])
+            # what is shown is decoded first: a join after the sort would lose its order
+            plan = self.decoded(plan, [*[e for e, _ in q["order"]], *[("var", v) for v in shown]])
             look = aliased(plan)
             keys = [k for e, down in q["order"] for k in self.order_keys(e, down, look)]
             plan = Plan(plan.df.orderBy(*keys), plan.vars, plan.must)
