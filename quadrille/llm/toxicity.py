@@ -157,11 +157,12 @@ def association(pos, neg, n_pos, n_neg):
     return np.where(pos > total * share, 2 * g, -2 * g)
 
 
-def fit(texts, toxic, prior=None, rounds=30, rate=0.4, ridge=1e-4, sure=18.0, windows=4000, window=100):
+def fit(texts, toxic, prior=None, rounds=30, rate=0.4, ridge=1e-4, sure=27.0, windows=4000, window=100):
     """A model from Arrow texts and 0/1 labels: weights by bucket, transitions, start and the document layer.
 
     Of near copies (equal smallest shingle) one text is learnt from.  Token labels are words or affixes whose
-    association with toxic documents passes `sure`; chains of `window` tokens are fitted, up to `windows` of them.
+    association with toxic documents passes `sure` (27 is the 5 % level over all 2**18 buckets); chains of `window`
+    tokens are fitted, up to `windows` of them.
     prior is the share of toxic documents where the texts were drawn by class.
     """
     toxic = np.asarray(toxic, dtype=np.int64)
