@@ -329,3 +329,36 @@ def test_similar_vectors(spark):
                 low[j] = min(low[j], m)
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (len(links.get(i, ())), low[i], low[i] == i) for i, _, _ in rows}
     assert similar_vectors(spark, df.limit(0)).count() == 0
+
+
+def edited(rng, text, share):
+    """The text with a share of its words, at random places, replaced."""
+    out = list(text)
+    for i in rng.sample(range(len(out)), round(share * len(out))):
+        out[i] = f"e{rng.randrange(10**6)}"
+    return out
+
+
+def test_edited_passages_are_found(spark):
+    """Passages with 0 to 18 % of their words replaced; by construction their identity is 0.82 at least."""
+    rng, rows, cases = random.Random(9), [], []
+    for share in (0.02, 0.05, 0.1, 0.15, 0.18):
+        for n in (60, 100, 200):
+            for _ in range(20):
+                i, text = len(rows) * 10, words(1000 + len(rows), n, 40000)
+                rows += [(i, words(9000 + i, 30, 40000) + text + words(9001 + i, 30, 40000)), (i + 1, words(9002 + i, 40, 40000) + edited(rng, text, share) + words(9003 + i, 20, 40000))]
+                cases.append((share, n, i))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    covered = collections.defaultdict(set)
+    for r in repeated_passages(spark, docs).collect():
+        assert r.identity >= 0.8 and r.end - r.start >= 50
+        covered[r.doc_id].update(range(r.start, r.end))
+    recall, stray = collections.defaultdict(list), 0
+    for share, n, i in cases:
+        got, inside = covered[i + 1], set(range(40, 40 + n))
+        recall[share, n].append(len(got & inside) / n)
+        stray += len(got - inside)
+    means = {key: sum(x) / len(x) for key, x in recall.items()}
+    assert min(v for (share, _), v in means.items() if share <= 0.1) >= 0.95, means
+    assert min(means.values()) >= 0.85, means
+    assert stray <= 0.01 * sum(n for _, n, _ in cases)
