@@ -362,3 +362,22 @@ def test_edited_passages_are_found(spark):
     assert min(v for (share, _), v in means.items() if share <= 0.1) >= 0.95, means
     assert min(means.values()) >= 0.85, means
     assert stray <= 0.01 * sum(n for _, n, _ in cases)
+
+
+def test_repeats_whose_parts_first_occur_apart(spark):
+    """Exact repeats across several sources, and runs of one word that an earlier document has shorter."""
+    x, y, z, run = words(70, 40, 40000), words(71, 40, 40000), words(72, 40, 40000), ["la"] * 120
+    w = lambda i: words(800 + i, 30, 40000)
+    rows = [(1, w(1) + x + w(2)), (2, w(3) + y + w(4)), (3, x + y + w(5)), (4, w(6) + x + w(7)), (5, w(8) + y + w(9)), (6, w(10) + x + y + w(11))]
+    rows += [(11, x + y + w(12)), (12, y + z + w(13)), (13, w(14) + x + y + z), (14, w(15) + x + w(16)), (15, y + w(17) + z), (16, w(18) + x + y + z + w(19))]
+    rows += [(21, w(20) + run[:20] + w(21)), (22, w(22) + run + w(23)), (23, run[:30] + w(24)), (24, w(25) + run + w(26))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    covered = collections.defaultdict(set)
+    for r in repeated_passages(spark, docs).collect():
+        covered[r.doc_id].update(range(r.start, r.end))
+    assert set(range(30, 110)) <= covered[6] and set(range(30, 150)) <= covered[16] and set(range(30, 150)) <= covered[24]
+    seen = set()
+    for i, t in rows:  # brute force: every run of 50 words that an earlier document holds is covered
+        grams = [tuple(t[j : j + 50]) for j in range(len(t) - 49)]
+        assert all(set(range(j, j + 50)) <= covered[i] for j, g in enumerate(grams) if g in seen)
+        seen.update(grams)
