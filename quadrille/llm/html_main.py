@@ -5,7 +5,8 @@ aggregated per path and divided by the number of blocks on it; the two ratios ar
 fused, and thresholded against the page.  The content node is the deepest element that holds nearly all of the
 fused weight that passed; marked article or main elements take precedence over unmarked ones.  All blocks inside it
 are kept in page order but for marked boilerplate: menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments, scripts and styles.
+comments, scripts and styles.  A class or id marks boilerplate by its whole name only, and not on an element that holds
+most of the page or its main element.
 
 Defined cases: null, empty or text-free html gives an empty text; html without tags is one block; unclosed and stray
 tags are tolerated as browsers do; truncated pages end where they end; repeated rows give repeated results; extra
@@ -22,26 +23,26 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "option", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "svg", "select", "option", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "head"} | RAW
 WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "footer", "header", "masthead", "comment", "comments", "disqus", "respond", "replies", "related", "share", "sharing", "social", "subscribe", "newsletter", "signup", "login", "search", "widget", "toolbar", "pagination", "pager", "skip"}
+LOOSE = {"related", "search", "share", "sharing", "side", "skip", "social", "toolbar", "widget"}  # boilerplate only outside of main and article
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 PUNCT = re.compile(r"[.,;:!?。，、！？¿¡…]")
 ENDS = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
-SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "junk", "main", "weight", "depth")
+    __slots__ = ("tag", "path", "parent", "junk", "named", "main", "inside", "weight", "depth")
 
-    def __init__(self, tag, parent, mark="", junk=False, main=False):
+    def __init__(self, tag, parent, mark="", junk=False, main=False, named=False):
         self.tag, self.parent = tag, parent
         self.path = (parent.path if parent else "") + "/" + tag + mark
         self.junk = junk or bool(parent and parent.junk)
-        self.main = main
+        self.main, self.named, self.inside = main, named, main or bool(parent and parent.inside)
         self.weight, self.depth = 0.0, parent.depth + 1 if parent else 0
 
 
@@ -102,19 +103,22 @@ def blocks(page):
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and (p := up(tag, ("ul", "ol", "dl", "table"))):
             node = p.parent
         attrs, mark, junk, main = m.group(3), "", tag in BOILERPLATE, tag in ("article", "main")
+        inside = node.inside
+        named = tag == "noscript" and not inside
         if tag == "header" and up("article"):
             junk = False
         if attrs and "=" in attrs or attrs and "hidden" in attrs:
             found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attrs)}
             names = found.get("class", "") + " " + found.get("id", "")
-            words = set(SPLIT.split(names))
+            words = set(names.split())
             mark = "." + ".".join(names.split()) if names.strip() else ""
             if tag not in ("html", "body", "article", "main"):
-                junk = junk or bool(words & WORDS) or found.get("role") in ROLES or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+                named = named or bool(words & (WORDS - LOOSE if inside else WORDS))
+                junk = junk or found.get("role") in ROLES or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
             elif tag == "article" and words & {"comment", "comments", "reply"}:
                 junk = True
             main = main or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody"
-        node = Node(tag, node, mark, junk, main)
+        node = Node(tag, node, mark, junk, main, named)
     if at < len(page):
         raw = page[at:]
         parts.append(_html.unescape(raw) if "&" in raw else raw)
@@ -144,11 +148,43 @@ def path_scores(texts, paths, sigma=1.0, reach=2):
     return [a * (1 + b) for a, b in zip(smooth(size), smooth(punct))]
 
 
+def lineage(node):
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def without_named(found):
+    """The blocks but for those in elements whose class or id names boilerplate.
+
+    A name doesn't count on an element that holds over half of the page's fused weight and is not inside a main element,
+    nor on one that holds the heaviest main element where no main element is outside of named ones.
+    """
+    if not any(n.named for node, _ in found for n in lineage(node)):
+        return found
+    weights, scores = {}, path_scores([t for _, t in found], [n.path for n, _ in found])
+    for (node, t), s in zip(found, scores):
+        for n in lineage(node):
+            weights[n] = weights.get(n, 0.0) + s * len(t)
+    half = 0.5 * max(weights.values())
+    for n in weights:
+        if n.named and weights[n] > half and not any(u.main for u in lineage(n)):
+            n.named = False
+    mains = [n for n in weights if n.main]
+    if mains and all(any(u.named for u in lineage(n)) for n in mains):
+        for n in lineage(max(mains, key=weights.get)):
+            n.named = False
+    return [(node, t) for node, t in found if not any(n.named for n in lineage(node))]
+
+
 def main_text(page):
     """The page's main text, blocks joined by newlines."""
     if not page:
         return ""
     found = [(n, t) for n, t in blocks(page) if not n.junk]
+    if not found:
+        return ""
+    found = without_named(found)
     if not found:
         return ""
     scores = path_scores([t for _, t in found], [n.path for n, _ in found])

@@ -273,6 +273,18 @@ def test_html_main_text(spark):
     assert dict((i, t) for i, t, _ in got)[4] == "unclosed text" and html.unescape("&amp") == "&"
 
 
+def test_html_names_that_wrap_the_main_text():
+    body = "<article><div class='article-header'><h1>Head</h1></div><p class='share'>Shares rose, they said.</p><p>Where <math><mi>x</mi></math> is small.</p><object><p>A drawing.</p></object><noscript><p>Read on.</p></noscript><div class='ad'>Buy!</div><p>The end, at last.</p></article>"
+    want = "Head\nShares rose, they said.\nWhere x is small.\nA drawing.\nRead on.\nThe end, at last."
+    for wrap in ("<div class='has-sidebar'>%s</div>", "<div id='content-sidebar-wrap'>%s</div>", "<div class='sidebar'>%s</div>"):
+        assert main_text("<body>" + wrap % body + "<div class='footer'>(c)</div><noscript>Enable scripts.</noscript></body>") == want
+    plain = "<p>A long paragraph, with commas. And sentences.</p><p>Another one; fine.</p>"
+    assert main_text(f"<body><div class='widget'>{plain}</div><div class='nav'>Home</div></body>") == "A long paragraph, with commas. And sentences.\nAnother one; fine."
+    teaser = "<div class='sidebar'><article><p>Also read this, now.</p></article></div>"
+    assert main_text(f"<body><div class='has-sidebar'>{body}{teaser}</div></body>") == want
+    assert main_text("<p>Text.</p><div class='ad'>Buy!</div>") == "Text."
+
+
 def test_automaton_parses_greedily():
     rng = random.Random(1)
     for _ in range(100):
