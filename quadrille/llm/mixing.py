@@ -1,73 +1,107 @@
 """Pfair interleaving of sources to target weights, in DataFrame operations only.
 
-Weights become whole numbers of slots in a period of `period` slots.  Block j of a source with a slots has release time
-floor(j * period / a) and deadline ceil((j + 1) * period / a); in every slot the released block with the earliest
-deadline goes next (ties: source order).  At full use such a schedule meets every deadline, so at every slot each source
-is less than one block from its target share.  The schedule repeats each period, so it is folded once over `period`
-slots and looked up for every block: nothing sequential grows with the data.
+Weights become whole numbers of slots: source i has a_i of the P = sum(a) slots of a period.  Block j of a source has release
+time floor(j * P / a) and deadline ceil((j + 1) * P / a); in every slot the released block with the earliest deadline goes
+next (ties: source order).  At full use such a schedule meets every deadline, so at every slot each source is less than one
+block from its target share.  The schedule repeats each period, so it is folded once over P slots and looked up for
+every block: nothing sequential grows with the data.
+
+Given weights are taken as exact fractions: .95 and .05 are 19 and 1 of 20 slots.  Only where their common period has
+more than `most_slots` slots are they rounded to whole slots of about `period`, as default weights are; then, and only then, a
+weight below one slot counts as one.
 
 A source that runs out leaves its slots empty and the others keep their proportions; every document gets a place.
 
 Defined cases: a null source is a source of its own; null and empty texts, repeated rows and null doc_ids are rows like
 others (equal rows take neighbouring places); an empty table gives an empty result; weights must be positive, sources
-without a given weight raise ValueError.  The result has the mixed columns only, whatever else the input carries.
+without a given weight raise ValueError, weights of sources without documents don't count.  There is no bound on the number
+of sources; folding costs sources times slots.  The result has the mixed columns only, whatever else the input carries.
 """
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 NULL_SOURCE = "\u0000"
-MOST_SOURCES = 10_000
+SLOTS_AT_ONCE = 10_000
+
+
+def whole_slots(weights, most_slots=20_000):
+    """Slots of each weight in their common period, exactly in proportion; None where that period is longer than most_slots."""
+    exact = {k: Fraction(repr(v) if isinstance(v, float) else v) for k, v in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values())) if exact else 1
+    whole = {k: int(x * scale) for k, x in exact.items()}
+    common = math.gcd(*whole.values()) if whole else 1
+    whole = {k: v // common for k, v in whole.items()}
+    return whole if sum(whole.values()) <= most_slots else None
 
 
 def source_slots(counts, weights=None, period=1000):
-    """Slots per source and period: rows (source_key, n, a, k); k numbers the sources in order from 1.
+    """Slots per source: rows (source_key, n, a, k, p); k numbers the sources in order from 1, p is the period.
 
-    counts has (source_key, n).  weights maps a source to its target weight; without it the target is the square root
-    of the source's size.  Largest remainders fill the period; every source has one slot at least.
+    counts has (source_key, n).  weights maps a source to its target weight; without it the target is the square root of the
+    source's size in whole slots, of `period` or of ten times the number of sources, one at least.
     """
-    if weights:
-        pairs = [F.lit(x) for k, v in weights.items() for x in (NULL_SOURCE if k is None else k, float(v))]
+    everything = Window.partitionBy()
+    slots = whole_slots(weights) if weights else None
+    chosen = slots or weights
+    if chosen:
+        pairs = [F.lit(x) for k, v in chosen.items() for x in (NULL_SOURCE if k is None else k, v if slots else float(v))]
         w = F.create_map(*pairs)[F.col("source_key")]
     else:
         w = F.sqrt(F.col("n").cast("double"))
-    everything = Window.partitionBy()
-    d = counts.select("source_key", "n", w.alias("w"))
-    d = d.withColumn("k", F.row_number().over(Window.partitionBy().orderBy("source_key")))
-    d = d.withColumn("sources", F.count(F.lit(1)).over(everything)).withColumn("exact", F.col("w") * (period - F.col("sources")) / F.sum("w").over(everything))
-    d = d.withColumn("whole", F.floor("exact")).withColumn("left", (period - F.col("sources") - F.sum("whole").over(everything)))
-    rank = F.row_number().over(Window.partitionBy().orderBy((F.col("whole") - F.col("exact")), "k"))
-    return d.withColumn("rank", rank).select("source_key", "n", (F.col("whole") + 1 + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)).cast("long").alias("a"), "k")
-
+    d = counts.select("source_key", "n", w.alias("w")).withColumn("k", F.row_number().over(Window.partitionBy().orderBy("source_key")))
+    if not slots:
+        about = F.greatest(F.lit(period), 10 * F.count(F.lit(1)).over(everything))
+        d = d.withColumn("w", F.greatest(F.lit(1.0), F.round(about * F.col("w") / F.sum("w").over(everything))))
+    return d.select("source_key", "n", F.col("w").cast("long").alias("a"), "k").withColumn("p", F.sum("a").over(everything))
 
-def schedule(slots, period=1000):
-    """One period by earliest deadline first: rows (slot, k, j, before, n_all, a_all).
 
-    j numbers the source's blocks in the period; before has, per source, its blocks in earlier slots of the period.
-    """
-    one = slots.agg(F.sort_array(F.collect_list(F.struct("k", "n", "a"))).alias("s")).select(F.transform("s", lambda x: x["n"]).alias("n_all"), F.transform("s", lambda x: x["a"]).alias("a_all"))
-    a = lambda i: F.element_at("a_all", i.cast("int"))
-    p, never = F.lit(period).cast("long"), F.lit(1 << 60).cast("long")
+def schedule(slots):
+    """One period by earliest deadline first: rows (t, k, j): source k has its block j of the period in slot t."""
+    one = slots.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "a"))), lambda x: x["a"]).alias("a_all"), F.max("p").alias("p"), F.max("k").alias("most"))
+    a, p, base = (lambda i: F.element_at("a_all", i.cast("int"))), F.col("p"), F.col("most") + 1
 
-    def urgency(state, t):
-        def of(done, i):
+    def urgency(done, t):
+        def of(c, i):
             k = i + 1
-            due = F.floor(((done + 1) * p + a(k) - 1) / a(k))
-            released = F.floor(done * p / a(k)) <= t
-            return F.when(released, due * MOST_SOURCES + k).otherwise(never)
+            due = F.floor(((c + 1) * p + a(k) - 1) / a(k))
+            return F.when(F.floor(c * p / a(k)) <= t, due * base + k).otherwise(F.lit(1 << 62))
 
-        return F.array_min(F.transform(state["done"], of))
+        return F.array_min(F.transform(done, of))
 
     def step(state, t):
-        k = F.pmod(urgency(state, t), F.lit(MOST_SOURCES)).cast("int")
-        done = F.transform(state["done"], lambda c, i: c + F.when(i + 1 == k, 1).otherwise(0).cast("long"))
-        return F.struct(done.alias("done"), F.concat(state["log"], F.array(F.struct(k.alias("k"), state["done"].alias("before")))).alias("log"))
+        def serve(k):
+            done = F.transform(state["done"], lambda c, i: c + F.when(i + 1 == k, 1).otherwise(0).cast("long"))
+            return F.struct(done.alias("done"), F.concat(state["log"], F.array(k)).alias("log"))
+
+        return F.element_at(F.transform(F.array(F.pmod(urgency(state["done"], t), base).cast("int")), serve), 1)  # so that the urgency is found once
+
+    start = F.struct(F.transform("a_all", lambda x: F.lit(0).cast("long")).alias("done"), F.expr("cast(array() as array<int>)").alias("log"))
+    folded = one.where(F.size("a_all") > 0).select(F.aggregate(F.sequence(F.lit(0).cast("long"), p - 1), start, step).alias("f"))
+    rows = folded.select(F.posexplode("f.log").alias("t", "k"))
+    return rows.select(F.col("t").cast("long").alias("t"), "k", (F.row_number().over(Window.partitionBy("k").orderBy("t")) - 1).cast("long").alias("j"))
+
 
-    zeros = F.transform("a_all", lambda x: F.lit(0).cast("long"))
-    start = F.struct(zeros.alias("done"), F.expr("cast(array() as array<struct<k:int,before:array<bigint>>>)").alias("log"))
-    folded = one.where(F.size("a_all") > 0).select("n_all", "a_all", F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(period - 1).cast("long")), start, step).alias("f"))
-    rows = folded.select("n_all", "a_all", F.posexplode("f.log").alias("slot", "e"))
-    return rows.select(F.col("slot").cast("long").alias("slot"), F.col("e.k").alias("k"), F.element_at("e.before", F.col("e.k")).alias("j"), F.col("e.before").alias("before"), "n_all", "a_all")
+def places(buckets, block):
+    """Where the blocks of each bucket of a source go: buckets with `at`, an array of (b, slot, start) by block.
+
+    buckets has (source_key, bucket, c, offset, n, a, k, p).  start is the number of documents in earlier slots: sums over
+    runs of slots, then inside each run.
+    """
+    blocks = buckets.withColumn("b", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("c") - 1) / block))))
+    blocks = blocks.withColumn("j", F.pmod("b", "a")).join(schedule(buckets.select("k", "a", "p").distinct()), ["k", "j"])
+    blocks = blocks.withColumn("slot", F.floor(F.col("b") / F.col("a")) * F.col("p") + F.col("t"))
+    # a block across two buckets counts in the one that holds its first document
+    blocks = blocks.withColumn("docs", F.when(F.col("b") * block >= F.col("offset"), F.least(F.lit(block), F.col("n") - F.col("b") * block)).otherwise(0).cast("long"))
+    blocks = blocks.select("source_key", "bucket", "b", "slot", "docs", F.floor(F.col("slot") / SLOTS_AT_ONCE).alias("run"))
+    earlier = F.sum("docs").over(Window.partitionBy("run").orderBy("slot").rangeBetween(Window.unboundedPreceding, -1))
+    before = blocks.groupBy("run").agg(F.sum("docs").alias("d")).select("run", F.coalesce(F.sum("d").over(Window.partitionBy().orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = blocks.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(before, "run")
+    at = placed.groupBy("source_key", "bucket").agg(F.sort_array(F.collect_list(F.struct("b", "slot", (F.col("base") + F.col("earlier")).alias("start")))).alias("at"))
+    return buckets.select("source_key", "bucket", "offset").join(at, ["source_key", "bucket"])
 
 
 def mix(spark, docs, weights=None, block=32, period=1000, rows_per_bucket=20_000, keep=()):
@@ -75,62 +109,55 @@ def mix(spark, docs, weights=None, block=32, period=1000, rows_per_bucket=20_000
 
     block is the number of documents in a block, slot the block's slot, position the document's place in the mixture
     from 0.  Inside a source the order is by md5 of doc_id.  Rows are numbered in hash buckets of about
-    `rows_per_bucket` rows with summed offsets, so a source with a third of all rows is still many tasks.
+    `rows_per_bucket` rows with summed offsets, so a source with a third of all rows is still many tasks; texts move once.
     """
     d = docs.select(*dict.fromkeys(["doc_id", "source", *keep])).withColumn("source_key", F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE)))
     d = d.withColumn("order_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     counts = d.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.limit(MOST_SOURCES).collect()  # one small row per source
-    if len(sizes) >= min(MOST_SOURCES, period):
-        raise ValueError(f"{len(sizes)} sources don't fit {period} slots")
     if weights:
-        missing = [r.source_key for r in sizes if (None if r.source_key == NULL_SOURCE else r.source_key) not in weights]
+        known = [NULL_SOURCE if k is None else k for k in weights]
+        missing = [r.source_key for r in counts.where(~F.col("source_key").isin(known)).select("source_key").limit(5).collect()]
         if missing or min(weights.values()) <= 0:
-            raise ValueError(f"every source needs a positive weight; none for {missing[:5]}")
-    buckets = max(1, -(-max([0, *(r.n for r in sizes)]) // rows_per_bucket))
-    known = spark.createDataFrame([(r.source_key, r.n) for r in sizes], "source_key string, n long")
-    slots = source_slots(known, weights, period)
-    table = schedule(slots, period).join(slots.select("k", "source_key", "a"), "k")
-
-    place = F.floor(F.conv(F.substring("order_key", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int")
-    d = d.withColumn("bucket", place)
+            raise ValueError(f"every source needs a positive weight; none for {missing}")
+        there = {r.source_key for r in counts.select("source_key").collect()}  # no more than the weights given
+        weights = {k: v for k, v in weights.items() if (NULL_SOURCE if k is None else k) in there}
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    buckets = max(1, -(-largest // rows_per_bucket))
+    d = d.withColumn("bucket", F.floor(F.conv(F.substring("order_key", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int"))
     sums = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = d.groupBy("source_key", "bucket").agg(F.count(F.lit(1)).alias("c")).select("source_key", "bucket", F.coalesce(F.sum("c").over(sums), F.lit(0)).alias("offset"))
+    held = d.groupBy("source_key", "bucket").agg(F.count(F.lit(1)).alias("c")).withColumn("offset", F.coalesce(F.sum("c").over(sums), F.lit(0)))
+    table = places(held.join(source_slots(counts, weights, period), "source_key"), block)
+
     ties = [F.col(c) for c in keep if c not in ("doc_id", "source")]
     numbered = d.withColumn("r", F.row_number().over(Window.partitionBy("source_key", "bucket").orderBy("order_key", "doc_id", F.xxhash64(*ties) if ties else F.lit(0))) - 1)
-    numbered = numbered.join(offsets, ["source_key", "bucket"]).withColumn("r", F.col("r") + F.col("offset"))
-    numbered = numbered.withColumn("b", F.floor(F.col("r") / block).cast("long"))
-    # period rows of three arrays with a number per source: at most period * sources * 24 bytes
-    small = F.broadcast(table) if period * len(sizes) * 24 <= 32 << 20 else table
-    per = {r.source_key: r.a for r in slots.select("source_key", "a").collect()}  # one small row per source
-    a_of = F.create_map(*[F.lit(x) for k, v in per.items() for x in (k, int(v))])[F.col("source_key")] if per else F.lit(1).cast("long")
-    numbered = numbered.withColumn("j", F.pmod(F.col("b"), a_of.cast("long"))).withColumn("round", F.floor(F.col("b") / a_of).cast("long"))
-    placed = numbered.join(small.drop("k", "a"), ["source_key", "j"])
-    taken = F.aggregate(F.zip_with(F.zip_with("a_all", "before", lambda x, y: x * F.col("round") + y), "n_all", lambda c, n: F.least(c * block, n)), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return placed.select("doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], (F.col("round") * period + F.col("slot")).alias("slot"), (taken + F.col("r") - F.col("b") * block).alias("position"))
+    numbered = numbered.join(table, ["source_key", "bucket"]).withColumn("r", F.col("r") + F.col("offset")).withColumn("b", F.floor(F.col("r") / block))
+    place = F.element_at("at", (F.col("b") - F.floor(F.col("offset") / block) + 1).cast("int"))
+    return numbered.select("doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], place["slot"].alias("slot"), (place["start"] + F.col("r") - F.col("b") * block).alias("position"))
 
 
 ORACLE = """
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, chr(0)) AS source_key FROM documents),
-s AS (SELECT source_key, count(*) AS n, sqrt(count(*)::DOUBLE) AS w FROM d GROUP BY 1),
-q AS (SELECT *, row_number() OVER (ORDER BY source_key) AS k, count(*) OVER () AS sources FROM s),
-e AS (SELECT *, w * (1000 - sources) / sum(w ORDER BY source_key) OVER () AS exact FROM q),
-f AS (SELECT *, floor(exact)::BIGINT AS whole FROM e),
-g AS (SELECT *, row_number() OVER (ORDER BY whole - exact, k) AS rank, (1000 - sources - sum(whole) OVER ())::BIGINT AS open FROM f),
-slots AS (SELECT source_key, n, k, (whole + 1 + CASE WHEN rank <= open THEN 1 ELSE 0 END)::BIGINT AS a FROM g),
-al AS (SELECT list(a ORDER BY k) AS a, list(n ORDER BY k) AS n FROM slots),
-sched AS (
-  SELECT 0 AS t, list_transform(a, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS k, NULL::BIGINT[] AS before FROM al
+src AS (SELECT source_key, count(*) AS n, sqrt(count(*)) AS w FROM d GROUP BY 1),
+quota AS (SELECT source_key, greatest(1, round(greatest(1000, 10 * (SELECT count(*) FROM src)) * w / (SELECT sum(w) FROM src)))::BIGINT AS a FROM src),
+per AS (SELECT sum(a)::BIGINT AS p FROM quota),
+win AS (
+  SELECT source_key, g.j, (g.j * p) // a AS release, ((g.j + 1) * p + a - 1) // a AS due
+  FROM quota, per, LATERAL (SELECT unnest(range(a)) AS j) g
+),
+ranked AS (SELECT *, row_number() OVER (ORDER BY due, source_key) AS urgency FROM win),
+edf AS (
+  SELECT 0::BIGINT AS t, (SELECT list(urgency) FILTER (WHERE release = 0) FROM ranked) AS waiting, NULL::BIGINT AS served
   UNION ALL
-  SELECT t + 1, list_transform(done, lambda c, i: c + CASE WHEN i = pick % 10000 THEN 1 ELSE 0 END), (pick % 10000)::BIGINT, done
-  FROM (SELECT t, done, list_min(list_transform(done, lambda c, i: CASE WHEN (c * 1000) // al.a[i] <= t
-      THEN (((c + 1) * 1000 + al.a[i] - 1) // al.a[i]) * 10000 + i ELSE 1152921504606846976 END)) AS pick FROM sched, al WHERE t < 1000)
+  SELECT t + 1, list_concat(list_filter(waiting, lambda x: x <> list_min(waiting)),
+      coalesce((SELECT list(urgency) FROM ranked WHERE release = edf.t + 1), [])), list_min(waiting)
+  FROM edf WHERE t < (SELECT p FROM per)
 ),
-tab AS (SELECT t - 1 AS slot, k, before[k] AS j, before FROM sched WHERE k IS NOT NULL),
-r AS (SELECT doc_id, source, source_key, row_number() OVER (PARTITION BY source_key ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS r FROM d),
-b AS (SELECT r.*, r.r // 32 AS b, slots.a, slots.k FROM r JOIN slots USING (source_key)),
-c AS (SELECT b.*, b.b // b.a AS round, tab.slot, tab.before FROM b JOIN tab ON tab.k = b.k AND tab.j = b.b % b.a)
-SELECT doc_id, source, (round * 1000 + slot)::BIGINT AS slot,
-  (list_sum(list_transform(al.a, lambda x, i: least((x * round + before[i]) * 32, al.n[i]))) + r - b * 32)::BIGINT AS position
-FROM c, al
+sched AS (SELECT t - 1 AS t, source_key, j FROM edf JOIN ranked ON urgency = served),
+numbered AS (SELECT doc_id, source, source_key, row_number() OVER (PARTITION BY source_key ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS r FROM d),
+placed AS (
+  SELECT doc_id, source, r, (r // 32 // a) * p + t AS slot
+  FROM numbered JOIN quota USING (source_key) CROSS JOIN per
+  JOIN sched ON sched.source_key = numbered.source_key AND sched.j = (r // 32) % a
+)
+SELECT doc_id, source, slot::BIGINT AS slot, (row_number() OVER (ORDER BY slot, r) - 1)::BIGINT AS position FROM placed
 """

@@ -213,28 +213,52 @@ def test_toxicity_without_both_labels():
     assert score_texts(model, pa.array(["a", ""]))[0].tolist() == [1.0, 1.0]
 
 
+def deviation(spark, rows, weights, block=1, **more):
+    """Worst distance in blocks between what a source was served and its given weight, until the first source runs out."""
+    got = mixing.mix(spark, rows, weights, block=block, **more).collect()
+    assert sorted(r.position for r in got) == list(range(len(got)))
+    slots, served = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        slots[r.source].add(r.slot)
+        served[r.source, r.slot] += 1
+    order = sorted(got, key=lambda r: r.position)
+    assert all(a.slot <= b.slot for a, b in zip(order, order[1:])) and max(served.values()) <= block
+    last, worst, total = min(max(v) for v in slots.values()), 0.0, sum(weights.values())
+    for s, at in slots.items():
+        done = 0
+        for t in range(last + 1):
+            worst = max(worst, abs(done - weights[s] / total * t))
+            done += t in at
+    return worst, last
+
+
+def sourced(spark, sizes):
+    return spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+
+
 def test_mixing_deviation_and_places(spark):
     rows = [(i, "t", "en", s) for i, s in enumerate(["a"] * 700 + ["b"] * 200 + ["c"] * 100 + [None] * 50)] + [(5, "t", "en", "a"), (None, "t", "en", "b")]
-    block, period = 8, 100
-    weights = {"a": 5.0, "b": 3.0, "c": 1.0, None: 1.0}
-    got = mixing.mix(spark, awkward(spark, rows), weights, block=block, period=period).collect()
-    assert sorted(r.position for r in got) == list(range(len(rows)))
-    order = sorted(got, key=lambda r: r.position)
-    slots = collections.defaultdict(set)
-    for r in order:
-        slots[r.source].add(r.slot)
-    last = min(max(v) for v in slots.values())  # until the first source runs out
-    share = {r["source_key"]: r["a"] / period for r in mixing.source_slots(spark.createDataFrame([("a", 701), ("b", 201), ("c", 100), (mixing.NULL_SOURCE, 50)], "source_key string, n long"), weights, period).collect()}
-    assert abs(sum(share.values()) - 1) < 1e-9
-    for t in range(last + 1):
-        for s, at in slots.items():
-            done = sum(1 for x in at if x < t)
-            assert abs(done - share[mixing.NULL_SOURCE if s is None else s] * t) < 1
+    assert deviation(spark, awkward(spark, rows), {"a": 5.0, "b": 3.0, "c": 1.0, None: 1.0}, block=8, rows_per_bucket=100)[0] < 1
     assert mixing.mix(spark, spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(spark, awkward(spark, rows), {"a": 1.0}).count()
 
 
+def test_mixing_keeps_given_weights_over_many_periods(spark):
+    worst, last = deviation(spark, sourced(spark, {"a": 5700, "b": 300}), {"a": 0.95, "b": 0.05})
+    assert worst < 1 and last > 5000
+    many = {f"s{i}": 0.001 for i in range(99)}
+    worst, last = deviation(spark, sourced(spark, {"a": 2703} | dict.fromkeys(many, 3)), {"a": 0.901} | many)
+    assert worst < 1 and last > 2000
+    worst, last = deviation(spark, sourced(spark, {"a": 2100, "b": 600, "c": 180, "d": 60, "e": 60}), {"a": 0.7, "b": 0.2, "c": 0.06, "d": 0.02, "e": 0.02}, block=3)
+    assert worst < 1 and last > 900
+
+
+def test_mixing_any_number_of_sources(spark):
+    df = spark.range(2200).select(F.col("id").alias("doc_id"), (F.col("id") % 1100).cast("string").alias("source"))
+    assert sorted(r.position for r in mixing.mix(spark, df).collect()) == list(range(2200))
+
+
 def test_url_rules(spark):
     urls = [
         (1, "https://A.Example.ORG/es/1?x#y", "block", "example.org/es/"),
