@@ -6,27 +6,31 @@ the threshold falls below `miss`, and every survivor is verified on the full set
 
 Defined cases: null and empty texts, and texts of white space only, have an empty set and link with nothing; texts with
 fewer than n words have their whole sequence as one shingle; documents with equal sets form one class whose smallest
-doc_id stands for it; extra columns are ignored; an empty table gives an empty result.  Null doc_ids are not rows of
-the result.
+doc_id stands for it; rows that share a doc_id are one document, whose text is the one with the smallest hash; extra
+columns are ignored; an empty table gives an empty result.  Null doc_ids are not rows of the result.
 
 Hot groups: equal sets collapse by a map-side combined aggregation before anything is paired.  In a bucket every class
-is paired with the bucket's smallest one first, which is linear; only pairs of classes that these links have not yet
-joined are compared afterwards, so a bucket of thousands of copies never expands into all its pairs and no link that
-matters to a component is skipped.
+is paired with the bucket's smallest one first, which is linear; only classes that these links have not yet joined are
+compared afterwards.  A bucket of up to `block` such classes is compared as a whole inside one task, on signatures.  Larger
+ones (documents of one template, say) are taken apart exactly: two sets at the threshold share a shingle among the rarest
+share of either, so their documents meet again only by their rare shingles, and groups of those that are still large
+are compared block by block.  No pair leaves a task before its signatures agree, and no link is lost.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._store import stored
+from ._store import drop_stored, stored
 from ._text import mix, powers, shingles, small_batches, span_hashes, string_buffers, word_spans
 
 BANDS, ROWS = 24, 4
-_SIG = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sig binary"
+BLOCK = 256
+_SIG = "doc_id long, pick long, n_shingles long, set_hi long, set_lo long, bands array<long>, sig binary"
 
 
 def shingle_sets(texts, n, pows=None):
@@ -74,13 +78,14 @@ def _signer(n, bands, rows):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("pick").cast(pa.int64()),
                     pa.array(size),
                     pa.array(hi.view(np.int64)),
                     pa.array(lo.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(sets) + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).reshape(-1))),
                     pa.array([row.tobytes() for row in np.ascontiguousarray(byte)], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_hi", "set_lo", "bands", "sig"],
+                names=["doc_id", "pick", "n_shingles", "set_hi", "set_lo", "bands", "sig"],
             )
 
     return run
@@ -123,6 +128,90 @@ def _pruner(k, step, threshold, miss):
     return run
 
 
+def likely_pairs(sig, part, side, bounds):
+    """Index pairs of different parts (and, where side is given, different sides) whose signatures pass all bounds."""
+    m, least = bounds[0]
+    found = []
+    for lo in range(0, len(sig), BLOCK):
+        x = sig[lo : lo + BLOCK]
+        hits = np.zeros((len(x), len(sig)), dtype=np.uint8)
+        for j in range(m):
+            hits += x[:, j : j + 1] == sig[None, :, j]
+        fine = (hits >= least) & (part[lo : lo + BLOCK, None] != part[None, :])
+        if side is not None:
+            fine &= side[lo : lo + BLOCK, None] != side[None, :]
+        i, j = np.nonzero(fine)
+        i += lo
+        keep = i < j
+        i, j = i[keep], j[keep]
+        hits, at = hits[i - lo, j].astype(np.int64), m
+        for to, need in bounds[1:]:
+            hits += (sig[i, at:to] == sig[j, at:to]).sum(axis=1)
+            keep = hits >= need
+            i, j, hits, at = i[keep], j[keep], hits[keep], to
+        found.append((i, j))
+    return (np.concatenate(x) for x in zip(*found))
+
+
+def _proposer(k, step, threshold, miss):
+    """Pairs of each group (g, r, s) of rows (side, doc_id, part, sig) that pass the pruning, smaller doc_id first."""
+
+    def run(batches):
+        bounds, key, parts = posterior_bounds(k, step, threshold, miss), None, []
+
+        def out():
+            table = pa.Table.from_batches(parts).combine_chunks()
+            ids, part, side = (table.column(c).to_numpy() for c in ("doc_id", "part", "side"))
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, k)
+            i, j = likely_pairs(sig, part, side if key[1] != key[2] else None, bounds)
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("g", "r", "s")]
+            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols], axis=0)) + 1
+            for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [batch.num_rows]))):
+                now = tuple(int(c[a]) for c in cols)
+                if now != key and parts:
+                    yield out()
+                    parts = []
+                key = now
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield out()
+
+    return run
+
+
+def _grams(n):
+    def run(batches):
+        pows = powers(1 << 21)
+        for batch in small_batches(batches):
+            sets = shingle_sets(batch.column("text"), n, pows)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "grams"])
+
+    return run
+
+
+def _rare(texts, n, percent):
+    """Rows (g, doc_id): the rarest shingles of each document, of which any two at the threshold have one in common."""
+    grams = texts.select("doc_id", "text").mapInArrow(_grams(n), "doc_id long, grams array<long>").select("doc_id", F.size("grams").alias("size"), F.explode("grams").alias("g"))
+    counted = grams.join(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "g")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g"))
+    return counted.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).where("df > 1").select("g", "doc_id")
+
+
+def _blocks(groups, block):
+    """Rows (g, doc_id, size) split into pairs of blocks: rows (g, r, s, side, doc_id)."""
+    x = groups.withColumn("blocks", F.ceil(F.col("size") / block).cast("long")).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    return x.select("g", F.least("side", "other").alias("r"), F.greatest("side", "other").alias("s"), "side", "doc_id")
+
+
 def _verifier(n, percent):
     def run(batches):
         pows = powers(1 << 21)
@@ -136,16 +225,13 @@ def _verifier(n, percent):
     return run
 
 
-def _links(spark, pairs, sigs, texts, n, percent, bands, rows, miss):
-    """The candidate pairs whose full sets reach the threshold."""
-    k = bands * rows
-    side = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_pruner(k, 16, percent / 100, miss), "a long, b long")
+def _verified(spark, pairs, texts, n, percent):
+    """The pairs whose full sets reach the threshold."""
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    return stored(spark, likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verifier(n, percent), "a long, b long"), "links")
+    return stored(spark, pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verifier(n, percent), "a long, b long"), "links")
 
 
-def near_duplicates(spark, docs, n=4, percent=80, bands=BANDS, rows=ROWS, miss=1e-6):
+def near_duplicates(spark, docs, n=4, percent=80, bands=BANDS, rows=ROWS, miss=1e-6, block=BLOCK):
     """Classes of near duplicates among docs(doc_id, text): rows (doc_id, n_shingles, component_id, kept).
 
     Two documents link when 100 * |A & B| >= percent * |A | B| for their n-word shingle sets; component_id is the
@@ -153,8 +239,9 @@ def near_duplicates(spark, docs, n=4, percent=80, bands=BANDS, rows=ROWS, miss=1
     with probability (1 - (percent/100)**rows)**bands, 3e-6 with the defaults, and the Bayesian pruning with about
     `miss` per comparison.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = stored(spark, docs.mapInArrow(_signer(n, bands, rows), _SIG), "signatures")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("pick", F.xxhash64("text"))
+    signed = docs.mapInArrow(_signer(n, bands, rows), _SIG)
+    sigs = stored(spark, signed.groupBy("doc_id").agg(F.min(F.struct(*signed.columns[1:])).alias("x")).select("doc_id", "x.*"), "signatures")
     full = sigs.where("n_shingles > 0")
     key = ["set_hi", "set_lo", "n_shingles"]
     classes = stored(spark, full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
@@ -163,20 +250,31 @@ def near_duplicates(spark, docs, n=4, percent=80, bands=BANDS, rows=ROWS, miss=1
     lead = keyed.groupBy("band").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stored(spark, keyed.join(lead.select("band", "lead"), "band"), "buckets")
     involved = buckets.select("doc_id").distinct()
-    texts = stored(spark, docs.join(involved, "doc_id", "left_semi"), "texts")
+    texts = stored(spark, docs.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "pick").alias("text")), "texts")
     few = stored(spark, reps.select("doc_id", "sig").join(involved, "doc_id", "left_semi"), "involved")
 
+    k, threshold = bands * rows, percent / 100
+    side = lambda c: few.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
     star = buckets.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = _links(spark, star, few, texts, n, percent, bands, rows, miss)
+    likely = star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_pruner(k, 16, threshold, miss), "a long, b long")
+    first = _verified(spark, likely, texts, n, percent)
     joined = stored(spark, connected_components(spark, first), "joined")
-    placed = buckets.select("band", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component_id", "doc_id").alias("part"))
-    mixed = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
-    open_ = stored(spark, placed.join(mixed, "band", "left_semi"), "open")
-    x, y = (open_.select("band", F.col("doc_id").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
-    cross = x.join(y, "band").where("part_a <> part_b and a < b").select("a", "b").distinct()
+    parts = few.select("doc_id", "sig").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "sig", F.coalesce("component_id", "doc_id").alias("part"))
+    parts = stored(spark, parts, "parts")
+    placed = buckets.select("band", "doc_id").join(parts.select("doc_id", "part"), "doc_id")
+    mixed = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("size")).where("p <> q").select("band", "size")
+    open_ = stored(spark, placed.join(mixed, "band").select(F.col("band").alias("g"), "doc_id", "size"), "open")
+    large = open_.where(F.col("size") > block).select("doc_id").distinct()
+    rare = _rare(texts.join(large, "doc_id", "left_semi"), n, percent)
+    rare = rare.join(rare.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "g").select("g", "doc_id", "size")
+    groups = _blocks(open_.where(F.col("size") <= block).unionAll(rare), block).join(parts, "doc_id")
+    groups = groups.select("g", "r", "s", "side", "doc_id", "part", "sig").repartition("g", "r", "s").sortWithinPartitions("g", "r", "s")
+    cross = groups.mapInArrow(_proposer(k, 16, threshold, miss), "a long, b long").distinct()
     cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second = _links(spark, cross, few, texts, n, percent, bands, rows, miss)
-    parts = connected_components(spark, first.unionAll(second))
+    links = stored(spark, first.unionAll(_verified(spark, cross, texts, n, percent)), "links")
+    for table in (buckets, texts, few, joined, parts, open_, first):
+        drop_stored(spark, table)
+    parts = connected_components(spark, links)
 
     members = full.select("doc_id", *key).join(classes, key).select("doc_id", "rep")
     found = members.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))

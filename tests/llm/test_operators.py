@@ -417,3 +417,37 @@ def test_repeats_whose_parts_first_occur_apart(spark):
         grams = [tuple(t[j : j + 50]) for j in range(len(t) - 49)]
         assert all(set(range(j, j + 50)) <= covered[i] for j, g in enumerate(grams) if g in seen)
         seen.update(grams)
+
+
+def components(sets, percent):
+    """Smallest id reachable by links of sets at the threshold, by brute force over pairs that share an element."""
+    low, by = {i: i for i in sets}, collections.defaultdict(list)
+    for i, x in sets.items():
+        for g in x:
+            by[g].append(i)
+    pairs = {i: collections.Counter(j for g in x for j in by[g] if j > i) for i, x in sets.items()}
+    links = [(i, j) for i, c in pairs.items() for j, both in c.items() if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)]
+    while True:
+        before = dict(low)
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+        if before == low:
+            return low
+
+
+def test_near_duplicates_hot_bucket_and_repeated_rows(spark):
+    """Documents of one template share buckets without links; the few links among them are found all the same."""
+    common, rows = words(1, 120), []
+    for i in range(500):
+        rows.append((i, " ".join(common + words(5000 + i, 50, 10**6))))
+    for i in range(0, 60, 3):  # an edited copy of a template document
+        own = words(5000 + i, 50, 10**6)
+        own[25] = "edited"
+        rows.append((1000 + i, " ".join(common + own)))
+    rows += [rows[0], rows[3], (7, "another text for a known id"), (7, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(spark, docs, n=4, block=16).collect()
+    assert len(got) == len({i for i, _ in rows}) == len({r.doc_id for r in got})
+    chosen = {r.doc_id: t for r in got for i, t in rows if i == r.doc_id and len(shingle_set(t, 4)) == r.n_shingles}
+    low = components({i: shingle_set(t, 4) for i, t in chosen.items()}, 80)
+    assert {r.doc_id: r.component_id for r in got} == low and low[1003] == 3
