@@ -5,9 +5,11 @@ import uuid
 
 
 def shared_dir(spark):
-    """The cluster's checkpoint folder; a temporary one only where the setting is absent, as in tests."""
+    """The cluster's checkpoint folder; a temporary one only where the setting is absent on one machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark.sparkContext, "_quadrille_dir", None)
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="quadrille-")

@@ -12,10 +12,14 @@ start) is removed.  Whether a string repeats is read off suffix arrays of shards
    shard, and sorted: suffixes are classified, leftmost-smaller substrings sorted and named, the names sorted
    recursively, and the shard's array induced from them in linear time.  Permuted common prefixes of `length` or
    more mark the suffixes that repeat an earlier one.
+4. Hot anchors.  A shard holds whole anchors, so stretches of an anchor that has more than a few shards of different
+   text are split first: into their windows, named by 128 bits of hash, of which all but the earliest go.  That is a
+   combined aggregation again; no task sees the group.
 
 Defined cases: null counts as empty text, with no removed bytes and the digest of nothing; texts shorter than `length`
-keep all bytes; rows with the same doc_id and text are one document, so they don't repeat each other; null doc_ids are one
-document before all others; extra columns are ignored; an empty table gives an empty result.  Bytes are those of UTF-8; what is kept need
+keep all bytes; rows with the same doc_id and text are one document and one row of the result; rows with one doc_id and
+different texts, or without doc_id, are documents of their own, ordered by doc_id (null first) and hash of the text;
+extra columns are ignored; an empty table gives an empty result.  Bytes are those of UTF-8; what is kept need
 not be valid UTF-8.
 """
 
@@ -27,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ._store import drop_stored, stored
-from ._text import byte_table, mix, powers, small_batches, string_buffers
+from ._text import byte_table, mix, powers, small_batches, span_hashes, string_buffers
 
 LENGTH, GRAM = 100, 24
-NULL_ID = -(1 << 63)
+SHARD, SHARDS = 2 << 20, 8  # bytes of a suffix array, and how many of them an anchor may fill
 
 
 def suffix_types(s):
@@ -267,10 +271,7 @@ def _pieces(length):
 
 
 def _sorter(length, shard_bytes):
-    """Suffix arrays over shards of whole anchors; an anchor with more text than a shard is streamed through several.
-
-    Windows already seen in earlier shards of such an anchor are kept as their first occurrences' pieces.
-    """
+    """Suffix arrays over shards of whole anchors, of `shard_bytes` and what their last anchor has beyond."""
 
     def shard(rows):
         rows.sort(key=lambda r: (r[0], r[1]))
@@ -292,10 +293,6 @@ def _sorter(length, shard_bytes):
                 if size >= shard_bytes and anchor != last:
                     yield out(shard(rows))
                     rows, size = [], 0
-                elif size >= 8 * shard_bytes:  # one anchor, sorted by document: keep what may be a first occurrence
-                    yield out(shard(rows))
-                    rows = first_windows(rows, length)
-                    size = sum(len(r[2]) for r in rows)
                 rows.append((doc, lo, body))
                 size += len(body)
                 last = anchor
@@ -305,19 +302,32 @@ def _sorter(length, shard_bytes):
     return run
 
 
-def first_windows(rows, length):
-    """The pieces of rows that hold a window no earlier piece holds."""
-    rows.sort(key=lambda r: (r[0], r[1]))
-    piece, off = repeated_windows([r[2] for r in rows], length)
-    repeats = np.bincount(piece, minlength=len(rows))
-    return [r for r, c in zip(rows, repeats) if c < len(r[2]) - length + 1]
+def _windows(length):
+    """Every window of the needed stretches by two hashes: rows (h1, h2, doc, start, again)."""
+
+    def run(batches):
+        tables = byte_table(lower=False, seed=11), byte_table(lower=False, seed=13)
+        for batch in small_batches(batches):
+            for d, text, needs in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "needs"))):
+                raw = np.frombuffer(text.encode(), dtype=np.uint8)
+                at = np.unique(np.concatenate([np.arange(x["lo"], x["lo"] + x["n"]) for x in needs]))
+                low, high = int(at[0]), int(at[-1]) + length
+                h1, h2 = (span_hashes(raw[low:high], at - low, at - low + length, table) for table in tables)
+                order = np.lexsort((at, h2, h1))
+                again = np.zeros(len(at), dtype=bool)
+                again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+                for i in range(0, len(at), 50_000):
+                    j = i + 50_000
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[i:j].view(np.int64)), pa.array(h2[i:j].view(np.int64)), pa.array(np.full(len(at[i:j]), d)), pa.array(at[i:j].astype(np.int32)), pa.array(again[i:j])], names=["h1", "h2", "doc", "start", "again"])
+
+    return run
 
 
 def _finisher(batches):
-    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     for batch in small_batches(batches):
         rows = []
-        for d, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans"))):
+        for d, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
             raw, at, parts, removed, runs, end = (text or "").encode(), 0, [], 0, 0, -1
             for p in sorted((p["start"], p["end"]) for p in spans or ()):
                 if p[0] > end:
@@ -341,7 +351,7 @@ def _settle(spark):
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(spark, docs, length=LENGTH, gram=GRAM, shard_bytes=2 << 20):
+def repeated_spans(spark, docs, length=LENGTH, gram=GRAM, shard_bytes=SHARD):
     """Removed byte ranges of docs(doc, text), doc unique and in corpus order: rows (doc, start, end), which may overlap."""
     anchors = stored(spark, docs.mapInArrow(_anchors(length, gram), "anchor long, body long, doc long, at long"), "anchors")
     # plain numbers only, so that both aggregations hash
@@ -358,22 +368,40 @@ def repeated_spans(spark, docs, length=LENGTH, gram=GRAM, shard_bytes=2 << 20):
     mixed = met.where("mixed").select("anchor", "body", "doc", "at")
     mixed = stored(spark, mixed.join(mixed.groupBy("anchor", "body").agg(F.min("doc").alias("first")), ["anchor", "body"]), "mixed")
     copies = mixed.where(~own | again).select(*span)
-    needs = mixed.where(own & ~again).select("anchor", "doc", lo.alias("lo"), n.alias("n")).groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("needs"))
-    pieces = stored(spark, docs.join(needs, "doc").select("doc", "text", "needs").mapInArrow(_pieces(length), "anchor long, doc long, lo int, body binary"), "pieces")
+    different = mixed.where(own & ~again).select("anchor", "doc", lo.alias("lo"), n.alias("n"))
+    hot = stored(spark, different.groupBy("anchor").agg(F.sum(F.col("n") - 1 + length).alias("bytes")).where(F.col("bytes") > SHARDS * shard_bytes).select("anchor"), "hot")
+    grouped = lambda x: docs.join(x.groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("needs")), "doc").select("doc", "text", "needs")
+    pieces = stored(spark, grouped(different.join(hot, "anchor", "left_anti")).mapInArrow(_pieces(length), "anchor long, doc long, lo int, body binary"), "pieces")
     _settle(spark)
     ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc", "lo")
-    sorted_ = ordered.mapInArrow(_sorter(length, shard_bytes), "doc long, start int, end int")
-    spans = stored(spark, plain.unionAll(copies).unionAll(sorted_), "spans")
-    for table in (met, mixed, pieces):
+    spans = plain.unionAll(copies).unionAll(ordered.mapInArrow(_sorter(length, shard_bytes), "doc long, start int, end int"))
+    tables = [met, mixed, pieces, hot]
+    if hot.limit(1).count():
+        windows = stored(spark, grouped(different.join(hot, "anchor")).mapInArrow(_windows(length), "h1 long, h2 long, doc long, start int, again boolean"), "windows")
+        first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        later = windows.join(first, ["h1", "h2"]).where("again or doc <> first").select("doc", "start", (F.col("start") + length).alias("end"))
+        spans, tables = spans.unionAll(later), [*tables, windows]
+    spans = stored(spark, spans, "spans")
+    for table in tables:
         drop_stored(spark, table)
     return spans
 
 
-def without_repeats(spark, docs, length=LENGTH):
+def _named(spark, docs):
+    """docs(doc_id, text) with `doc`, unique and in corpus order: doc_id itself where it is unique, else numbers in its order."""
+    clash = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc_id is null").limit(1).count()
+    if not clash:
+        return docs.withColumn("doc", F.col("doc_id"))
+    docs = docs.withColumn("pick", F.xxhash64("text")).groupBy("doc_id", "pick").agg(F.min("text").alias("text"))
+    ids = docs.select("doc_id", "pick").repartitionByRange("doc_id", "pick").sortWithinPartitions("doc_id", "pick")
+    ids = stored(spark, ids.withColumn("doc", F.monotonically_increasing_id()), "ids").select(F.col("doc_id").alias("i"), F.col("pick").alias("p"), "doc")
+    return stored(spark, docs.join(ids, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("pick") == F.col("p"))).select("doc_id", "text", "doc"), "named")
+
+
+def without_repeats(spark, docs, length=LENGTH, shard_bytes=SHARD):
     """Every document of docs(doc_id, text) without its repeated bytes: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(spark, docs, length)
+    docs = _named(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    spans = repeated_spans(spark, docs.select("doc", "text"), length, shard_bytes=shard_bytes)
     _settle(spark)
     per = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    out = docs.join(per, "doc", "left").select("doc", "text", "spans").mapInArrow(_finisher, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumn("doc", F.when(F.col("doc") != NULL_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")
+    return docs.join(per, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_finisher, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

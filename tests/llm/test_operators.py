@@ -113,25 +113,61 @@ def test_suffix_array_and_prefixes():
     assert set(zip(*(x.tolist() for x in repeated_windows(pieces, 4)))) == want
 
 
-def test_without_repeats(spark, corpus):
-    got = {r.doc_id: r for r in without_repeats(spark, awkward(spark, corpus)).collect()}
-    seen = set()
-    for i, t, _, _ in corpus:
+def repeats_removed(texts, length=100):
+    """(bytes, removed, runs, digest) per text in order, by brute force."""
+    seen, out = set(), []
+    for t in texts:
         raw = (t or "").encode()
         cover = bytearray(len(raw))
-        for s in range(len(raw) - 99):
-            w = raw[s : s + 100]
+        for s in range(len(raw) - length + 1):
+            w = raw[s : s + length]
             if w in seen:
-                cover[s : s + 100] = b"\1" * 100
+                cover[s : s + length] = b"\1" * length
             seen.add(w)
         kept = bytes(b for b, c in zip(raw, cover) if not c)
         runs = sum(1 for k in range(len(cover)) if cover[k] and not (k and cover[k - 1]))
-        r = got[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), sum(cover), runs, hashlib.sha256(kept).hexdigest()), i
+        out.append((len(raw), sum(cover), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def result(r):
+    return r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256
+
+
+def test_without_repeats(spark, corpus):
+    got = {r.doc_id: r for r in without_repeats(spark, awkward(spark, corpus)).collect()}
+    assert {i: result(r) for i, r in got.items()} == dict(zip([i for i, *_ in corpus], repeats_removed([t for _, t, *_ in corpus])))
     assert got[3].n_removed == got[3].n_bytes and got[12].n_removed > 0
     assert without_repeats(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_without_repeats_repeated_rows_and_null_ids(spark):
+    a, b = (" ".join(words(i, 60)) for i in (1, 2))
+    rows = [(1, a), (1, a), (2, b + a), (None, a + b), (None, b), (4, a), (4, b), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    picks = {(r.doc_id, r.text): r.h for r in docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(picks, key=lambda x: (x[0] is not None, x[0] or 0, picks[x]))
+    want = collections.Counter((i, *x) for (i, _), x in zip(order, repeats_removed([t for _, t in order])))
+    assert collections.Counter((r.doc_id, *result(r)) for r in without_repeats(spark, docs).collect()) == want
+    one = {r.doc_id: r.n_removed for r in without_repeats(spark, docs.where("doc_id in (1, 5) or doc_id = 2")).collect()}
+    assert one == {1: 0, 2: len(a), 5: 0}
+
+
+def test_without_repeats_splits_a_hot_anchor(spark):
+    """One phrase in many contexts is far more than a shard; some contexts repeat, some in part."""
+    phrase, rng, rows = "the phrase that all documents share", random.Random(8), []
+    filler = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    for i in range(300):
+        rows.append((i, filler(90) + phrase + filler(90)))
+    for i in range(300, 340):
+        source = rows[i - 200][1]
+        rows.append((i, filler(30) + source[i % 40 :] if i % 2 else source[:170] + filler(40)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: result(r) for r in without_repeats(spark, docs, shard_bytes=500).collect()}
+    assert got == dict(zip([i for i, _ in rows], repeats_removed([t for _, t in rows])))
+    assert sum(x[1] > 0 for x in got.values()) == 40
+
+
 def test_chain_prefers_collinear_matches():
     x, y = [0, 10, 20, 30, 30], [5, 15, 25, 35, 2]
     assert chain(x, y, 8)[0] == [0, 1, 2, 3]
