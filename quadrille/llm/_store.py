@@ -3,6 +3,8 @@
 import tempfile
 import uuid
 
+from pyspark.sql import functions as F
+
 
 def shared_dir(spark):
     """The cluster's checkpoint folder; a temporary one only where the setting is absent on one machine, as in tests."""
@@ -32,3 +34,10 @@ def drop_stored(spark, df):
     for root in roots:
         p = jvm.org.apache.hadoop.fs.Path(root)
         p.getFileSystem(conf).delete(p, True)
+
+
+def one_row_each(spark, docs):
+    """docs(doc_id, text) with one row per doc_id: of several texts the one with the smallest hash."""
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
+        return docs
+    return stored(spark, docs.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "unique")

@@ -25,12 +25,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._store import drop_stored, stored
+from ._store import drop_stored, one_row_each, stored
 from ._text import mix, powers, shingles, small_batches, span_hashes, string_buffers, word_spans
 
 BANDS, ROWS = 24, 4
 BLOCK = 256
-_SIG = "doc_id long, pick long, n_shingles long, set_hi long, set_lo long, bands array<long>, sig binary"
+_SIG = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sig binary"
 
 
 def shingle_sets(texts, n, pows=None):
@@ -78,14 +78,13 @@ def _signer(n, bands, rows):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
-                    batch.column("pick").cast(pa.int64()),
                     pa.array(size),
                     pa.array(hi.view(np.int64)),
                     pa.array(lo.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(sets) + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).reshape(-1))),
                     pa.array([row.tobytes() for row in np.ascontiguousarray(byte)], pa.binary()),
                 ],
-                names=["doc_id", "pick", "n_shingles", "set_hi", "set_lo", "bands", "sig"],
+                names=["doc_id", "n_shingles", "set_hi", "set_lo", "bands", "sig"],
             )
 
     return run
@@ -239,9 +238,9 @@ def near_duplicates(spark, docs, n=4, percent=80, bands=BANDS, rows=ROWS, miss=1
     with probability (1 - (percent/100)**rows)**bands, 3e-6 with the defaults, and the Bayesian pruning with about
     `miss` per comparison.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("pick", F.xxhash64("text"))
-    signed = docs.mapInArrow(_signer(n, bands, rows), _SIG)
-    sigs = stored(spark, signed.groupBy("doc_id").agg(F.min(F.struct(*signed.columns[1:])).alias("x")).select("doc_id", "x.*"), "signatures")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = one_row_each(spark, docs.where("doc_id is not null"))
+    sigs = stored(spark, docs.mapInArrow(_signer(n, bands, rows), _SIG), "signatures")
     full = sigs.where("n_shingles > 0")
     key = ["set_hi", "set_lo", "n_shingles"]
     classes = stored(spark, full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
@@ -250,7 +249,7 @@ def near_duplicates(spark, docs, n=4, percent=80, bands=BANDS, rows=ROWS, miss=1
     lead = keyed.groupBy("band").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = stored(spark, keyed.join(lead.select("band", "lead"), "band"), "buckets")
     involved = buckets.select("doc_id").distinct()
-    texts = stored(spark, docs.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", "pick").alias("text")), "texts")
+    texts = stored(spark, docs.join(involved, "doc_id", "left_semi"), "texts")
     few = stored(spark, reps.select("doc_id", "sig").join(involved, "doc_id", "left_semi"), "involved")
 
     k, threshold = bands * rows, percent / 100

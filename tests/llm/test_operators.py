@@ -487,3 +487,13 @@ def test_near_duplicates_hot_bucket_and_repeated_rows(spark):
     chosen = {r.doc_id: t for r in got for i, t in rows if i == r.doc_id and len(shingle_set(t, 4)) == r.n_shingles}
     low = components({i: shingle_set(t, 4) for i, t in chosen.items()}, 80)
     assert {r.doc_id: r.component_id for r in got} == low and low[1003] == 3
+
+
+def test_passages_with_repeated_ids(spark):
+    p, w = words(1, 80), lambda i: words(100 + i, 30)
+    rows = [(1, p + w(1)), (5, ["short"]), (5, w(2) + p + w(3)), (6, w(4) + p), (6, w(4) + p), (None, p)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    pick = min((r.h, r.text) for r in docs.where("doc_id = 5").withColumn("h", F.xxhash64("text")).collect())[1]
+    got = {(r.doc_id, r.src_id, r.start, r.end) for r in repeated_passages(spark, docs).collect()}
+    want = {(6, 1, 30, 110)} | ({(5, 1, 30, 110)} if len(pick) > 5 else set())
+    assert {(d, s) for d, s, *_ in want} <= {(d, s) for d, s, *_ in got} and all(e - s >= 80 for _, _, s, e in got)
