@@ -1,30 +1,39 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, weighted-shingle check.
 
 Every benchmark item gets a 64-bit SimHash over its weighted word shingles.  Windows of the same number of words slide
-over each document one word at a time; their fingerprints are looked up in eight tables of eight bits, each holding all
-block values within two bits of an item's block.  By the pigeonhole principle a window within 23 bits of an item agrees
-with it in a block up to two bits, so no fingerprint within that radius is missed.  Candidates are verified with the
-exact weighted Jaccard similarity of their shingle multisets.
+over each document one word at a time, and their fingerprints are looked up in five tables of 12 or 13 bits, built from
+the items of that length.  By the pigeonhole principle a window within RADIUS = 19 bits of an item agrees with it in one block
+up to three bits; the tables hold all block values within two bits of an item's, a lookup tries those within one bit of the
+window's, so no fingerprint within the radius is missed.  Of random fingerprints a table lookup passes 21 %, the radius one
+in a thousand; a window at similarity 0.8 is beyond the radius with probability below 0.001 (expected distance 9.7
+bits, deviation 2.9).  What the lookup proposes is verified with the exact weighted Jaccard similarity of the shingle multisets.
 
-A window without any shingle of the item has similarity 0, so windows are built only around shingles that occur in the
-benchmark; no window that could pass is skipped.  Texts are taken whole.
+Windows are fingerprinted where they could pass: the weight of a window's shingles that occur anywhere in the benchmark bounds
+its similarity with every item, so windows below the threshold by that bound have no match.  Texts are taken whole.
 
-The items are the stated query set.  They are handed to the tasks in blocks of at most `block_words` words, so a broadcast
-is bounded whatever the benchmark's size; a larger benchmark means more passes.
+Shingle weights come from the whole benchmark: 1 + ln((1 + items) / (1 + items with the shingle)); one that no item has
+weighs as if one had it.  The corpus is read once: a bit table of fixed size (2 MB) of the benchmark's shingles finds the
+documents that may hold any, which are stored.  The items, the stated query set, reach the tasks in blocks of at most about
+`block_words` words, so a broadcast is bounded whatever the benchmark's size; only the stored documents are read again.
 
 Defined cases: null or empty texts match nothing; items that are null, empty or shorter than `n` words match nothing, as
 do documents shorter than `n` words; a document shorter than an item is one window; repeated items report each item_id;
-null item_ids are ignored; extra columns are ignored; empty tables give an empty result.
+null item_ids are ignored, null doc_ids are reported as null; extra columns are ignored; empty tables give an empty result.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ._store import stored
 from ._text import mix, powers, shingles, small_batches, span_hashes, string_buffers
 from .toxicity import folded, token_spans
 
-RADIUS, BLOCK_BITS, BLOCK_RADIUS = 23, 8, 2
+RADIUS, WIDTHS, STORED, TRIED = 19, (13, 13, 13, 13, 12), 2, 1
+SHIFTS = tuple(int(x) for x in np.cumsum((0, *WIDTHS[:-1])))
+COARSE = 24  # bits of a shingle's hash that name its place in the bit table
 _OUT = "doc_id long, item_id long, start long, end long, hamming int, similarity double"
 
 
@@ -38,43 +47,90 @@ def fingerprints(sums):
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
+def near_values(bits, radius):
+    """All masks of up to `radius` of `bits` bits."""
+    return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in itertools.combinations(range(bits), r)], dtype=np.int64)
+
+
+NEAR = {(w, r): near_values(w, r) for w in set(WIDTHS) for r in (STORED, TRIED)}
+
+
+def blocks_of(prints):
+    """The five block values of each fingerprint."""
+    return [((prints >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64) for at, w in zip(SHIFTS, WIDTHS)]
+
+
 def block_tables(prints):
-    """For each block and block value, which of the fingerprints have a block within BLOCK_RADIUS bits of it."""
-    ones = np.array([bin(v).count("1") for v in range(256)])
-    near = ones[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= BLOCK_RADIUS
-    parts = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return np.stack([near[:, parts[:, b]] for b in range(8)])
+    """Per block the sorted values within STORED bits of a fingerprint's, and whose they are."""
+    out = []
+    for w, own in zip(WIDTHS, blocks_of(prints)):
+        values = (own[:, None] ^ NEAR[w, STORED][None, :]).reshape(-1)
+        owner = np.repeat(np.arange(len(own)), len(NEAR[w, STORED]))
+        order = np.argsort(values, kind="stable")
+        out.append((values[order], owner[order]))
+    return out
 
 
-def item_index(ids, texts, n, pows=None):
-    """What tasks need of a block of items: shingles, weights, fingerprints and lookup tables by item length."""
+def lookup(tables, items, prints):
+    """Pairs (window, item) that agree in a block up to STORED + TRIED bits, each once; items is how many there are."""
+    pairs = []
+    for w, (values, owner), own in zip(WIDTHS, tables, blocks_of(prints)):
+        tries = (own[:, None] ^ NEAR[w, TRIED][None, :]).reshape(-1)
+        lo, hi = np.searchsorted(values, tries), np.searchsorted(values, tries, side="right")
+        many = hi - lo
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        pairs.append(np.repeat(np.repeat(np.arange(len(own)), len(NEAR[w, TRIED])), many) * items + owner[at])
+    both = np.unique(np.concatenate(pairs))
+    return both // items, both % items
+
+
+def token_grams(texts, n, pows=None):
+    """(bytes, token starts, token ends, first token of each text, shingle hashes, which are valid)."""
     data, offs = string_buffers(texts)
     data = folded(data)
     s, e, first = token_spans(data, offs)
     h, valid = shingles(span_hashes(data, s, e, pows=pows), first, n)
-    counts = np.diff(first)
-    ids, keep = np.asarray(ids), np.flatnonzero(counts >= n)
-    grams = [np.sort(h[first[i] : first[i + 1]][valid[first[i] : first[i + 1]]]) for i in keep]
-    owners = [np.unique(g) for g in grams]
-    every, df = np.unique(np.concatenate(owners) if owners else np.zeros(0, np.uint64), return_counts=True)
-    # whole numbers, so that sums over windows are exact
-    weight = np.rint(1024 * (1 + np.log((1 + len(grams)) / (1.0 + df)))).astype(np.int64)
-    top = int(np.rint(1024 * (1 + np.log(1.0 + len(grams)))))
-    pairs = sorted((int(np.searchsorted(every, x)), k) for k, o in enumerate(owners) for x in o)
-    item_of = np.array([k for _, k in pairs], dtype=np.int64)
-    item_at = np.searchsorted(np.array([x for x, _ in pairs], dtype=np.int64), np.arange(len(every) + 1))
-    prints = np.zeros(len(grams), np.uint64)
-    for k, g in enumerate(grams):
-        prints[k] = fingerprints((signs(mix(g)) * weight[np.searchsorted(every, g)][:, None]).sum(axis=0, keepdims=True))[0]
-    coarse = np.zeros(1 << 20, dtype=bool)
-    coarse[(every >> np.uint64(44)).astype(np.int64)] = True
-    return {"ids": ids[keep], "size": counts[keep], "grams": grams, "every": every, "weight": weight, "top": top, "item_of": item_of, "item_at": item_at, "prints": prints, "tables": block_tables(prints), "coarse": coarse}
+    return data, offs, s, e, first, h, valid
 
 
-def weigh(index, grams):
-    """Weights of shingles; those outside the benchmark weigh as much as one of a single item would at most."""
+def _item_rows(n):
+    def run(batches):
+        for batch in small_batches(batches):
+            *_, first, h, valid = token_grams(batch.column("text"), n)
+            counts = np.diff(first)
+            keep = np.flatnonzero(counts >= n)
+            grams = [h[first[i] : first[i + 1]][valid[first[i] : first[i + 1]]].view(np.int64) for i in keep]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(keep)), pa.array(counts[keep].astype(np.int64)), pa.array(grams, pa.list_(pa.int64()))], names=["item_id", "size", "grams"])
+
+    return run
+
+
+def item_index(ids, sizes, grams, every, df, total):
+    """What tasks need of a block of items: shingles and weights, and by length fingerprints and lookup tables.
+
+    every and df are the shingles of these items and the number of items with each, total the number of items, in the whole benchmark.
+    """
+    order = np.argsort(every)
+    every, df = every[order], df[order]
+    weigh_df = lambda x: np.rint(1024 * (1 + np.log((1 + total) / (1.0 + x)))).astype(np.int64)  # noqa: E731  whole numbers, so that sums over windows are exact
+    index = {"ids": np.asarray(ids), "every": every, "weight": weigh_df(df), "outside": int(weigh_df(np.array([1]))[0]), "grams": [np.sort(g) for g in grams], "sizes": {}}
+    for size in np.unique(sizes):
+        items = np.flatnonzero(np.asarray(sizes) == size)
+        prints = np.concatenate([fingerprints((signs(mix(grams[k])) * weigh(index, grams[k])[:, None]).sum(axis=0, keepdims=True)) for k in items])
+        index["sizes"][int(size)] = (items, prints, block_tables(prints))
+    return index
+
+
+def known(index, grams):
+    """Which shingles the block's items have, and where in `every`."""
     at = np.minimum(np.searchsorted(index["every"], grams), max(0, len(index["every"]) - 1))
-    return np.where(index["every"][at] == grams, index["weight"][at], index["top"]) if len(index["every"]) else np.full(len(grams), index["top"])
+    return (index["every"][at] == grams if len(index["every"]) else np.zeros(len(grams), bool)), at
+
+
+def weigh(index, grams):
+    """Weights of shingles; those outside the block weigh as those of a single item."""
+    have, at = known(index, grams)
+    return np.where(have, index["weight"][at], index["outside"]) if len(index["every"]) else np.full(len(grams), index["outside"])
 
 
 def similarity(index, item, window):
@@ -89,66 +145,61 @@ def similarity(index, item, window):
 
 def matches(index, grams, n, threshold, n_words):
     """(item, first word, words, hamming, similarity) of one document's windows that pass; overlapping ones of an item give the best."""
-    every, out = index["every"], []
-    maybe = np.flatnonzero(index["coarse"][(grams >> np.uint64(44)).astype(np.int64)])
-    at = np.searchsorted(every, grams[maybe])
-    ok = at < len(every)
-    ok[ok] = every[at[ok]] == grams[maybe[ok]]
-    hits, at = maybe[ok], at[ok]
+    out, (have, _) = [], known(index, grams)
+    hits = np.flatnonzero(have)
     if not len(hits):
         return out
-    spans = index["item_at"][at + 1] - index["item_at"][at]
-    pos = np.repeat(hits, spans)
-    item = index["item_of"][np.repeat(index["item_at"][at] - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())]
-    order = np.argsort(item, kind="stable")
-    pos, item = pos[order], item[order]
-    cuts = np.flatnonzero(np.diff(item)) + 1
-    edges = np.concatenate(([0], cuts, [len(item)]))
-    low, high = max(0, int(hits.min()) - int(index["size"].max())), min(len(grams), int(hits.max()) + int(index["size"].max()))
-    sign = None
-    for a, b in zip(edges[:-1], edges[1:]):
-        k, own = int(item[a]), pos[a:b]
-        size = int(min(index["size"][k], n_words))
+    weight = weigh(index, grams)
+    total, held = (np.concatenate(([0], np.cumsum(x))) for x in (weight, np.where(have, weight, 0)))
+    widest = max(index["sizes"])
+    low, high = max(0, int(hits[0]) - widest), min(len(grams), int(hits[-1]) + widest)
+    sign = np.zeros((high - low + 1, 64), dtype=np.int64)
+    np.cumsum(signs(mix(grams[low:high])) * weight[low:high, None], axis=0, out=sign[1:])
+    found = {}
+    for size, (items, prints, tables) in index["sizes"].items():
+        size = min(size, n_words)
         width = size - n + 1  # shingles in a window
-        last = n_words - size
-        diff = np.zeros(last + 2, dtype=np.int64)
-        np.add.at(diff, np.clip(own - width + 1, 0, last), 1)
-        np.add.at(diff, np.clip(own, 0, last) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(diff)[: last + 1] > 0)
-        if sign is None:
-            region = grams[low:high]
-            sign = np.zeros((high - low + 1, 64), dtype=np.int64)
-            np.cumsum(signs(mix(region)) * weigh(index, region)[:, None], axis=0, out=sign[1:])
-        prints = fingerprints(sign[starts + width - low] - sign[starts - low])
-        parts = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
-        found = np.zeros(len(starts), dtype=bool)
-        for block in range(8):
-            found |= index["tables"][block][parts[:, block], k]
-        starts, prints = starts[found], prints[found]
-        far = np.bitwise_count(prints ^ index["prints"][k]).astype(np.int64)
-        near = np.flatnonzero(far <= RADIUS)
-        good = [(-similarity(index, k, grams[starts[i] : starts[i] + width]), int(starts[i]), int(far[i])) for i in near]
+        starts = np.arange(n_words - size + 1)
+        starts = starts[held[starts + width] - held[starts] >= threshold * (total[starts + width] - total[starts]) - 1e-6]
+        if not len(starts):
+            continue
+        own = fingerprints(sign[starts + width - low] - sign[starts - low])
+        window, item = lookup(tables, len(items), own)
+        far = np.bitwise_count(own[window] ^ prints[item]).astype(np.int64)
+        for i in np.flatnonzero(far <= RADIUS):
+            k, start = int(items[item[i]]), int(starts[window[i]])
+            sim = similarity(index, k, grams[start : start + width])
+            if sim >= threshold:
+                found.setdefault((k, size), []).append((-sim, start, int(far[i])))
+    for (k, size), good in found.items():
         taken = []
-        for sim, start, bits in sorted(g for g in good if -g[0] >= threshold):
+        for sim, start, bits in sorted(good):
             if all(abs(start - t) >= size for t in taken):
                 taken.append(start)
                 out.append((k, start, size, bits, -sim))
     return out
 
 
+def _filter(coarse, n):
+    def run(batches):
+        pows, bits = powers(1 << 21), np.unpackbits(coarse.value).astype(bool)
+        for batch in small_batches(batches):
+            *_, first, h, valid = token_grams(batch.column("text"), n, pows)
+            hot = bits[(h >> np.uint64(64 - COARSE)).astype(np.int64)] & valid
+            docs = np.unique(np.searchsorted(first, np.flatnonzero(hot), side="right") - 1)
+            yield batch.take(pa.array(docs))
+
+    return run
+
+
 def _matcher(index, n, threshold):
     def run(batches):
         pows = powers(1 << 21)
         ix = index.value
         for batch in small_batches(batches):
-            data, offs = string_buffers(batch.column("text"))
-            data = folded(data)
-            s, e, first = token_spans(data, offs)
-            h, valid = shingles(span_hashes(data, s, e, pows=pows), first, n)
-            hot = ix["coarse"][(h >> np.uint64(44)).astype(np.int64)] & valid
-            docs = np.unique(np.searchsorted(first, np.flatnonzero(hot), side="right") - 1)
+            data, offs, s, e, first, h, _ = token_grams(batch.column("text"), n, pows)
             ids, rows, heads = batch.column("doc_id").to_pylist(), [], None
-            for d in docs:
+            for d in range(batch.num_rows):
                 a, b = int(first[d]), int(first[d + 1])
                 if b - a < n:
                     continue
@@ -171,12 +222,28 @@ def contamination(spark, docs, benchmark, n=5, threshold=0.8, block_words=400_00
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (4 * block_words)))
-    out = None
+    items = stored(spark, items.mapInArrow(_item_rows(n), "item_id long, size long, grams array<long>"), "items")
+    size = items.agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("words")).first()
+    if not size.items:
+        return spark.createDataFrame([], _OUT)
+    gram = items.select(F.monotonically_increasing_id().alias("row"), F.explode(F.array_distinct("grams")).alias("gram"))
+    df = stored(spark, gram.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "shingles")
+    places = df.select(F.shiftrightunsigned("gram", 64 - COARSE).alias("place"))
+    # 2 MB whatever the benchmark: 64 places a row, at most 2**18 rows
+    bits = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(place & 63)))").alias("bits")).toArrow()
+    coarse = np.zeros(1 << (COARSE - 6), dtype="<u8")
+    coarse[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    coarse = np.packbits(np.unpackbits(coarse.view(np.uint8), bitorder="little"))
+    maybe = stored(spark, docs.mapInArrow(_filter(spark.sparkContext.broadcast(coarse), n), "doc_id long, text string"), "maybe")
+    blocks, out = max(1, -(-size.words // block_words)), None
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow()  # bounded by block_words
-        index = item_index(part.column("item_id").to_pylist(), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string()), n)
-        found = docs.mapInArrow(_matcher(spark.sparkContext.broadcast(index), n, threshold), _OUT)
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        weights = df.join(part.select(F.explode("grams").alias("gram")).distinct(), "gram").toArrow() if blocks > 1 else df.toArrow()  # bounded by block_words
+        part = part.toArrow()
+        grams = [np.array(x, dtype=np.int64).view(np.uint64) for x in part.column("grams").to_pylist()]
+        if not grams:
+            continue
+        index = item_index(part.column("item_id").to_pylist(), part.column("size").to_numpy(), grams, weights.column("gram").to_numpy().view(np.uint64), weights.column("df").to_numpy(), size.items)
+        found = maybe.mapInArrow(_matcher(spark.sparkContext.broadcast(index), n, threshold), _OUT)
         out = found if out is None else out.unionAll(found)
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import mixing
 from quadrille.llm.cross_polytope import similar_vectors
-from quadrille.llm.decontam import block_tables, contamination
+from quadrille.llm.decontam import RADIUS, block_tables, contamination, lookup
 from quadrille.llm.html_main import main_text, main_texts
 from quadrille.llm.near_dup import near_duplicates, posterior_bounds
 from quadrille.llm.passages import chain, repeated_passages, without_passages
@@ -189,9 +189,47 @@ def test_passages_and_cut(spark, corpus):
     assert repeated_passages(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_block_tables_hold_every_near_block():
-    t = block_tables(np.array([0], dtype=np.uint64))
-    assert t.shape == (8, 256, 1) and t[0, 0b11, 0] and not t[0, 0b111, 0]
+def test_lookup_holds_every_near_fingerprint_and_prunes():
+    rng = np.random.default_rng(2)
+    items = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    far = items.copy()
+    for k in range(len(far)):
+        for bit in rng.choice(64, RADIUS, replace=False):
+            far[k] ^= np.uint64(1 << int(bit))
+    window, item = lookup(block_tables(items), len(items), far)
+    assert {(k, k) for k in range(len(items))} <= set(zip(window.tolist(), item.tolist()))
+    assert len(window) < 0.25 * len(items) ** 2
+
+
+def test_windows_at_the_threshold_are_within_the_radius(spark):
+    """Recall of the lookup against exhaustive similarity of every item-sized window."""
+    rng, items, rows = random.Random(12), [], []
+    for k in range(60):
+        items.append((k, " ".join(words(700 + k, rng.choice([50, 60, 80]), 3000))))
+        w = items[-1][1].split()
+        for _ in range(3):
+            x = list(w)
+            for i in rng.sample([0, 1, 2, len(x) - 2, len(x) - 1, len(x) // 2], rng.randint(0, 2)):
+                x[i] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words(9000 + len(rows), 20, 3000) + x + words(9500 + len(rows), 20, 3000))))
+    got = {(r.doc_id, r.item_id) for r in contamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    df = collections.Counter(g for _, t in items for g in grams(t.split()))
+    weight = lambda g: round(1024 * (1 + np.log((1 + len(items)) / (1 + max(1, df[g])))))
+    want = set()
+    for d, t in rows:
+        w = t.split()
+        for k, item in items:
+            a = grams(item.split())
+            if not set(a) & set(grams(w)):
+                continue
+            size = len(item.split())
+            for i in range(len(w) - size + 1):
+                b = grams(w[i : i + size])
+                both = sum(weight(g) * c for g, c in (a & b).items())
+                if both >= 0.8 * (sum(weight(g) * c for g, c in (a | b).items())):
+                    want.add((d, k))
+    assert got <= want and len(want) > 100 and len(got) >= 0.99 * len(want)
 
 
 def test_contamination(spark, corpus):
