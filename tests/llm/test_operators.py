@@ -535,3 +535,23 @@ def test_passages_with_repeated_ids(spark):
     got = {(r.doc_id, r.src_id, r.start, r.end) for r in repeated_passages(spark, docs).collect()}
     want = {(6, 1, 30, 110)} | ({(5, 1, 30, 110)} if len(pick) > 5 else set())
     assert {(d, s) for d, s, *_ in want} <= {(d, s) for d, s, *_ in got} and all(e - s >= 80 for _, _, s, e in got)
+
+
+def test_html_ratios_select():
+    text = "<p>A long paragraph, with commas. And sentences that go on for a while.</p><p>Another one; it is fine, too.</p>"
+    want = "A long paragraph, with commas. And sentences that go on for a while.\nAnother one; it is fine, too."
+    for wrap in ("<div class='site has-sidebar'>%s</div>", "<div class='wrapper no-sidebar'>%s</div>", "<div id='page' class='search-page'>%s</div>", "<div class='content comments-open'>%s</div>", "<form action='x'>%s</form>"):
+        for body in (text, f"<article>{text}</article>"):
+            assert main_text("<body>" + wrap % body + "</body>") == want
+    assert main_text(f"<body><article class='blog comments-open'>{text}</article></body>") == want
+    stray = "<div>12</div><div><span>Buy now</span></div><div hidden><p>Not shown, ever.</p></div>"
+    assert main_text(f"<body><article>{stray}{text}</article></body>") == want
+    menu = "<ul><li><a href='a'>Home</a></li><li><a href='b'>About us</a></li></ul>"
+    assert main_text(f"<body><div>{menu}<div>{stray}{text}</div></div></body>") == want
+    assert main_text(f"<body><div>{menu}{stray}{text}</div></body>") == want
+    assert main_text(f"<body><div class='story'>{text}<h2>Points</h2><ul><li>one</li><li>two</li></ul><table><tr><td>12</td></tr></table></div></body>") == want + "\nPoints\none\ntwo\n12"
+    notices = "<div class='cookie-notice'><p>We use cookies, as you know.</p></div><div class='ad-slot'>Cheap, cheap!</div><form><p>Sign up, please.</p></form>"
+    readers = "<section id='comments'>" + "<p>I liked this text a lot, and so did many other readers of it, as they said.</p>" * 6 + "</section>"
+    assert main_text(f"<body><div class='page'>{notices}{text}{readers}</div></body>") == want
+    assert main_text(f"<body>{notices}<main>{text}<div class='newsletter-box'>Our letter, weekly.</div></main>{readers}</body>") == want
+    assert main_text("<body><div class='comments'><p>All there is, is this.</p></div></body>") == "All there is, is this."
