@@ -48,3 +48,22 @@ def test_mix_oracle(spark):
     want = {tuple(r) for r in duckdb.sql(f"select doc_id, source, slot, position from ({ORACLE})").fetchall()}
     got = {tuple(r) for r in op4_pfair_mix(spark, SMALL).select("doc_id", "source", "slot", F.col("position")).collect()}
     assert got == want
+
+
+def test_stages_judge_rows_without_id_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"t{rng.randrange(5000)}" for _ in range(n))
+    item, copy, clean = text(40), text(200), text(80)
+    rows = [(None, text(40) + " " + item), (None, clean), (1, copy), (None, copy), (2, copy), (3, clean + " more"), (4, "x " + text(70)), (5, None), (None, None), (6, "")]
+    rows += [rows[-4]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), i) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, unnamed long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    both = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert both(stages["toxicity"](spark, docs, str(tmp_path))) == sorted(rows, key=str)
+    assert both(stages["benchmark_decontamination"](spark, docs, str(tmp_path))) == sorted(rows[1:], key=str)
+    left = both(stages["minhash_near_dup"](spark, docs, str(tmp_path)))
+    assert sum(t == copy for _, t in left) == 1 and sum((t or "").startswith(clean) for _, t in left) == 1 and len(left) == 7
+    cut = both(stages["substring_dedup"](spark, docs, str(tmp_path)))
+    assert len(cut) == len(rows) and sum(t == copy for _, t in cut) == 1
