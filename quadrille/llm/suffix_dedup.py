@@ -8,8 +8,8 @@ start) is removed.  Whether a string repeats is read off suffix arrays of shards
    needs only one row for each stretch of windows with one anchor.  Anchors that occur once can't repeat anything.
 2. Copies.  Stretches with equal anchor and equal bytes collapse to their first occurrence; the others are covered by
    it as a whole.  This is a combined aggregation, so thousands of copies are one row before any text moves.
-3. Suffix arrays.  Where an anchor has several different stretches, their first occurrences are concatenated, shard by
-   shard, and sorted: suffixes are classified, leftmost-smaller substrings sorted and named, the names sorted
+3. Suffix arrays.  Where an anchor has several different stretches, the first occurrences of those that agree with another
+   one beside the anchor are concatenated, shard by shard, and sorted: suffixes are classified, leftmost-smaller substrings sorted and named, the names sorted
    recursively, and the shard's array induced from them in linear time.  Permuted common prefixes of `length` or
    more mark the suffixes that repeat an earlier one.
 4. Hot anchors.  A shard holds whole anchors, so stretches of an anchor that has more than a few shards of different
@@ -34,6 +34,7 @@ from ._store import drop_stored, stored
 from ._text import byte_table, mix, powers, small_batches, span_hashes, string_buffers
 
 LENGTH, GRAM = 100, 24
+GRAMS, POWERS = byte_table(lower=False, seed=7), powers(1 << 10)
 SHARD, SHARDS = 2 << 20, 8  # bytes of a suffix array, and how many of them an anchor may fill
 
 
@@ -208,19 +209,26 @@ def repeated_windows(pieces, length):
     return piece, at - starts[piece]
 
 
+def gram_hashes(data, gram, pows):
+    """(prefix sums, hash of each `gram` bytes) of a byte array; pows are at least as many powers as bytes."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(GRAMS[data] * pows[0][: len(data)], out=sums[1:])
+    return sums, mix((sums[gram:] - sums[:-gram]) * pows[1][: len(data) - gram + 1])
+
+
 def _anchors(length, gram):
     def run(batches):
-        pows, table = powers(1 << 21), byte_table(lower=False, seed=7)
+        pows = powers(1 << 21)
         width = length - gram + 1
         for batch in small_batches(batches):
             data, offs = string_buffers(batch.column("text"))
             names = ["anchor", "body", "doc", "at"]
             if len(data) < length:
                 continue
-            fwd, back = pows if len(pows[0]) > len(data) else powers(len(data) + 1)
-            sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(table[data] * fwd[: len(data)], out=sums[1:])
-            grams = mix((sums[gram:] - sums[:-gram]) * back[: len(data) - gram + 1])
+            if len(pows[0]) <= len(data):
+                pows = powers(len(data) + 1)
+            sums, grams = gram_hashes(data, gram, pows)
+            back = pows[1]
             low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
             have = 1
             while have < width:  # smallest over the grams of each window; leftmost where equal
@@ -270,7 +278,29 @@ def _pieces(length):
     return run
 
 
-def _sorter(length, shard_bytes):
+def may_repeat(anchor, rows, length, gram):
+    """The rows (doc, lo, piece) of an anchor that can have a window in common with another one.
+
+    All windows hold the anchor's gram, so one that two pieces share reaches at least half of the rest of `length` bytes to
+    the left or to the right of it; a piece whose bytes there are like no other's on either side repeats nothing.
+    """
+    first = np.frombuffer(rows[0][2], dtype=np.uint8)
+    at = np.flatnonzero(gram_hashes(first, gram, POWERS if len(first) < len(POWERS[0]) else powers(len(first) + 1))[1] == np.uint64(anchor & (1 << 64) - 1))
+    if not len(at):
+        return rows
+    word, side, keys, seen = rows[0][2][at[0] : at[0] + gram], (length - gram) // 2, [], {}
+    for _, _, piece in rows:
+        g = piece.find(word)
+        if g < 0 or piece.find(word, g + 1) >= 0:
+            return rows
+        pair = (piece[g - side : g] if g >= side else None, piece[g + gram : g + gram + side] if len(piece) >= g + gram + side else None)
+        keys.append(pair)
+        for k in enumerate(pair):
+            seen[k] = seen.get(k, 0) + 1
+    return [r for r, (a, b) in zip(rows, keys) if a is not None and seen[0, a] > 1 or b is not None and seen[1, b] > 1]
+
+
+def _sorter(length, gram, shard_bytes):
     """Suffix arrays over shards of whole anchors, of `shard_bytes` and what their last anchor has beyond."""
 
     def shard(rows):
@@ -287,15 +317,21 @@ def _sorter(length, shard_bytes):
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], names=["doc", "start", "end"])
 
     def run(batches):
-        rows, size, last = [], 0, None
+        rows, size, own, last = [], 0, [], None
         for batch in batches:
             for anchor, doc, lo, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "lo", "body"))):
-                if size >= shard_bytes and anchor != last:
-                    yield out(shard(rows))
-                    rows, size = [], 0
-                rows.append((doc, lo, body))
-                size += len(body)
-                last = anchor
+                if anchor != last:
+                    if len(own) > 1:
+                        own = may_repeat(last, own, length, gram)
+                        rows += own
+                        size += sum(len(r[2]) for r in own)
+                    own, last = [], anchor
+                    if size >= shard_bytes:
+                        yield out(shard(rows))
+                        rows, size = [], 0
+                own.append((doc, lo, body))
+        if len(own) > 1:
+            rows += may_repeat(last, own, length, gram)
         if rows:
             yield out(shard(rows))
 
@@ -374,7 +410,7 @@ def repeated_spans(spark, docs, length=LENGTH, gram=GRAM, shard_bytes=SHARD):
     pieces = stored(spark, grouped(different.join(hot, "anchor", "left_anti")).mapInArrow(_pieces(length), "anchor long, doc long, lo int, body binary"), "pieces")
     _settle(spark)
     ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc", "lo")
-    spans = plain.unionAll(copies).unionAll(ordered.mapInArrow(_sorter(length, shard_bytes), "doc long, start int, end int"))
+    spans = plain.unionAll(copies).unionAll(ordered.mapInArrow(_sorter(length, gram, shard_bytes), "doc long, start int, end int"))
     tables = [met, mixed, pieces, hot]
     if hot.limit(1).count():
         windows = stored(spark, grouped(different.join(hot, "anchor")).mapInArrow(_windows(length), "h1 long, h2 long, doc long, start int, again boolean"), "windows")
