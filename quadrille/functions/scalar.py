@@ -222,7 +222,9 @@ def seconds(v):
 
 def tz(v):
     if v.rep.kind == "lit" and v.rep.dt == DATETIME:
-        return Val.string(F.when(v.bound(), F.lit("")))
+        text = getattr(v, "const_text", None)  # a constant keeps its zone; native columns have none
+        zone = re.search(r"(Z|[+-]\d\d:\d\d)$", text) if text else None
+        return Val.string(F.when(v.bound(), F.lit(zone.group(1) if zone else "")))
     return Val.string(F.when(v.dt() == DATETIME, F.regexp_extract(v.lex(), _STAMP, 7)))
 
 

@@ -428,8 +428,11 @@ def delete_quads(source, rules, ids, fallback=0.25):
 
 
 def insert_rules(source, rules, new):
-    """Add rules to a materialised source."""
-    return materialise_rules(source, [*rules, *new])
+    """Add rules to a materialised source; with negation, from the base quads, because what was derived may no longer hold."""
+    every = [*rules, *new]
+    if any(x[0] == "not" for r in every for x in r.body):
+        source = QuadSource(source.spark, source.quads.where("not derived"), source.terms)
+    return materialise_rules(source, every)
 
 
 def delete_rules(source, rules, old):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import Val, term_id
 from ..plans.store import materialise
-from ..sources.quads import QuadSource
+from ..sources.quads import QuadSource, with_components
 from ..sources.rdf import DEFAULT, load, parse_term
 from ..sparql.compile import Compiler
 from ..sparql.parser import parse_update
@@ -52,7 +52,7 @@ class Store:
     def as_ids(self, texts):
         terms = texts.select(*[parse_term(F.col(c)).alias(c) for c in "spog"])
         ids = terms.select(*[term_id(F.col(c)).alias(c) for c in KEY])
-        new = terms.select(F.explode(F.array("s", "p", "o", "g")).alias("term")).distinct().select(term_id(F.col("term")).alias("id"), "term")
+        new = with_components(terms.select(F.explode(F.array("s", "p", "o", "g")).alias("term")).distinct()).select(term_id(F.col("term")).alias("id"), "term")
         return ids, new
 
     def change(self, gone, new):

@@ -14,6 +14,26 @@ from ..plans.store import materialise
 from .rdf import DEFAULT, load, quads_from_text
 
 
+def component_texts(column):
+    """N-Triples texts of the three components of a triple term's text."""
+    from .rdf import LITERAL, NODE
+
+    return [F.regexp_extract(column, rf"^<<\(\s*({NODE})\s+(<[^<>]*>)\s+({NODE}|{LITERAL})\s*\)>>$", i) for i in (1, 2, 3)]
+
+
+def with_components(every):
+    """Distinct terms with the components of triple terms, nested ones too."""
+    from .rdf import parse_term
+
+    level = every.where("term.kind = 4")
+    while level.limit(1).count():
+        parts = level.select(F.explode(F.array(*component_texts("term.lex"))).alias("text")).distinct().select(parse_term(F.col("text")).alias("term"))
+        level = materialise(parts.where("term is not null"), "components")
+        every = every.unionByName(level).distinct()
+        level = level.where("term.kind = 4")
+    return every
+
+
 class QuadSource:
     """Patterns over a quad table; immutable, so an older source is a snapshot."""
 
@@ -28,7 +48,7 @@ class QuadSource:
         if store:
             quads = materialise(quads.select("s", "p", "o", "g"), "quads")
         every = quads.select(F.explode(F.array("s", "p", "o", "g")).alias("term")).distinct()
-        terms = every.select(term_id(F.col("term")).alias("id"), "term")
+        terms = with_components(every).select(term_id(F.col("term")).alias("id"), "term")
         ids = quads.select(*[term_id(F.col(c)).alias(c) for c in "gspo"]).distinct().withColumn("derived", F.lit(False))
         if store:
             terms, ids = materialise(terms, "terms"), materialise(ids, "ids")
@@ -61,7 +81,7 @@ class QuadSource:
         if graph[0] == "iri":
             return F.col("g") == gid(graph[1])
         if graph[0] == "set":
-            return F.col("g").isin(*[gid(g) for g in graph[1]]) if len(graph[1]) > 1 else F.col("g") == gid(graph[1][0])
+            return F.col("g").isin(*[gid(g) for g in graph[1]]) if graph[1] else F.lit(False)
         if graph[0] == "any":
             return F.lit(True)
         return F.col("g") != gid(DEFAULT)
@@ -89,23 +109,27 @@ class QuadSource:
             plan = Plan(plan.df.select(F.lit(1).alias("q_one")))
         return plan
 
-    def triple_term(self, plan, column, t):
-        """Join with the triple terms that fit a pattern with variables."""
-        from .rdf import LITERAL, NODE, parse_term
+    def triple_term(self, plan, column, t, keep=False):
+        """Join with the triple terms that fit a pattern with variables, triple terms inside it included."""
+        from .rdf import parse_term
 
-        known = self.terms.where("term.kind = 4").select(F.col("id").alias("q_id"), *[F.regexp_extract("term.lex", rf"^<<\(\s*({NODE})\s+(<[^<>]*>)\s+({NODE}|{LITERAL})\s*\)>>$", i).alias(f"q_x{i}") for i in (1, 2, 3)])
-        df = plan.df.join(known, F.col(column) == F.col("q_id"))
+        known = self.terms.where("term.kind = 4").select(F.col("id").alias("q_id"), *[x.alias(f"q_x{i}") for i, x in enumerate(component_texts("term.lex"), 1)])
+        at = column.replace("q_t", "q_n")  # own names, so that nested patterns don't clash
+        known = known.withColumnsRenamed({"q_id": f"{at}_id", **{f"q_x{i}": f"{at}_x{i}" for i in (1, 2, 3)}})
+        df = plan.df.join(known, F.col(column) == F.col(f"{at}_id"))
         out = Plan(df, plan.vars, plan.must)
         for i, x in enumerate(t[1:], 1):
-            ident = term_id(parse_term(F.col(f"q_x{i}")))
-            if x[0] == "var":
+            ident = term_id(parse_term(F.col(f"{at}_x{i}")))
+            if x[0] == "triple" and _open(x):
+                out = self.triple_term(Plan(out.df.withColumn(f"{column}_{i}", ident), out.vars, out.must), f"{column}_{i}", x, keep=True)
+            elif x[0] == "var":
                 if x[1] in out.vars:
                     out = out.filter(out.val(x[1]).col == ident)
                 else:
                     out = Plan(out.df.withColumn(columns(x[1], ID)[0], ident), out.vars | {x[1]: ID}, out.must | {x[1]})
             else:
                 out = out.filter(ident == Val.const(x).id())
-        return Plan(out.df.select(*[c for v, r in out.vars.items() for c in columns(v, r)]), out.vars, out.must)
+        return out if keep else Plan(out.df.select(*[c for v, r in out.vars.items() for c in columns(v, r)], *[c for c in out.df.columns if c.startswith("q_t") and c != column]), out.vars, out.must)
 
     def star(self, subject, patterns, graph=None):
         """Solutions of patterns [(p, o)] on one subject: scans joined on the subject, rarest predicate first."""

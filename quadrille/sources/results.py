@@ -61,19 +61,26 @@ def ask_xml(value):
     return f'<?xml version="1.0"?><sparql xmlns="http://www.w3.org/2005/sparql-results#"><head/><boolean>{"true" if value else "false"}</boolean></sparql>'
 
 
-def csv_lines(df):
-    """CSV rows of an output="terms" result: plain values, quoted where needed; the header is the column list."""
+def headed(lines, text):
+    """Lines after a header line."""
+    return lines.sparkSession.createDataFrame([(text,)], "value string").unionAll(lines)
+
+
+def csv_lines(df, header=False):
+    """CSV rows of an output="terms" result: plain values, quoted where needed; the header, where wanted, names the columns."""
     def cell(c):
         t = parse_term(F.col(c))
         v = F.when(t["kind"] == BNODE, F.concat(F.lit("_:"), t["lex"])).otherwise(t["lex"])
         return F.coalesce(F.when(v.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v), F.lit(""))
 
-    return df.select(F.concat_ws(",", *[cell(c) for c in df.columns]).alias("value"))
+    lines = df.select(F.concat_ws(",", *[cell(c) for c in df.columns]).alias("value"))
+    return headed(lines, ",".join(df.columns)) if header else lines
 
 
-def tsv_lines(df):
+def tsv_lines(df, header=False):
     """TSV rows: the terms themselves."""
-    return df.select(F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in df.columns]).alias("value"))
+    lines = df.select(F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in df.columns]).alias("value"))
+    return headed(lines, "\t".join("?" + c for c in df.columns)) if header else lines
 
 
 def table_text(df, rows=20):

@@ -46,7 +46,7 @@ class Compiler:
     """Compiles one query over a source; graph is the active graph: None, ("iri", g), ("var", v) or ("set", [g])."""
 
     def __init__(self, source, base=None, reorder=True):
-        self.source, self.base, self.reorder, self.count = source, base, reorder, 0
+        self.source, self.base, self.reorder, self.count, self.named = source, base, reorder, 0, None
         P.use_dictionary(source.terms)
 
     @property
@@ -120,7 +120,7 @@ class Compiler:
             elif kind == "minus":
                 out = P.minus(out, self.group(el[1], graph))
             elif kind == "graph":
-                out = P.join(out, self.group(el[2], el[1]))
+                out = P.join(out, self.in_graph(el[1], self.group(el[2], el[1])))
             elif kind == "bind":
                 out = self.bind(out, el[1], el[2], graph)
             elif kind == "values":
@@ -389,23 +389,26 @@ class Compiler:
         return ends.with_vals({"__o": ends.val("__s")}, {"__s", "__o"})
 
     def plus(self, p, graph, s, o):
-        if graph and graph[0] == "var":
-            raise NotImplementedError("closures need a fixed graph")
         pairs = self.pairs(p, graph)
         rep = common(pairs.vars["__s"], pairs.vars["__o"])
         if rep.width > 1:
             rep = WHOLE
-        edges = pairs.df.select(*[convert(pairs.val(v), rep).col.alias(n) for v, n in (("__s", "s"), ("__o", "o"))])
+        named = columns(graph[1], pairs.vars[graph[1]]) if self.graph_var(graph) else []
+        node = lambda c: F.struct(*named, c.alias("n")) if named else c  # noqa: E731  in GRAPH ?g a node is one of its graph
+        edges = pairs.df.select(*[node(convert(pairs.val(v), rep).col).alias(n) for v, n in (("__s", "s"), ("__o", "o"))])
         fixed = s or o
         start = None
         if fixed:
             if s is None:
                 edges = edges.select(F.col("o").alias("s"), F.col("s").alias("o"))
-            start = edges.where(self.is_term(Val(rep, F.col("s")), fixed)).select("s")
+            start = edges.where(self.is_term(Val(rep, F.col("s.n") if named else F.col("s")), fixed)).select("s")
         reach = closure(edges, start)
         if fixed and s is None:
             reach = reach.select(F.col("o").alias("s"), F.col("s").alias("o"))
         c = columns("__s", rep)[0], columns("__o", rep)[0]
+        if named:
+            kinds = {"__s": rep, "__o": rep, graph[1]: pairs.vars[graph[1]]}
+            return Plan(reach.select(F.col("s.n").alias(c[0]), F.col("o.n").alias(c[1]), *[F.col("s")[x].alias(x) for x in named]), kinds, frozenset(kinds))
         return Plan(reach.select(F.col("s").alias(c[0]), F.col("o").alias(c[1])), {"__s": rep, "__o": rep}, frozenset({"__s", "__o"}))
 
     # aggregation and modifiers
@@ -456,20 +459,23 @@ class Compiler:
                 x, ranks = v.number().cast("double"), v.ranks()
                 total = F.sum_distinct(x) if distinct else F.sum(x)
                 n = F.count_distinct(x) if distinct else F.count(x)
-                cols = [total, n, F.max(ranks), F.count(first), F.count(x)]
+                whole = F.when(ranks == 1, v.lex().try_cast("decimal(20,0)"))  # integers are added exactly, not as doubles
+                cols = [total, n, F.max(ranks), F.count(first), F.count(x), F.sum_distinct(whole) if distinct else F.sum(whole)]
 
-                def finish(t, n, r, bound, numeric):
+                def finish(t, n, r, bound, numeric, i):
                     ok = bound == numeric
                     if name == "SUM":
-                        return dynamic_number(F.when(ok, F.coalesce(r, F.lit(1))), F.coalesce(t, F.lit(0.0)))
+                        exact = Val(ANY, F.when(i.try_cast("bigint").isNotNull(), term(LIT, i.cast("string"), F.lit(XSD + "integer"))))
+                        some = dynamic_number(F.when(ok, F.coalesce(r, F.lit(1))), F.coalesce(t, F.lit(0.0)))
+                        return Val(ANY, F.when(ok & (r == 1), exact.col).otherwise(some.col))
                     return dynamic_number(F.when(ok, F.greatest(F.coalesce(r, F.lit(2)), F.lit(2))), F.coalesce(F.try_divide(t, n.cast("double")), F.lit(0.0)))
 
                 return cols, finish
-            x = v.col if v.rank != 1 else v.col.cast("bigint")
-            total = F.sum_distinct(x) if distinct else F.sum(x)
-            if name == "SUM":
+            x = v.col if v.rank != 1 else v.col.cast("decimal(20,0)")
+            total = F.sum_distinct(x) if distinct else F.try_sum(x)
+            if name == "SUM":  # nothing gives 0, a sum out of range is an error
                 kind = {1: "bigint", 2: "decimal(38,10)"}.get(v.rank, "double")
-                return [total], lambda c: Val(v.rep, F.coalesce(c.cast(kind), F.lit(0).cast(kind)))
+                return [total, F.count(x)], lambda c, n: Val(v.rep, F.when(n == 0, F.lit(0).cast(kind)).otherwise(c.try_cast(kind)))
             if v.rank > 2:
                 return [F.try_avg(F.when(F.lit(True), x)) if not distinct else total / F.count_distinct(x)], lambda c: Val(v.rep, F.coalesce(c, F.lit(0.0)))
             n = F.count_distinct(x) if distinct else F.count(x)
@@ -544,9 +550,22 @@ class Compiler:
             plan = Plan(plan.df.limit(q["limit"]), plan.vars, plan.must)
         return plan
 
+    def in_graph(self, graph, plan):
+        """The solutions of a GRAPH group that lie in the query's FROM NAMED graphs, where it has a dataset."""
+        if self.named is None:
+            return plan
+        if graph[0] == "iri":
+            return plan if graph[1] in self.named else plan.empty()
+        if graph[1] not in plan.vars:
+            return plan
+        known = plan.val(graph[1]).id() if plan.vars[graph[1]] == ID else plan.val(graph[1]).iri()
+        wanted = [Val.const(("iri", g)).id() if plan.vars[graph[1]] == ID else F.lit(g) for g in self.named]
+        return plan.filter(known.isin(*wanted)) if wanted else plan.empty()
+
     def dataset(self, q, graph):
-        if q.get("from"):
-            return ("set", q["from"])
+        if q.get("from") or q.get("named"):
+            self.named = list(q.get("named") or [])
+            return ("set", list(q.get("from") or []))
         return graph
 
     # query forms

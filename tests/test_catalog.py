@@ -5,13 +5,13 @@ import decimal
 import duckdb
 import pytest
 
-from quadrille import catalog, catalog_rules
+from quadrille import catalog, catalog_more, catalog_rules
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLOW = {"owl_same_as", "datalog_conversation_chain"}
-CASES = {**catalog.queries(), **catalog_rules.queries()}
-SQL = {**catalog.oracle_sql(), **catalog_rules.oracle_sql()}
+CASES = {**catalog.queries(), **catalog_rules.queries(), **catalog_more.queries()}
+SQL = {**catalog.oracle_sql(), **catalog_rules.oracle_sql(), **catalog_more.oracle_sql()}
 
 
 @pytest.fixture(scope="module")
