@@ -12,8 +12,8 @@ from ..functions.names import OWL, RDF, RDFS, TYPE, XSD
 from ..functions.terms import ID, Val, term_id
 from ..plans import plan as P
 from ..plans.plan import Plan, columns
-from ..plans.store import materialise
-from ..sources.quads import QuadSource
+from ..plans.store import discard, materialise
+from ..sources.quads import QuadSource, clustered
 from ..sources.rdf import DEFAULT
 from ..sparql.compile import Compiler, variables
 from ..sparql.parser import Parser, SyntaxFault
@@ -325,31 +325,54 @@ def with_head_terms(source, rules):
     return source.with_quads(source.quads, df.select(term_id(F.col("term")).alias("id"), "term"))
 
 
+def reachable(full, rules):
+    """The quads that a head of these rules can equal: those with one of its predicates, where all are constants."""
+    names = {r.head[1] for r in rules if r.head}
+    if any(n[0] == "var" for n in names):
+        return full
+    kinds = {r.head[2] for r in rules if r.head and r.head[1] == ("iri", TYPE)}
+    ids = lambda terms: [Val.const(t).id() for t in sorted(terms, key=str)]
+    known = F.col("p").isin(*ids(names - {("iri", TYPE)})) if names - {("iri", TYPE)} else F.lit(False)
+    if ("iri", TYPE) in names:
+        typed = F.col("p") == Val.const(("iri", TYPE)).id()
+        known = known | (typed & F.col("o").isin(*ids(kinds)) if all(k[0] != "var" for k in kinds) and len(kinds) <= 1000 else typed)
+    return full.where(known)
+
+
 def _loop(program, rules, full, delta, max_rounds):
     """Semi-naive rounds from a first delta; full already holds it."""
+    parts = []
     for _ in range(max_rounds):
         found = program.step(rules, full, delta)
         if found is None:
             return full
-        new = materialise(found.join(full, KEY, "left_anti").withColumn("derived", F.lit(True)), "delta")
+        new = materialise(found.join(reachable(full, rules).select(*KEY), KEY, "left_anti").withColumn("derived", F.lit(True)), "delta")
         if new.isEmpty():
             return full
+        parts.append(new)
         full, delta = full.unionByName(new), new
+        if len(parts) >= 8:  # fold the rounds, so that a round doesn't read ever more small tables
+            full = materialise(clustered(full), "facts")
+            discard(*parts[:-1])
+            parts = []
     raise RuntimeError("rules didn't settle")
 
 
 def materialise_rules(source, rules, max_rounds=10_000, check=True):
     """A source with everything the rules derive; derived quads are marked."""
     source = with_head_terms(source, rules)
-    full = source.quads
+    full, made = source.quads, 0
     for stratum in stratify([r for r in rules if r.head]):
         program = Program(source, stratum)
         found = program.step(stratum, full)
         if found is None:
             continue
-        new = materialise(found.join(full, KEY, "left_anti").withColumn("derived", F.lit(True)), "delta")
+        new = materialise(found.join(reachable(full, stratum).select(*KEY), KEY, "left_anti").withColumn("derived", F.lit(True)), "delta")
         if not new.isEmpty():
-            full = materialise(_loop(program, stratum, full.unionByName(new), new, max_rounds), "facts")
+            full = _loop(program, stratum, full.unionByName(new), new, max_rounds)
+            made += 1
+    if made:
+        full = materialise(clustered(full), "facts")
     out = QuadSource(source.spark, full, source.terms)
     if check:
         check_contradictions(out, rules)

@@ -7,7 +7,7 @@ rules whose shapes the Datalog engine joins as tables.
 from pyspark.sql import functions as F
 
 from ..functions.names import OWL, RDF, RDFS, TYPE
-from ..plans.fixpoint import closure
+from ..plans.fixpoint import components
 from ..plans.store import materialise
 from ..sources.quads import QuadSource
 from .datalog import KEY, TOP, Rule, materialise_rules
@@ -184,15 +184,17 @@ class Ontology:
 
 def same_as_classes(source):
     """Representative (smallest id) of every resource in an owl:sameAs pair: rows (id, rep)."""
+    return components(same_pairs(source))
+
+
+def same_pairs(source):
     pairs = source.pattern(("var", "a"), ("iri", OWL + "sameAs"), ("var", "b"))
-    e = pairs.df.select(pairs.val("a").col.alias("s"), pairs.val("b").col.alias("o"))
-    reach = closure(e.unionByName(e.select(F.col("o").alias("s"), F.col("s").alias("o"))))
-    return reach.groupBy(F.col("s").alias("id")).agg(F.least(F.min("o"), F.col("s")).alias("rep"))
+    return pairs.df.select(pairs.val("a").col.alias("a"), pairs.val("b").col.alias("b"))
 
 
-def merge_same(source):
+def merge_same(source, classes=None):
     """The source with sameAs resources replaced by their representative in subject and object position."""
-    classes = materialise(same_as_classes(source), "classes")
+    classes = materialise(same_as_classes(source), "classes") if classes is None else classes
     q = source.quads
     for c in "so":
         q = q.join(classes.select(F.col("id").alias(c), F.col("rep").alias("r")), c, "left").withColumn(c, F.coalesce("r", c)).drop("r")
@@ -210,19 +212,23 @@ def expand_same(source, classes):
 
 
 def entail(source, ontology=None, extensions=True, max_merges=20):
-    """A source with everything OWL 2 RL derives; equalities are merged between runs of the rules and expanded at the end."""
+    """A source with everything OWL 2 RL derives.
+
+    Where there are equalities, resources are replaced by their class's representative, the rules run again and so on
+    until no new equality appears; only then, once, every member of a class gets its representative's quads.
+    """
     rules = (ontology or Ontology.from_source(source)).rules(extensions)
     out = materialise_rules(source, rules)
+    if same_pairs(out).where("a <> b").isEmpty():
+        return out
+    classes = materialise(same_as_classes(out), "classes")
     for _ in range(max_merges):
-        merged, classes = merge_same(out)
-        if classes.isEmpty():
-            return out
-        again = materialise_rules(merged, rules)
-        full = expand_same(again, classes)
-        grown = full.quads.join(out.quads, KEY, "left_anti")
-        out = full
-        if grown.isEmpty():
-            return out
+        merged, _ = merge_same(out, classes)
+        out = materialise_rules(merged, rules)
+        fresh = same_pairs(out).where("a <> b")
+        if fresh.isEmpty():
+            return expand_same(out, classes)
+        classes = materialise(components(fresh.unionByName(classes.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "classes")
     raise RuntimeError("equalities didn't settle")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import Val, term_id
 from ..plans.store import materialise
-from ..sources.quads import QuadSource, with_components
+from ..sources.quads import MOST_LAYERS, QuadSource, clustered, with_components
 from ..sources.rdf import DEFAULT, load, parse_term
 from ..sparql.compile import Compiler
 from ..sparql.parser import parse_update
@@ -22,7 +22,7 @@ class Store:
 
     def __init__(self, source, rules=(), base=None, prefixes=None, allow_load=None, log=None):
         self.spark, self.source, self.rules, self.base, self.prefixes = source.spark, source, list(rules), base, prefixes or {}
-        self.allow_load, self.log, self.generation = allow_load, log, 0
+        self.allow_load, self.log, self.generation, self.layers = allow_load, log, 0, 0
 
     # updates
     def update(self, text):
@@ -60,12 +60,23 @@ class Store:
         gone, new = materialise(gone, "gone"), materialise(new, "new")
         gone_ids, _ = self.as_ids(gone)
         new_ids, terms = self.as_ids(new)
-        q = self.source.quads.join(gone_ids.distinct(), KEY, "left_anti")
-        q = q.unionByName(new_ids.distinct().withColumn("derived", F.lit(False))).groupBy(*KEY).agg(F.min("derived").alias("derived"))
-        self.source = self.source.with_quads(materialise(q, "quads"), terms)
+        self.overlay(gone_ids, new_ids.withColumn("derived", F.lit(False)), terms)
         if self.log:
             self.log.append(gone, new)
 
+    def overlay(self, gone, new, terms=None):
+        """A snapshot of the present quads without gone and with new ones: two small tables on top, merged when it is read."""
+        new = materialise(new.select(*KEY, "derived").distinct(), "added")
+        over = new.select(*KEY) if gone is None else materialise(gone.select(*KEY).unionByName(new.select(*KEY)).distinct(), "over")
+        self.settle(self.source.quads.join(over, KEY, "left_anti").unionByName(new), terms)
+
+    def settle(self, quads, terms=None):
+        """Make the quads current; every few layers they are stored as one clustered table, so reads stay short."""
+        self.layers += 1
+        if self.layers >= MOST_LAYERS:
+            quads, self.layers = materialise(clustered(quads), "quads"), 0
+        self.source = self.source.with_quads(quads, terms)
+
     def apply(self, op):
         kind = op[0]
         if kind == "modify":
@@ -82,8 +93,9 @@ class Store:
             if kind == "move":
                 q = q.where(~self.in_graph(source))
             name = self.spark.range(1).select(Val.const(("iri", self.graph_iri(target))).term().alias("term")).select(term_id(F.col("term")).alias("id"), "term")
-            q = q.unionByName(moved).groupBy(*KEY).agg(F.min("derived").alias("derived"))
-            self.source = self.source.with_quads(materialise(q, "quads"), name)
+            if kind == "add":
+                moved = moved.join(q.where(self.in_graph(target)).select(*KEY), KEY, "left_anti")
+            self.settle(q.unionByName(moved.select(*q.columns)), name)
         elif kind == "load":
             self.load(op[1], op[2], op[3])
 
@@ -103,7 +115,7 @@ class Store:
         return F.col("g") == self.graph_id(ref)
 
     def keep(self, cond):
-        self.source = self.source.with_quads(materialise(self.source.quads.where(cond), "quads"))
+        self.settle(self.source.quads.where(cond))
 
     def load(self, iri, into, silent):
         """LOAD of local files below the allowed folder; nothing is fetched."""
@@ -121,8 +133,7 @@ class Store:
     def merge(self, quads):
         """Add quads of term structs."""
         other = QuadSource.from_quads(self.spark, quads, check=False)
-        q = self.source.quads.unionByName(other.quads).groupBy(*KEY).agg(F.min("derived").alias("derived"))
-        self.source = self.source.with_quads(materialise(q, "quads"), other.terms)
+        self.overlay(None, other.quads, other.terms)
 
     # graph store
     def get_graph(self, graph=DEFAULT):

@@ -17,9 +17,12 @@ class NavGraph:
 
     @staticmethod
     def from_source(source, most=100_000):
-        """Edges from rdfs:domain and rdfs:range; bounded, because it is the ontology and not the data."""
-        q = f"SELECT ?c ?p ?d {{ ?p <{RDFS}domain> ?c ; <{RDFS}range> ?d }} LIMIT {most}"
-        return NavGraph({(r.c, r.p, r.d) for r in Compiler(source).run(parse_query(q)).collect()})
+        """Edges from rdfs:domain and rdfs:range: the ontology and not the data, so more than `most` are refused."""
+        q = f"SELECT ?c ?p ?d {{ ?p <{RDFS}domain> ?c ; <{RDFS}range> ?d }} LIMIT {most + 1}"
+        rows = Compiler(source).run(parse_query(q)).collect()
+        if len(rows) > most:
+            raise ValueError("the ontology has too many edges for the driver")
+        return NavGraph({(r.c, r.p, r.d) for r in rows})
 
     def outgoing(self, cls):
         return sorted((p, d) for c, p, d in self.edges if c == cls)

@@ -1,5 +1,6 @@
 """Solution sets as DataFrames: joins, unions and differences under SPARQL's compatibility rules."""
 
+import contextvars
 from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
@@ -52,12 +53,12 @@ def is_unit(p):
     return not p.vars and "q_one" in p.df.columns
 
 
-_DICTIONARY = [None]
+_DICTIONARY = contextvars.ContextVar("dictionary", default=None)
 
 
 def use_dictionary(terms):
-    """The dictionary that ids are decoded with where they meet computed terms."""
-    _DICTIONARY[0] = terms
+    """The dictionary that ids are decoded with where they meet computed terms; each thread has its own."""
+    _DICTIONARY.set(terms)
 
 
 def bridge(a, b, shared):
@@ -78,7 +79,7 @@ def bridge(a, b, shared):
             a = a.with_vals({h: a.val(v)}, {h})
             b = b.with_vals({h: Val(ID, b.val(v).id())}, {h}).only([x for x in (*b.vars, h) if x != v])
         else:
-            a, b = decode(a, [v], _DICTIONARY[0]), decode(b, [v], _DICTIONARY[0])
+            a, b = decode(a, [v], _DICTIONARY.get()), decode(b, [v], _DICTIONARY.get())
     return a, b
 
 

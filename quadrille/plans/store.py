@@ -5,9 +5,11 @@ import uuid
 
 
 def shared_dir(spark):
-    """The cluster's checkpoint folder; a temporary one only where the setting is absent, as in tests."""
+    """The cluster's checkpoint folder; a temporary one only where the setting is absent on one machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark.sparkContext, "_quadrille_engine_dir", None)
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="quadrille-engine-")
@@ -21,3 +23,13 @@ def materialise(df, name="step"):
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables):
+    """Remove the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)

@@ -34,11 +34,19 @@ def with_components(every):
     return every
 
 
+MOST_LAYERS = 8
+
+
+def clustered(ids):
+    """Quads in ranges of predicate and subject, sorted: a pattern's predicate prunes files and row groups by their statistics."""
+    return ids.repartitionByRange("p", "s").sortWithinPartitions("p", "s")
+
+
 class QuadSource:
     """Patterns over a quad table; immutable, so an older source is a snapshot."""
 
     def __init__(self, spark, quads, terms):
-        self.spark, self.quads, self.terms, self._stats = spark, quads, terms, None
+        self.spark, self.quads, self.terms, self._stats, self.layers = spark, quads, terms, None, 0
 
     @staticmethod
     def from_quads(spark, quads, check=True, store=True):
@@ -51,7 +59,7 @@ class QuadSource:
         terms = with_components(every).select(term_id(F.col("term")).alias("id"), "term")
         ids = quads.select(*[term_id(F.col(c)).alias(c) for c in "gspo"]).distinct().withColumn("derived", F.lit(False))
         if store:
-            terms, ids = materialise(terms, "terms"), materialise(ids, "ids")
+            terms, ids = materialise(terms, "terms"), materialise(clustered(ids), "ids")
         if check and terms.groupBy("id").count().where("count > 1").limit(1).count():
             raise ValueError("two terms share an id")
         return QuadSource(spark, ids, terms)
@@ -156,11 +164,16 @@ class QuadSource:
         return q.select(*[F.col(f"t_{c}").alias(c) for c in "spog"])
 
     def with_quads(self, ids, new_terms=None):
-        """A new snapshot."""
-        terms = self.terms
+        """A new snapshot; its dictionary is this one's and the new terms, folded into one table every so often."""
+        terms, layers = self.terms, self.layers
         if new_terms is not None:
-            terms = materialise(terms.unionByName(new_terms.select("id", "term")).dropDuplicates(["id"]), "terms")
-        return QuadSource(self.spark, ids, terms)
+            new = materialise(new_terms.select("id", "term").dropDuplicates(["id"]), "terms")
+            terms, layers = terms.join(new.select("id"), "id", "left_anti").unionByName(new), layers + 1
+            if layers >= MOST_LAYERS:
+                terms, layers = materialise(terms, "terms"), 0
+        out = QuadSource(self.spark, ids, terms)
+        out.layers = layers
+        return out
 
 
 def _open(t):
