@@ -297,7 +297,17 @@ def may_repeat(anchor, rows, length, gram):
         keys.append(pair)
         for k in enumerate(pair):
             seen[k] = seen.get(k, 0) + 1
-    return [r for r, (a, b) in zip(rows, keys) if a is not None and seen[0, a] > 1 or b is not None and seen[1, b] > 1]
+    out = []
+    for (doc, lo, piece), (a, b) in zip(rows, keys):
+        left, right, g = a is not None and seen[0, a] > 1, b is not None and seen[1, b] > 1, piece.find(word)
+        if left and right:
+            out.append((doc, lo, piece))
+        elif left:  # only windows that reach to the left
+            out.append((doc, lo, piece[: g + gram + side + (length - gram) % 2]))
+        elif right:
+            cut = max(0, g - side - (length - gram) % 2)
+            out.append((doc, lo + cut, piece[cut:]))
+    return [r for r in out if len(r[2]) >= length]
 
 
 def _sorter(length, gram, shard_bytes):
@@ -390,13 +400,17 @@ def _settle(spark):
 def repeated_spans(spark, docs, length=LENGTH, gram=GRAM, shard_bytes=SHARD):
     """Removed byte ranges of docs(doc, text), doc unique and in corpus order: rows (doc, start, end), which may overlap."""
     anchors = stored(spark, docs.mapInArrow(_anchors(length, gram), "anchor long, body long, doc long, at long"), "anchors")
-    # plain numbers only, so that both aggregations hash
-    several = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("body").alias("b0"), F.max("body").alias("b1"), F.min("doc").alias("first")).where("c > 1")
-    several = several.select("anchor", (F.col("b0") != F.col("b1")).alias("mixed"), "first")
-    met = stored(spark, anchors.join(several, "anchor"), "met")
+    # plain numbers only, so that the aggregations hash; most anchors go before anything wider moves
+    several = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    again_met = stored(spark, anchors.join(several, "anchor"), "several")
     drop_stored(spark, anchors)
     del several
     _settle(spark)
+    kinds = again_met.groupBy("anchor").agg(F.min("body").alias("b0"), F.max("body").alias("b1"), F.min("doc").alias("first"))
+    met = stored(spark, again_met.join(kinds.select("anchor", (F.col("b0") != F.col("b1")).alias("mixed"), "first"), "anchor"), "met")
+    drop_stored(spark, again_met)
+    del kinds
+    _settle(spark)
     lo, n = F.shiftright("at", 17).cast("int"), (F.shiftright("at", 1).bitwiseAND(0xFFFF)).cast("int")
     own, again = F.col("doc") == F.col("first"), F.col("at").bitwiseAND(1) == 1
     span = ["doc", lo.alias("start"), (lo + n - 1 + length).alias("end")]
