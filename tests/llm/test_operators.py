@@ -383,37 +383,56 @@ def test_html_names_that_wrap_the_main_text():
     assert main_text("<p>Text.</p><div class='ad'>Buy!</div>") == "Text."
 
 
-def test_automaton_parses_greedily():
+def greedy_phrases(q, ref):
+    """Phrases of the greedy longest-match parse, by brute force."""
+    inside = {tuple(r[i:j]) for r in ref for i in range(len(r)) for j in range(i + 1, len(r) + 1)}
+    i = c = 0
+    while i < len(q):
+        n = 1
+        while i + n < len(q) and tuple(q[i : i + n + 1]) in inside:
+            n += 1
+        i, c = i + n, c + 1
+    return c
+
+
+def test_automaton_parses_greedily_and_leaves_a_document_out():
     rng = random.Random(1)
-    for _ in range(100):
-        ref = [[rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(0, 4))]
+    for _ in range(150):
+        ref = [[rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(0, 5))]
         a = Automaton()
-        for r in ref:
-            a.add(r)
-        inside = {tuple(r[i:j]) for r in ref for i in range(len(r)) for j in range(i + 1, len(r) + 1)}
+        for k, r in enumerate(ref):
+            a.add(r, k // 2)  # some documents have two texts
         q = [rng.choice("abcd") for _ in range(rng.randint(0, 20))]
-        i = c = 0
-        while i < len(q):
-            n = 1
-            while tuple(q[i : i + n + 1]) in inside and i + n < len(q) and tuple(q[i : i + n]) in inside:
-                n += 1
-            i, c = i + n, c + 1
-        assert a.phrases(q) == c
+        assert a.phrases(q) == greedy_phrases(q, ref)
+        for own in range(3):
+            assert a.phrases(q, own) == greedy_phrases(q, [r for k, r in enumerate(ref) if k // 2 != own])
 
 
 def test_cross_parse_scores(spark, corpus):
     good = spark.createDataFrame([(i,) for i in (1, 2, 4, None)], "doc_id long")
     got = {r.doc_id: r for r in cross_parse_scores(spark, awkward(spark, corpus), good).collect()}
     assert len(got) == len(corpus)
-    for i, t, _, _ in corpus:
-        n = len((t or "").split())
-        assert got[i].n_words == n and (got[i].score is None) == (n == 0)
-    # document 3 repeats document 1: whoever's shard holds a copy needs few phrases
-    assert min(got[i].n_phrases for i in (1, 2, 3)) <= 5 and got[11].n_phrases > 20_000
+    text, lang = {i: (t or "").lower().split() for i, t, *_ in corpus}, {i: x for i, _, x, _ in corpus}
+    for i, w in text.items():  # one shard a language: the parse against the whole reference but the document itself
+        n = len(w)
+        c = greedy_phrases(w, [text[k] for k in (1, 2, 4) if k != i and lang[k] == lang[i]]) if n < 1000 else got[i].n_phrases
+        assert got[i].n_words == n and got[i].n_phrases == c and (got[i].score is None) == (n == 0)
+    assert got[3].n_phrases == 1 and got[1].n_phrases <= 5 and got[11].n_phrases > 20_000
     assert cross_parse_scores(spark, awkward(spark, corpus), good.limit(0)).count() == len(corpus)
     assert cross_parse_scores(spark, spark.createDataFrame([], SCHEMA), good).count() == 0
 
 
+def test_cross_parse_sends_copies_to_one_shard(spark):
+    rows = [(i, " ".join(words(i, 120)), "en" if i % 3 else None) for i in range(60)]
+    rows += [(100 + i, t, x) for i, t, x in rows[:20]] + [(200 + i, rows[5][1], rows[5][2]) for i in range(30)] + [(None, rows[7][1], rows[7][2]), (rows[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i,) for i in [*range(60), *range(200, 230)]], "doc_id long")
+    got = cross_parse_scores(spark, docs, good, shard_words=400, run_words=500).collect()
+    assert len(got) == len(rows)
+    assert all(r.n_phrases == 1 for r in got if r.doc_id is None or r.doc_id >= 100)
+    assert max(r.n_reference for r in got) < 5000
+
+
 def test_similar_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 20))
