@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalog_rules import BASE, EX, SHAPES, ask, graph, with_text
 from .engine import Engine, tables_source
-from .operators.datalog import Contradiction, delete_quads, delete_rules, insert_rules, materialise_rules, naive, parse_rules, stratify
+from .operators.datalog import Contradiction, delete_quads, delete_rules, insert_rules, materialise_rules, naive, parse_rules, provenance, stratify
 from .operators.ottr import expand_document
 from .operators.owl import entail, inconsistent
 from .operators.rml import confine, map_quads
@@ -17,6 +17,8 @@ from .operators.update import Conflict, Store
 from .operators.vqs import Config, NavGraph, class_counts, edge_counts, estimated_answers, greedy_search, random_search
 from .plans.store import shared_dir
 from .sources.quads import QuadSource, quads_of
+from .sources.canonical import canonical_lines
+from .sources.manchester import manchester_text, read_manchester
 from .sources.rdf import JsonLd, load, nquads_lines, quads_from_text, save
 from .sources.results import csv_lines, table_text, tsv_lines, xml_rows
 
@@ -497,6 +499,64 @@ def vqs_navigation_and_search(spark, sf_dir):
     )
 
 
+ONTOLOGY = """Prefix: : <http://ex/>
+Ontology: <http://ex/onto>
+ObjectProperty: near
+    Characteristics: Symmetric
+ObjectProperty: inRegion
+    SubPropertyChain: c_nation o n_region
+Class: Rich
+    EquivalentTo: c_acctbal some Amount
+Class: Land
+    SubClassOf: Place, n_region only Area
+Class: Nation
+    SubClassOf: Land
+Individual: home
+    Types: Land, near value away
+    Facts: near <http://ex/nation/3>
+Individual: away
+    SameAs: <http://ex/nation/4>
+"""
+
+
+def manchester_entailment(spark, sf_dir):
+    """A Manchester ontology, its individuals included, over the tables."""
+    src = graph(spark, sf_dir, ("c_nation", "n_region"), ("Nation",), ["customer", "nation"])
+    more = QuadSource.from_quads(spark, read_manchester(spark, ONTOLOGY))
+    return ask(entail(src.with_quads(src.quads.unionByName(more.quads).distinct(), more.terms)), "SELECT ?k (COUNT(DISTINCT ?x) AS ?n) WHERE { { ?x a ?k FILTER(?k IN (:Place, :Area)) } UNION { ?x :inRegion ?y BIND(:inRegion AS ?k) } UNION { ?x :near :home BIND(:near AS ?k) } } GROUP BY ?k")
+
+
+def manchester_round_trip(spark, sf_dir):
+    """Nations as individuals, written as frames and read back."""
+    quads = quads_of(tables_source(spark, sf_dir, ["nation"]), [BASE + "n_name", BASE + "n_region"], [BASE + "Nation"])
+    back = QuadSource.from_quads(spark, read_manchester(spark, manchester_text(quads)))
+    return ask(back, "SELECT ?x ?n ?r WHERE { ?x a :Nation ; :n_name ?n ; :n_region ?r }")
+
+
+def canonical_blank_nodes(spark, sf_dir):
+    """Nations as blank nodes: labels follow the order of their first-degree hashes."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    path = f"{folder(spark)}/blank.nt"
+    nation.select(F.concat(F.lit("_:x"), F.col("n_nationkey"), F.lit(' <http://ex/name> "'), F.col("n_name"), F.lit('" .')).alias("value")).write.text(path)
+    return canonical_lines(load(spark, path)).select(F.col("value").alias("line"))
+
+
+def canonical_alike_nodes(spark, sf_dir):
+    """Blank nodes that only their neighbours tell apart get the same labels however they are named."""
+    lines = "_:{0} <http://ex/p> _:{1} . _:{1} <http://ex/p> _:{2} . _:{2} <http://ex/p> _:{0} . _:{3} <http://ex/p> _:{4} . _:{4} <http://ex/p> _:{3} ."
+    made = [sorted(r.value for r in canonical_lines(quads_from_text(spark, lines.format(*names))).collect()) for names in ("abcde", "ebdca", "dcaeb")]  # five quads each
+    return outcomes(spark, quads=len(made[0]), alike=made[0] == made[1] == made[2], labels=all("_:c14n" in x for x in made[0]))
+
+
+def provenance_index(spark, sf_dir):
+    """Which rule and which quads gave each derived quad."""
+    rules = parse_rules(EX + "ex:in[?x, ?y] :- ex:c_nation[?x, ?y] . ex:in[?x, ?z] :- ex:in[?x, ?y], ex:n_region[?y, ?z] .")
+    full = materialise_rules(graph(spark, sf_dir, ("c_nation", "n_region"), (), ["customer", "nation"]), rules)
+    rows = provenance(full, rules)
+    used = rows.withColumn("used", F.explode("body")).join(full.quads.select(*[F.col(c).alias(f"u_{c}") for c in "gspo"]), (F.col("used.g") == F.col("u_g")) & (F.col("used.s") == F.col("u_s")) & (F.col("used.p") == F.col("u_p")) & (F.col("used.o") == F.col("u_o")))
+    return used.groupBy("rule").agg(F.count_distinct("s", "o").alias("derived"), F.count(F.lit(1)).alias("uses"))
+
+
 def path_cycle(spark, sf_dir):
     """Nodes on a cycle: nations linked in a ring by their keys, others on a chain."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
@@ -548,6 +608,11 @@ SQL = {
     "graph_store_protocol": outcome_sql(posted=10, default=25, there="True", gone="False"),
     "transactions": outcome_sql(quads=6, late="refused", failed="refused", unchanged="True"),
     "vqs_navigation_and_search": outcome_sql(outgoing=1, estimate_is_count="True", greedy=2, random=2, prefixes=3),
+    "manchester_entailment": "SELECT 'http://ex/' || k AS k, n FROM (SELECT 'Place' AS k, COUNT(*) + 2 AS n FROM nation UNION ALL SELECT 'Area', COUNT(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'inRegion', COUNT(*) FROM customer UNION ALL SELECT 'near', 3)",
+    "manchester_round_trip": "SELECT 'http://ex/nation/' || n_nationkey AS x, n_name AS n, 'http://ex/region/' || n_regionkey AS r FROM nation",
+    "canonical_blank_nodes": "SELECT '_:c14n' || (row_number() OVER (ORDER BY sha256('_:a <http://ex/name> \"' || n_name || '\" .' || chr(10))) - 1) || ' <http://ex/name> \"' || n_name || '\" .' AS line FROM nation",
+    "canonical_alike_nodes": outcome_sql(quads=5, alike="True", labels="True"),
+    "provenance_index": "SELECT 0 AS rule, COUNT(*) AS derived, COUNT(*) AS uses FROM customer UNION ALL SELECT 1, COUNT(*), 2 * COUNT(*) FROM customer",
     "path_cycle": "SELECT 'http://ex/nation/' || n_nationkey AS x FROM nation WHERE n_nationkey < 7",
 }
 

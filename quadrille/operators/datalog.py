@@ -255,8 +255,8 @@ class Program:
         graph = None if g == TOP else g
         return QuadSource(self.spark, quads, self.source.terms).pattern(s, p, o, graph)
 
-    def heads(self, rule, consts, full, delta=None, at=None):
-        """Ids (g, s, p, o) that a rule derives, with atom number `at` read from delta."""
+    def heads(self, rule, consts, full, delta=None, at=None, body=False):
+        """Ids (g, s, p, o) that a rule derives, with atom number `at` read from delta; with body also the quads it used."""
         out = self.constants(consts) if consts else P.unit(self.spark)
         positive = rule.positive()
         order = list(range(len(positive)))
@@ -285,8 +285,10 @@ class Program:
                 out = P.semi(out, self.atom(x[1], full), anti=True)
         if rule.head is None:
             return out.df
+        quad = lambda s, p, o, g: [ident(t).alias(c) for t, c in ((("iri", DEFAULT) if g == TOP else g, "g"), (s, "s"), (p, "p"), (o, "o"))]
         s, p, o, g = rule.head
-        return out.df.select(*[ident(t).alias(c) for t, c in ((g, "g"), (s, "s"), (p, "p"), (o, "o"))]).distinct()
+        used = [F.array(*[F.struct(*quad(*a)) for a in positive]).alias("body")] if body else []
+        return out.df.select(*[ident(t).alias(c) for t, c in ((g, "g"), (s, "s"), (p, "p"), (o, "o"))], *used).distinct()
 
     def step(self, rules, full, delta=None):
         """Everything the groups of these rules derive; with delta, using it in one atom at least."""
@@ -389,6 +391,22 @@ def check_contradictions(source, rules):
             raise Contradiction(str(r.body))
 
 
+def provenance(source, rules):
+    """How each derived quad of a materialised source follows in one step: rows (g, s, p, o, rule, body).
+
+    rule is the rule's place in the list and body the ids of the quads it used, one for each positive atom; a quad that
+    several rules or bindings derive has a row for each.  Nothing is stored while rules run: the index is a query.
+    """
+    out = None
+    for n, r in enumerate(rules):
+        if r.head and r.positive():
+            rows = Program(source, [r]).heads(r, None, source.quads, body=True).withColumn("rule", F.lit(n))
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return source.quads.limit(0).select(*KEY, F.lit(0).alias("rule"), F.array(F.struct(*KEY)).alias("body"))
+    return out.join(source.quads.where("derived").select(*KEY), KEY, "left_semi").select(*KEY, "rule", "body")
+
+
 def naive(source, rules, max_rounds=1000):
     """Plain iteration of all rules of a stratum; the test oracle for the semi-naive loop."""
     source = with_head_terms(source, rules)
