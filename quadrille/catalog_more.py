@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .catalog_rules import BASE, EX, SHAPES, ask, graph, with_text
 from .engine import Engine, tables_source
 from .operators.datalog import Contradiction, delete_quads, delete_rules, insert_rules, materialise_rules, naive, parse_rules, provenance, stratify
-from .operators.ottr import expand_document
+from .operators.ottr import expand_document, parse_wottr
 from .operators.owl import entail, inconsistent
 from .operators.rml import confine, map_quads
 from .operators.shacl import Shapes, Validator, validate
@@ -440,6 +440,19 @@ def ottr_none_defaults_types(spark, sf_dir):
     return nquads_lines(expand_document(spark, text)).select(F.col("value").alias("line"))
 
 
+WOTTR = """@prefix ottr: <http://ns.ottr.xyz/0.4/> . @prefix ex: <http://ex/> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .
+ex:Area a ottr:Template ; ottr:parameters ( [ ottr:variable _:a ; ottr:type ottr:IRI ] [ ottr:variable _:names ; ottr:modifier ottr:optional ] [ ottr:variable _:k ; ottr:default "area" ] ) ;
+  ottr:pattern [ ottr:of ottr:Triple ; ottr:values ( _:a rdf:type ex:Area ) ] , [ ottr:of ottr:Triple ; ottr:modifier ottr:cross ; ottr:arguments ( [ ottr:value _:a ] [ ottr:value ex:name ] [ ottr:value _:names ; ottr:modifier ottr:listExpand ] ) ] , [ ottr:of ottr:Triple ; ottr:values ( _:a ex:kind _:k ) ] .
+"""
+
+
+def ottr_rdf_templates(spark, sf_dir):
+    """Templates and instances written as RDF: one instance per region, with two names each."""
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").collect()  # five regions
+    text = WOTTR + " ".join(f'[] ottr:of ex:Area ; ottr:values ( <http://ex/R/{r.r_regionkey}> ( "{r.r_name}" "{r.r_name.lower()}" ) ottr:none ) .' for r in regions)
+    return nquads_lines(expand_document(spark, parse_wottr(text))).select(F.col("value").alias("line"))
+
+
 # stores
 def update_delete_data_and_load(spark, sf_dir):
     root = folder(spark).removeprefix("file://")
@@ -603,6 +616,7 @@ SQL = {
     "shacl_languages": "SELECT 'http://ex/nation/' || n_nationkey AS focus, n_name AS value, 'languageIn' AS component FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'http://ex/nation/' || n_nationkey, lower(n_name), 'languageIn' FROM nation WHERE n_regionkey = 0 AND n_nationkey % 3 = 0 UNION ALL SELECT 'http://ex/nation/' || n_nationkey, NULL, 'uniqueLang' FROM nation WHERE n_nationkey % 3 = 0",
     "shacl_severity_message": "SELECT 'http://ex/region/' || r_regionkey AS focus, 'Warning' AS severity, 'too far' AS message FROM region WHERE r_regionkey > 2",
     "ottr_none_defaults_types": "SELECT unnest(['<http://ex/c> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://ex/P> .', '<http://ex/c> <http://ex/name> \"Carol\" .', '<http://ex/d> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://ex/P> .', '<http://ex/d> <http://ex/name> \"x\" .', '<http://ex/w> <http://ex/name> \"x\" .']) AS line",
+    "ottr_rdf_templates": "SELECT '<http://ex/R/' || r_regionkey || unnest(['> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://ex/Area> .', '> <http://ex/name> \"' || r_name || '\" .', '> <http://ex/name> \"' || lower(r_name) || '\" .', '> <http://ex/kind> \"area\" .']) AS line FROM region",
     "update_delete_data_and_load": "SELECT 'http://ex/o_orderstatus' AS p, COUNT(*) AS n FROM orders UNION ALL SELECT unnest(['http://ex/p', 'http://ex/m']), 1",
     "update_orders": "SELECT 'http://ex/o_orderstatus' AS p, COUNT(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'http://ex/done', COUNT(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'http://ex/o_orderpriority', COUNT(*) FROM orders UNION ALL SELECT 'http://ex/did', 1",
     "graph_store_protocol": outcome_sql(posted=10, default=25, there="True", gone="False"),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import RDF, XSD
 from ..functions.terms import TERM, Val
-from ..sources.rdf import DEFAULT, TERM4
+from ..sources.rdf import DEFAULT, TERM4, parse_document
 from ..sparql.parser import Parser, SyntaxFault
 
 OTTR = "http://ns.ottr.xyz/0.4/"
@@ -111,6 +111,64 @@ def parse_stottr(text):
     return Document(text).parse()
 
 
+class Encoded:
+    """Templates and instances of an RDF document in the wOTTR vocabulary, as those of a stOTTR text."""
+
+    MODES = {"cross": "CROSS", "zipMin": "ZIPMIN", "zipMax": "ZIPMAX"}
+
+    def __init__(self, text, fmt="turtle"):
+        self.po, self.templates, self.instances = {}, {}, []
+        for s, p, o, _ in parse_document(text, fmt):
+            self.po.setdefault(s, {}).setdefault(p[1], []).append(o)
+        named = [s for s, po in self.po.items() if ("iri", OTTR + "Template") in po.get(RDF + "type", [])]
+        params = {t: [self.parameter(x) for x in self.items(self.one(t, "parameters"))] for t in named}
+        self.variables = {v: n for ps in params.values() for v, n, _, _ in ps}
+        inner = set()
+        for t in named:
+            parts = self.po[t].get(OTTR + "pattern", [])
+            inner.update(parts)
+            self.templates[t[1]] = ([(n, optional, self.argument(default) if default else None) for _, n, optional, default in params[t]], [self.instance(x) for x in parts])
+        self.instances = [self.instance(s) for s in self.po if OTTR + "of" in self.po[s] and s not in inner]
+
+    def one(self, s, name):
+        return next(iter(self.po.get(s, {}).get(OTTR + name, [])), None)
+
+    def items(self, node):
+        out = []
+        while node in self.po and RDF + "first" in self.po[node]:
+            out.append(self.po[node][RDF + "first"][0])
+            node = self.po[node][RDF + "rest"][0]
+        return out
+
+    def parameter(self, node):
+        """(variable node, name, optional, default) of a parameter."""
+        v = self.one(node, "variable")
+        modifiers = self.po.get(node, {}).get(OTTR + "modifier", [])
+        return v, f"v_{v[0]}_{v[1]}", ("iri", OTTR + "optional") in modifiers, self.one(node, "default")
+
+    def argument(self, t):
+        if t == ("iri", OTTR + "none"):
+            return NONE
+        if t in self.variables:
+            return ("var", self.variables[t])
+        if t == ("iri", RDF + "nil") or RDF + "first" in self.po.get(t, {}):
+            return ("list", tuple(self.argument(x) for x in self.items(t)))
+        return t
+
+    def instance(self, node):
+        """(template, arguments, expander); arguments come as plain values or with modifiers."""
+        args = [self.argument(x) for x in self.items(self.one(node, "values"))]
+        for x in self.items(self.one(node, "arguments")):
+            a = self.argument(self.one(x, "value"))
+            args.append(("each", a) if self.one(x, "modifier") == ("iri", OTTR + "listExpand") else a)
+        mode = self.one(node, "modifier")
+        return self.one(node, "of")[1], args, self.MODES[mode[1].removeprefix(OTTR)] if mode else None
+
+
+def parse_wottr(text, fmt="turtle"):
+    return Encoded(text, fmt)
+
+
 def flatten(templates, name, args, expander=None, active=()):
     """Triples of an instance: (s, p, o, steps), steps being list expansions (mode, [(new variable, list argument)])."""
     if name in active:
@@ -199,8 +257,8 @@ def instance_quads(df, triples, columns):
 
 
 def expand_document(spark, *texts):
-    """Quads of all instances in stOTTR texts, with the templates of all of them."""
-    docs = [parse_stottr(t) for t in texts]
+    """Quads of all instances in stOTTR texts (or parsed documents), with the templates of all of them."""
+    docs = [parse_stottr(t) if isinstance(t, str) else t for t in texts]
     templates = {k: v for d in docs for k, v in d.templates.items()}
     out = None
     for name, args, expander in [i for d in docs for i in d.instances]:
@@ -218,4 +276,4 @@ def expand_table(df, template_text, name, columns):
     return instance_quads(df, triples, dict(zip(params, columns)))
 
 
-__all__ = ["expand_document", "expand_table", "flatten", "parse_stottr"]
+__all__ = ["expand_document", "expand_table", "flatten", "parse_stottr", "parse_wottr"]
