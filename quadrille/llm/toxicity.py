@@ -16,6 +16,7 @@ does; extra columns are ignored.
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ._text import mix, powers, shingles, small_batches, span_hasher, span_hashes, string_buffers
@@ -295,16 +296,21 @@ def _scorer(model):
 
 
 def held_out(doc_id="doc_id"):
-    """True for the rows that are never learnt from."""
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    """True for the rows that are never learnt from, rows without doc_id among them."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(spark, docs, labels, per_class=1500):
-    """Fit on at most `per_class` toxic and as many clean labelled documents that aren't held out."""
+def train(spark, docs, labels, per_class=1500, class_chars=8_000_000):
+    """Fit on at most `per_class` toxic and as many clean labelled documents that aren't held out.
+
+    Those of a class have at most `class_chars` characters together and a twentieth of that each, which bounds what the
+    driver holds; they are chosen by hash of doc_id.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.join(docs.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("chars")), "doc_id")
     share = {int(v): c for v, c in known.groupBy("toxic").count().toArrow().to_pandas().itertuples(index=False)}  # two rows
-    pick = lambda v: known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    so_far = F.sum("chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over per_class rows
+    pick = lambda v: known.where((F.col("toxic") == v) & (F.col("chars") <= class_chars // 20)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).withColumn("so_far", so_far).where(F.col("so_far") <= class_chars).drop("so_far", "chars")
     chosen = pick(1).unionAll(pick(0)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).toArrow()  # at most 2 * per_class ids
     if not chosen.num_rows:
         return fit(pa.array([], pa.string()), [])

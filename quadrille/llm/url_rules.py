@@ -15,6 +15,8 @@ labelled rows or bad labels nothing is mined; extra columns are ignored; an empt
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
+from ._store import stored
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 BAD = "label=bad"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -55,6 +57,7 @@ def mine(spark, labelled, min_support=0.001, min_confidence=0.6, min_rows=20):
     """
     empty = spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
     baskets = labelled.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
+    baskets = stored(spark, baskets, "baskets")  # read several times
     rows = baskets.count()
     if rows < min_rows:
         return empty

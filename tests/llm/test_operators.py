@@ -19,7 +19,7 @@ from quadrille.llm.near_dup import near_duplicates, posterior_bounds
 from quadrille.llm.passages import chain, repeated_passages, without_passages
 from quadrille.llm.suffix_dedup import permuted_prefixes, repeated_windows, suffix_array, without_repeats
 from quadrille.llm.toxicity import fit, marginals, score_texts, toxicity
-from quadrille.llm.url_rules import judge
+from quadrille.llm.url_rules import judge, mine
 from quadrille.llm.ziv_merhav import Automaton, cross_parse_scores
 
 EXTRA = ["key", "at", "score", "r", "band", "start", "spans", "doc", "good", "h", "own", "anchor"]
@@ -574,3 +574,25 @@ def test_html_ratios_select():
     assert main_text(f"<body><div class='page'>{notices}{text}{readers}</div></body>") == want
     assert main_text(f"<body>{notices}<main>{text}<div class='newsletter-box'>Our letter, weekly.</div></main>{readers}</body>") == want
     assert main_text("<body><div class='comments'><p>All there is, is this.</p></div></body>") == "All there is, is this."
+
+
+def test_url_rules_against_enumeration(spark):
+    """Mined rules, their support and confidence against all token sets of the labelled rows."""
+    import itertools
+
+    rng, hosts, parts = random.Random(21), ["a.net", "b.net", "c.org"], ["x", "y", "z", "w"]
+    rows = []
+    for i in range(300):
+        h, ps = rng.choice(hosts), rng.sample(parts, rng.randint(1, 3))
+        bad = ("x" in ps and h == "a.net") or (rng.random() < 0.8 if "y" in ps and "z" in ps else rng.random() < 0.15)
+        rows.append((f"http://{h}/" + "/".join(ps) + f"/{i}", bad))
+    got = {tuple(r.antecedent): (r.confidence, r.support) for r in mine(spark, spark.createDataFrame(rows, "url string, bad boolean"), min_support=0.05, min_confidence=0.6).collect()}
+    sets = [({f"h:{x}" for x in u.split("/")[2].split(".")} | {f"p:{x}" for x in u.split("/")[3:-1]}, b) for u, b in rows]
+    every, rules = sorted(set().union(*[s for s, _ in sets])), {}
+    for n in range(1, 7):
+        for c in itertools.combinations(every, n):
+            held = [b for s, b in sets if s >= set(c)]
+            if sum(held) >= max(20, 0.05 * len(rows)) and sum(held) >= 0.6 * len(held):
+                rules[c] = (sum(held) / len(held), sum(held) / len(rows))
+    want = {c: x for c, x in rules.items() if not any(set(d) < set(c) and y[0] >= x[0] for d, y in rules.items())}
+    assert set(got) == set(want) and got and all(abs(got[c][k] - want[c][k]) < 1e-9 for c in want for k in (0, 1))
