@@ -20,7 +20,7 @@ from quadrille.llm.passages import chain, repeated_passages, without_passages
 from quadrille.llm.suffix_dedup import permuted_prefixes, repeated_windows, suffix_array, without_repeats
 from quadrille.llm.toxicity import fit, marginals, score_texts, toxicity
 from quadrille.llm.url_rules import judge, mine
-from quadrille.llm.ziv_merhav import Automaton, cross_parse_scores
+from quadrille.llm.ziv_merhav import Automaton, cross_parse_scores, segments
 
 EXTRA = ["key", "at", "score", "r", "band", "start", "spans", "doc", "good", "h", "own", "anchor"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -412,25 +412,43 @@ def test_cross_parse_scores(spark, corpus):
     good = spark.createDataFrame([(i,) for i in (1, 2, 4, None)], "doc_id long")
     got = {r.doc_id: r for r in cross_parse_scores(spark, awkward(spark, corpus), good).collect()}
     assert len(got) == len(corpus)
-    text, lang = {i: (t or "").lower().split() for i, t, *_ in corpus}, {i: x for i, _, x, _ in corpus}
-    for i, w in text.items():  # one shard a language: the parse against the whole reference but the document itself
-        n = len(w)
-        c = greedy_phrases(w, [text[k] for k in (1, 2, 4) if k != i and lang[k] == lang[i]]) if n < 1000 else got[i].n_phrases
-        assert got[i].n_words == n and got[i].n_phrases == c and (got[i].score is None) == (n == 0)
-    assert got[3].n_phrases == 1 and got[1].n_phrases <= 5 and got[11].n_phrases > 20_000
+    cut = dict(zip([i for i, *_ in corpus], segments(pa.array([t for _, t, *_ in corpus], pa.string()))))
+    lang = {i: x for i, _, x, _ in corpus}
+    for i, t, _, _ in corpus:  # one shard a language: the parse against the whole reference but the document itself
+        parts = [p.lower().split() for p, _, _ in cut[i]]
+        assert sum(parts, []) == (t or "").lower().split() and got[i].n_words == sum(n for _, n, _ in cut[i])
+        ref = [p.lower().split() for k in (1, 2, 4) if k != i and lang[k] == lang[i] for p, _, _ in cut[k]]
+        if got[i].n_words < 1000:
+            c = sum(greedy_phrases(p, ref) for p in parts)
+            m = sum(len(p) for k in (1, 2, 4) if lang[k] == lang[i] for p, _, _ in [(x[0].split(), 0, 0) for x in cut[k]])
+            assert got[i].n_phrases == c and (got[i].score is None) == (got[i].n_words == 0) and got[i].n_reference == m
+            assert not c or abs(got[i].cross_bits - c * np.log2(max(2, m)) / got[i].n_words) < 1e-9
+    assert got[3].n_phrases == len(cut[3]) and got[11].n_phrases > 20_000
     assert cross_parse_scores(spark, awkward(spark, corpus), good.limit(0)).count() == len(corpus)
     assert cross_parse_scores(spark, spark.createDataFrame([], SCHEMA), good).count() == 0
 
 
 def test_cross_parse_sends_copies_to_one_shard(spark):
+    shared = words(999, 150)
     rows = [(i, " ".join(words(i, 120)), "en" if i % 3 else None) for i in range(60)]
-    rows += [(100 + i, t, x) for i, t, x in rows[:20]] + [(200 + i, rows[5][1], rows[5][2]) for i in range(30)] + [(None, rows[7][1], rows[7][2]), (rows[8])]
+    rows += [(100 + i, t, x) for i, t, x in rows[:20]] + [(200 + i, rows[5][1], rows[5][2]) for i in range(30)] + [(None, rows[7][1], rows[7][2]), rows[8]]
+    rows += [(300 + i, " ".join(words(50 + i, 90) + shared + words(80 + i, 70)), "en") for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    good = spark.createDataFrame([(i,) for i in [*range(60), *range(200, 230)]], "doc_id long")
+    good = spark.createDataFrame([(i,) for i in [*range(60), *range(200, 230), 303]], "doc_id long")
     got = cross_parse_scores(spark, docs, good, shard_words=400, run_words=500).collect()
-    assert len(got) == len(rows)
-    assert all(r.n_phrases == 1 for r in got if r.doc_id is None or r.doc_id >= 100)
-    assert max(r.n_reference for r in got) < 5000
+    assert len(got) == len(rows) and max(r.n_reference for r in got) < 5000
+    size = {i: len(x) for (i, *_), x in zip(rows, segments(pa.array([t for _, t, _ in rows])))}
+    assert all(r.n_phrases == size[r.doc_id] for r in got if r.doc_id is None or 100 <= r.doc_id < 300)
+    assert all(r.n_phrases < r.n_words - 60 for r in got if r.doc_id is not None and r.doc_id >= 300 and r.doc_id != 303)  # the passage is found in 303
+
+
+def test_segments_cut_copies_alike():
+    passage = words(5, 400)
+    a, b = (list(x)[0] for x in (segments(pa.array([" ".join(words(6, 77) + passage + words(7, 50))])), segments(pa.array([" ".join(passage + words(8, 99))]))))
+    assert all(16 <= n <= 256 for _, n, _ in a[:-1]) and sum(n for _, n, _ in a) == 527
+    both = {t: n for t, n, _ in a if t in {x for x, _, _ in b}}
+    assert sum(both.values()) >= 250
+    assert [n for _, n, _ in next(segments(pa.array(["la " * 1000])))][:1] and next(segments(pa.array(["", None, "a b"]))) == [("", 0, 0)]
 
 
 def test_similar_vectors(spark):
