@@ -52,7 +52,10 @@ class Store:
     def as_ids(self, texts):
         terms = texts.select(*[parse_term(F.col(c)).alias(c) for c in "spog"])
         ids = terms.select(*[term_id(F.col(c)).alias(c) for c in KEY])
-        new = with_components(terms.select(F.explode(F.array("s", "p", "o", "g")).alias("term")).distinct()).select(term_id(F.col("term")).alias("id"), "term")
+        new = terms.select(F.explode(F.array("s", "p", "o", "g")).alias("term")).distinct()
+        if texts.where("s like '<<%' or o like '<<%'").limit(1).count():
+            new = with_components(new)
+        new = new.select(term_id(F.col("term")).alias("id"), "term")
         return ids, new
 
     def change(self, gone, new):

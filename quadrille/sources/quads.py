@@ -56,7 +56,9 @@ class QuadSource:
         if store:
             quads = materialise(quads.select("s", "p", "o", "g"), "quads")
         every = quads.select(F.explode(F.array("s", "p", "o", "g")).alias("term")).distinct()
-        terms = with_components(every).select(term_id(F.col("term")).alias("id"), "term")
+        if quads.where("s.kind = 4 or o.kind = 4").limit(1).count():
+            every = with_components(every)
+        terms = every.select(term_id(F.col("term")).alias("id"), "term")
         ids = quads.select(*[term_id(F.col(c)).alias(c) for c in "gspo"]).distinct().withColumn("derived", F.lit(False))
         if store:
             terms, ids = materialise(terms, "terms"), materialise(clustered(ids), "ids")
