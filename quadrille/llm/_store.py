@@ -36,6 +36,12 @@ def drop_stored(spark, df):
         p.getFileSystem(conf).delete(p, True)
 
 
+def beside(spark, df, name, rows=200_000):
+    """A table of numbers to join to a much larger one: stored, and broadcast if it has no more than `rows` rows."""
+    df = stored(spark, df, name)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 def one_row_each(spark, docs):
     """docs(doc_id, text) with one row per doc_id: of several texts the one with the smallest hash."""
     if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
