@@ -131,15 +131,21 @@ def _nations(spark, sf_dir):
     return quads_of(tables_source(spark, sf_dir, ["nation", "customer"]), [BASE + p for p in ("n_name", "n_region", "c_nation", "c_acctbal")], [BASE + "Nation"])
 
 
+def as_array(spark, path):
+    """A JSON-LD document of the lines written to a path."""
+    lines = spark.read.text(path).coalesce(1).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    to = f"{folder(spark)}/array.jsonld"
+    lines.write.text(to)
+    return to
+
+
 def _round_trip(fmt):
     def run(spark, sf_dir):
         """Written in one format and read back: names and largest balance of the customers of a nation."""
         path = f"{folder(spark)}/data.{fmt}"
         save(_nations(spark, sf_dir), path, fmt)
-        if fmt == "jsonld":  # a document is an array of the lines
-            lines = spark.read.text(path).coalesce(1).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
-            path = f"{folder(spark)}/array.jsonld"
-            lines.write.text(path)
+        if fmt == "jsonld":
+            path = as_array(spark, path)
         return ask(QuadSource.from_quads(spark, load(spark, path)), "SELECT ?n (COUNT(?c) AS ?k) (MAX(xsd:double(STR(?b))) AS ?most) WHERE { ?x a :Nation ; :n_name ?n . ?c :c_nation ?x ; :c_acctbal ?b } GROUP BY ?n")
 
     return run
@@ -159,6 +165,8 @@ def _named_round_trip(fmt):
     def run(spark, sf_dir):
         path = f"{folder(spark)}/data.{fmt}"
         save(_named(spark, sf_dir), path, fmt)
+        if fmt == "jsonld":
+            path = as_array(spark, path)
         return ask(QuadSource.from_quads(spark, load(spark, path)), "SELECT ?g ?n WHERE { GRAPH ?g { ?x :n_name ?n } }")
 
     return run
@@ -272,6 +280,22 @@ def rml_sql_query_and_join(spark, sf_dir):
     return nquads_lines(map_quads(spark, mapping, sf_dir, tables)).select(F.col("value").alias("line"))
 
 
+def rml_database_source(spark, sf_dir):
+    """A query of a database as logical source; the database lives in this process's memory."""
+    url = f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true"
+    region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
+    region.write.format("jdbc").option("url", url).option("dbtable", "regions").option("createTableColumnTypes", "r_name VARCHAR(64)").save()
+    mapping = RML + f"""@prefix d2rq: <http://www.wiwiss.fu-berlin.de/suhl/bizer/D2RQ/0.1#> .
+      <urn:r> rml:logicalSource [ rml:source [ d2rq:jdbcDSN "{url}" ; d2rq:jdbcDriver "org.apache.derby.iapi.jdbc.AutoloadedDriver" ] ; rml:query "SELECT * FROM regions WHERE \\"r_regionkey\\" > 1" ] ;
+      rml:subjectMap [ rml:template "http://ex/R/{{r_regionkey}}" ] ; rml:predicateObjectMap [ rml:predicate ex:label ; rml:objectMap [ rml:reference "r_name" ] ] ."""
+    return nquads_lines(map_quads(spark, mapping, sf_dir)).select(F.col("value").alias("line"))
+
+
+def explain_patterns(spark, sf_dir):
+    e = Engine(graph(spark, sf_dir, ("o_customer", "c_mktsegment"), (), ["orders", "customer"]))
+    return e.explain_patterns("SELECT ?o WHERE { ?o :o_customer ?c . OPTIONAL { ?c :c_mktsegment 'BUILDING' ; ?p ?x } }")
+
+
 def refusals(spark, sf_dir):
     """What must not be let through: unsafe rules, negative cycles, paths out of the folder, remote sources, recursive shapes."""
     tables = tables_source(spark, sf_dir, ["region"])
@@ -585,6 +609,9 @@ SQL = {
     "jsonld_round_trip": ROUND_SQL,
     "nquads_named_graphs": NAMED_SQL,
     "trig_named_graphs": NAMED_SQL,
+    "jsonld_named_graphs": NAMED_SQL,
+    "explain_patterns": "SELECT unnest(['?o <http://ex/o_customer> ?c', '?c <http://ex/c_mktsegment> \"BUILDING\"', '?c ?p ?x']) AS pattern, unnest(['predicate range', 'predicate range', 'full scan']) AS access, unnest([(SELECT COUNT(*) FROM orders), (SELECT COUNT(*) FROM customer), (SELECT COUNT(*) FROM orders) + (SELECT COUNT(*) FROM customer)]) AS estimate",
+    "rml_database_source": "SELECT '<http://ex/R/' || r_regionkey || '> <http://ex/label> \"' || r_name || '\" .' AS line FROM region WHERE r_regionkey > 1",
     "from_two_graphs": "SELECT n_name AS n FROM nation WHERE n_regionkey IN (1, 2)",
     "from_named_graphs": NAMED_SQL + " WHERE n_regionkey IN (1, 3)",
     "path_in_any_graph": "SELECT 'http://ex/region/' || a.n_nationkey % 5 AS g, SUM((24 - a.n_nationkey) // 5 + 1)::BIGINT AS n FROM nation a GROUP BY 1",
@@ -636,6 +663,7 @@ MADE = {
     "jsonld_round_trip": _round_trip("jsonld"),
     "nquads_named_graphs": _named_round_trip("nq"),
     "trig_named_graphs": _named_round_trip("trig"),
+    "jsonld_named_graphs": _named_round_trip("jsonld"),
     "rml_csv_source": _rml_file("csv", "CSV", ""),
     "rml_json_source": _rml_file("json", "JSONPath", "$"),
     "rml_xml_source": _rml_file("xml", "XPath", "/all/land"),

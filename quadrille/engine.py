@@ -44,6 +44,12 @@ class Engine:
         plan = df._jdf.queryExecution().explainString(self.source.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return f"{algebra(q)}\n{plan}"
 
+    def explain_patterns(self, text):
+        """How each triple pattern is read: rows (pattern, access, estimate); estimate is the most rows it can give."""
+        q = parse_query(text, self.prefixes, self.base)
+        rows = [(pattern_text(t), *self.source.access(*t)) for t in patterns(q)]
+        return self.source.spark.createDataFrame(rows, "pattern string, access string, estimate long")
+
     def sparql_with_timeout(self, text, seconds):
         """Rows of a query, cancelled with its jobs after so many seconds."""
         import threading
@@ -60,6 +66,22 @@ class Engine:
             sc.removeJobTag(tag)
 
 
+def patterns(x):
+    """The triple patterns of a parsed query, in order."""
+    if isinstance(x, dict):
+        return [t for v in x.values() for t in patterns(v)]
+    if isinstance(x, tuple) and x and x[0] == "triples":
+        return list(x[1])
+    if isinstance(x, (list, tuple)):
+        return [t for v in x for t in patterns(v)]
+    return []
+
+
+def pattern_text(t):
+    word = lambda x: f"?{x[1]}" if x[0] == "var" else f"<{x[1]}>" if x[0] in ("iri", "link") else f'"{x[1]}"' if x[0] == "lit" else f"({x[0]} ...)"
+    return " ".join(word(x) for x in t)
+
+
 def algebra(q, depth=0):
     """Indented text of a parsed query."""
     pad = "  " * depth

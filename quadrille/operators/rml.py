@@ -10,7 +10,7 @@ from ..functions.terms import BNODE, IRI, LIT, STRING, Val, encode, term
 from ..sources.rdf import DEFAULT, parse_document
 from .owl import Ontology
 
-SPACES = ("http://w3id.org/rml/", "http://www.w3.org/ns/r2rml#", "http://semweb.mmlab.be/ns/rml#", "http://semweb.mmlab.be/ns/fnml#", "http://w3id.org/fnml/")
+SPACES = ("http://www.wiwiss.fu-berlin.de/suhl/bizer/D2RQ/0.1#", "http://w3id.org/rml/", "http://www.w3.org/ns/r2rml#", "http://semweb.mmlab.be/ns/rml#", "http://semweb.mmlab.be/ns/fnml#", "http://w3id.org/fnml/")
 FUNCTIONS = {"toUpperCase": F.upper, "toLowerCase": F.lower, "trim": F.trim}
 
 
@@ -56,13 +56,15 @@ class Mapper:
         m = self.m
         ls = m.first(node, "logicalSource") or m.first(node, "logicalTable")
         kind = (m.first(ls, "referenceFormulation") or ("iri", "SQL2008"))[1].rsplit("/", 1)[-1].rsplit("#", 1)[-1]
+        src = m.first(ls, "source")
+        if src and src[0] != "lit" and (dsn := m.first(src, "jdbcDSN")):
+            return self.database(src, dsn[1], m.first(ls, "tableName") or m.first(ls, "query") or m.first(ls, "sqlQuery"), bool(m.first(ls, "tableName")))
         if name := m.first(ls, "tableName"):
             return self.tables[name[1]] if name[1] in self.tables else self.spark.table(name[1])
         if query := m.first(ls, "query") or m.first(ls, "sqlQuery"):
             for n, df in self.tables.items():
                 df.createOrReplaceTempView(n)
             return self.spark.sql(query[1])
-        src = m.first(ls, "source")
         path = src[1] if src[0] == "lit" else (m.first(src, "path") or m.first(src, "url") or ("lit", ""))[1]
         if path in self.tables:
             return self.tables[path]
@@ -82,6 +84,14 @@ class Mapper:
             return self.spark.read.format("xml").option("rowTag", iterator.rstrip("/").rsplit("/", 1)[-1]).option("inferSchema", False).load(path)
         return self.spark.read.parquet(path)
 
+    def database(self, src, dsn, what, table):
+        """A table or query of a database: filters and columns are pushed down to it; with a partition column it is read in parts."""
+        m, read = self.m, self.spark.read.format("jdbc").option("url", dsn).option("dbtable" if table else "query", what[1])
+        for name, option in (("jdbcDriver", "driver"), ("username", "user"), ("password", "password")):
+            if v := m.first(src, name):
+                read = read.option(option, v[1])
+        return read.load()
+
     def text(self, node, iri=False):
         """Text column of a term map's value: template, reference, constant or function."""
         m = self.m

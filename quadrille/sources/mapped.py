@@ -61,6 +61,13 @@ class MappedSource:
             if t.df.groupBy(*t.keys).count().where("count > 1").limit(1).count():
                 raise ValueError(f"key {t.keys} of {t.name} isn't unique")
 
+    def access(self, s, p, o):
+        """(access path, most rows) of a triple pattern: the tables that can match it and their sizes."""
+        if p[0] not in ("iri", "link", "var"):
+            return "path closure", sum(t.df.count() for t in self.tables)
+        met = [t for t in self.tables if self._scan(t, s, [(("iri", p[1]) if p[0] == "link" else p, o)]) is not None]
+        return "scan of " + ", ".join(t.name for t in met) if met else "nothing", sum(t.df.count() for t in met)
+
     def nothing(self, names):
         df = self.spark.range(0).select(*[F.lit(None).cast("string").alias(columns(v, WHOLE)[0]) for v in names])
         return Plan(df, dict.fromkeys(names, WHOLE), frozenset(names))

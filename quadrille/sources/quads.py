@@ -80,6 +80,13 @@ class QuadSource:
             self._stats = {r.p: r["count"] for r in self.quads.groupBy("p").count().orderBy(F.desc("count")).limit(10_000).collect()}
         return self._stats
 
+    def access(self, s, p, o):
+        """(access path, most rows) of a triple pattern."""
+        stats = self.statistics()
+        if p[0] in ("iri", "link"):
+            return "predicate range", stats.get(self.const_id(("iri", p[1])), 0)
+        return ("full scan" if p[0] == "var" else "path closure"), sum(stats.values())
+
     def weight(self, pattern):
         s, p, o = pattern
         return (s[0] == "var") + (o[0] == "var") + 2 * (p[0] == "var")

@@ -390,7 +390,7 @@ def trig_lines(quads):
 
 
 def jsonld_lines(quads):
-    """Flattened JSON-LD node objects, one a line."""
+    """Flattened JSON-LD node objects, one a line; those of a named graph inside an object of that graph."""
     name = lambda c: F.when(F.col(c)["kind"] == BNODE, F.concat(F.lit("_:"), F.col(c)["lex"])).otherwise(F.col(c)["lex"])
     quote = lambda x: F.to_json(F.array(x))
     inner = lambda x: F.substring(quote(x), F.lit(2), F.length(quote(x)) - 2)
@@ -401,12 +401,23 @@ def jsonld_lines(quads):
         .when(o["dt"] == STRING, F.concat(F.lit('{"@value":'), inner(o["lex"]), F.lit("}")))
         .otherwise(F.concat(F.lit('{"@value":'), inner(o["lex"]), F.lit(',"@type":'), inner(o["dt"]), F.lit("}")))
     )
-    t = quads.select(name("s").alias("s"), name("p").alias("p"), value.alias("o")).distinct()
-    po = t.groupBy("s", "p").agg(F.sort_array(F.collect_list("o")).alias("os")).select("s", F.concat(inner(F.col("p")), F.lit(":["), F.concat_ws(",", "os"), F.lit("]")).alias("po"))
-    return po.groupBy("s").agg(F.sort_array(F.collect_list("po")).alias("x")).select(F.concat(F.lit('{"@id":'), inner(F.col("s")), F.lit(","), F.concat_ws(",", "x"), F.lit("}")).alias("value"))
+    g = name("g") if "g" in quads.columns else F.lit(DEFAULT)
+    t = quads.select(g.alias("g"), name("s").alias("s"), name("p").alias("p"), value.alias("o")).distinct()
+    po = t.groupBy("g", "s", "p").agg(F.sort_array(F.collect_list("o")).alias("os")).select("g", "s", F.concat(inner(F.col("p")), F.lit(":["), F.concat_ws(",", "os"), F.lit("]")).alias("po"))
+    node = F.concat(F.lit('{"@id":'), inner(F.col("s")), F.lit(","), F.concat_ws(",", "x"), F.lit("}"))
+    named = F.concat(F.lit('{"@id":'), inner(F.col("g")), F.lit(',"@graph":['), node, F.lit("]}"))
+    return po.groupBy("g", "s").agg(F.sort_array(F.collect_list("po")).alias("x")).select(F.when(F.col("g") == DEFAULT, node).otherwise(named).alias("value"))
+
+
+def ntriples_lines(quads):
+    """Lines of the default graph; a quad of a named graph is an error, because the format has no place for it."""
+    if "g" in quads.columns:
+        kept = F.when(F.col("g.lex") == DEFAULT, F.col("s")).otherwise(F.raise_error(F.lit("N-Triples can't hold named graphs; write N-Quads or TriG")))
+        quads = quads.withColumn("s", kept)
+    return nquads_lines(quads)
 
 
 def save(quads, path, fmt="nq"):
     """Write quads as text files in nt/nq, turtle, trig or jsonld lines."""
-    make = {"nt": nquads_lines, "nq": nquads_lines, "turtle": turtle_lines, "ttl": turtle_lines, "trig": trig_lines, "jsonld": jsonld_lines}[fmt]
+    make = {"nt": ntriples_lines, "nq": nquads_lines, "turtle": turtle_lines, "ttl": turtle_lines, "trig": trig_lines, "jsonld": jsonld_lines}[fmt]
     make(quads).write.text(path)
