@@ -614,3 +614,20 @@ def test_url_rules_against_enumeration(spark):
                 rules[c] = (sum(held) / len(held), sum(held) / len(rows))
     want = {c: x for c, x in rules.items() if not any(set(d) < set(c) and y[0] >= x[0] for d, y in rules.items())}
     assert set(got) == set(want) and got and all(abs(got[c][k] - want[c][k]) < 1e-9 for c in want for k in (0, 1))
+
+
+def test_similar_vectors_hot_bucket(spark):
+    """Many vectors around one direction share buckets without links; the links among them are found after longer keys too."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=32)
+    x = [centre + rng.normal(size=32) * 0.45 for _ in range(500)]
+    x += [x[i] + rng.normal(size=32) * 0.03 for i in range(0, 500, 10)]
+    df = spark.createDataFrame([(i, [float(a) for a in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in similar_vectors(spark, df, block=16, hot=40).collect()}
+    unit = np.array([np.float32(v) for v in x]).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.98
+    np.fill_diagonal(close, False)
+    found, want = sum(r.n_links for r in got.values()), int(close.sum())
+    assert all(got[i].n_links <= close[i].sum() for i in got) and 100 <= want and found >= 0.98 * want
+    assert (unit @ unit.T >= 0.6).mean() > 0.5
