@@ -172,7 +172,7 @@ def union(plans):
             kinds.setdefault(v, set()).add(r == ID)
     mixed = [v for v, k in kinds.items() if len(k) > 1]
     if mixed:
-        plans = [decode(p, mixed, _DICTIONARY[0]) for p in plans]
+        plans = [decode(p, mixed, _DICTIONARY.get()) for p in plans]
     reps = {}
     for p in plans:
         for v, r in p.vars.items():
