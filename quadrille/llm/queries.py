@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, oracles
 from .cross_polytope import similar_vectors
 from .decontam import contamination
 from .html_main import main_texts
@@ -71,4 +71,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_pfair_mix": mixing.ORACLE}
+    return {"op4_pfair_mix": mixing.ORACLE} | oracles.SQL

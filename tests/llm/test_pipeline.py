@@ -67,3 +67,20 @@ def test_stages_judge_rows_without_id_and_repeated_ids(spark, tmp_path):
     assert sum(t == copy for _, t in left) == 1 and sum((t or "").startswith(clean) for _, t in left) == 1 and len(left) == 7
     cut = both(stages["substring_dedup"](spark, docs, str(tmp_path)))
     assert len(cut) == len(rows) and sum(t == copy for _, t in cut) == 1
+
+
+def test_operators_match_their_sql(spark):
+    import duckdb
+
+    from quadrille.llm import queries
+
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        want = db.sql(sql)
+        columns = sorted(want.columns)
+        rows = [tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()]
+        got = queries.queries()[name](spark, SMALL)
+        assert sorted(got.columns) == columns, name
+        assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(rows), name
