@@ -4,8 +4,8 @@ A page becomes a sequence of text blocks, each with its root-to-leaf tag path.
 aggregated per path and divided by the number of blocks on it; the two ratios are fused.  They select twice.  Smoothed over
 neighbouring blocks and thresholded against the page they choose the content node: the deepest element that holds
 nearly all of the weight that passed, or the heaviest of the page's article and main elements.  Inside it a path is
-dropped whose ratio is far below that of the node's text: counters, buttons and stray labels that no paragraph, heading,
-list or table cell holds, and, outside of article and main, lists of nothing but links.
+dropped whose ratio is far below that of the node's text: counters, buttons and stray labels, short and without
+punctuation, that no paragraph, heading, list or table cell holds, and, outside of article and main, lists of nothing but links.
 
 Marked boilerplate goes besides: menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles.
 Class names and ids are a prior only.  They count as a whole, or by their parts (`ad-slot`) on elements of little weight, and
@@ -37,7 +37,7 @@ SLIGHT = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo
 READERS = {"comment", "comments", "disqus", "respond", "replies"}
 TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption", "summary", "address"}
 PARTS, QUOTED, HIDDEN = re.compile(r"[-_]+"), re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"(?i)(?:^|\s)hidden(?=[\s/=]|$)")
-FAINT = 0.05  # share of the typical ratio under which a path is no text
+FAINT, LABEL = 0.05, 40  # share of the typical ratio under which a path is no text, and characters a block under which it may be labels
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 PUNCT = re.compile(r"[.,;:!?。，、！？¿¡…]")
@@ -222,9 +222,9 @@ def selected(inside):
         chars[n.path] = chars.get(n.path, 0) + len(t)
         linked[n.path] = linked.get(n.path, 0) + a
     keep = []
-    for (n, t, _), r, marks in zip(inside, ratio, punct):
+    for (n, t, _), r, length, marks in zip(inside, ratio, size, punct):
         links = not n.inside and n.tag != "p" and marks < 1 and linked[n.path] >= 0.9 * chars[n.path]
-        stray = n.tag not in TEXT_TAGS and not any(u.tag in TEXT_TAGS for u in lineage(n)) and marks < 1
+        stray = n.tag not in TEXT_TAGS and not any(u.tag in TEXT_TAGS for u in lineage(n)) and marks < 1 and length < LABEL
         if r >= FAINT * typical and not (links and r < 0.5 * typical) or not (links or stray):
             keep.append(t)
     return keep
