@@ -1 +1,10 @@
-"""An RDF graph analytics engine on PySpark DataFrames."""
+"""RDF graph analytics on PySpark.
+
+Functions that run in Python workers are pickled by value, so a cluster needs no copy of the package on its executors.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -156,3 +156,71 @@ def test_key_check(spark):
     bad.tables[0].keys = ["o_orderstatus"]
     with pytest.raises(ValueError):
         bad.check_keys()
+
+
+def test_components_against_search(spark):
+    import random
+
+    from quadrille.plans.fixpoint import components
+
+    rng = random.Random(4)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(300 + i, 301 + i) for i in range(60)] + [(5, 5)]
+    low = {x: x for p in pairs for x in p}
+    for _ in low:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r.id: r.rep for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: r for x, r in low.items() if any(x != y and low[y] == r for y in low)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_updates_fold_their_layers(spark):
+    store = Store(QuadSource.from_text(spark, P + "ex:a ex:p 0 ."), prefixes={"": BASE})
+    for i in range(1, 11):
+        store.update(f"DELETE {{ :a :p ?o }} INSERT {{ :a :p {i} . :b{i} :q ?o }} WHERE {{ :a :p ?o }}")
+    assert rows(store.source, "SELECT ?o { :a :p ?o }") == [("10",)]
+    assert rows(store.source, "SELECT ?s ?o { ?s :q ?o FILTER(?o < 2) }") == [("http://ex/b1", "0"), ("http://ex/b2", "1")]
+    assert store.layers < 8 and store.source.layers < 8
+
+
+def test_long_recursion_folds_its_rounds(spark):
+    text = P + " ".join(f"ex:n{i} ex:p ex:n{i + 1} ." for i in range(20))
+    src = QuadSource.from_text(spark, text)
+    assert Engine(src).sparql("SELECT ?y { :n0 :p+ ?y }").count() == 20
+    full = materialise_rules(src, parse_rules("prefix ex: <http://ex/> ex:t[?x,?y] :- ex:p[?x,?y] . ex:t[?x,?z] :- ex:t[?x,?y], ex:p[?y,?z] ."))
+    assert Engine(full).sparql("SELECT ?x ?y { ?x :t ?y }").count() == 210
+
+
+def test_manchester_text_is_checked_and_round_trips():
+    from quadrille.sources.manchester import Document, ManchesterFault, Printer
+
+    text = """Prefix: : <http://ex/>
+Ontology: <http://ex/o>
+ObjectProperty: near
+    Characteristics: Symmetric
+    SubPropertyChain: p o q
+DataProperty: age
+    Range: <http://www.w3.org/2001/XMLSchema#integer>[>= 0, < 150]
+Class: Dog
+    SubClassOf: Animal, tail max 1 Tail and (eats some (Meat or not Plant))
+    DisjointWith: Cat
+Individual: fido
+    Types: Dog
+    Facts: near rex, age 7, not near tom
+"""
+    once = Printer([q[:3] for q in Document(text).parse()]).text()
+    assert Printer([q[:3] for q in Document(once).parse()]).text() == once
+    for word in ("Symmetric", "SubPropertyChain", "max 1", " some ", "not <http://ex/near>", "DisjointWith"):
+        assert word in once
+    for bad in ("Class: x:y", "Prefix: : <http://ex/> Class: A SubClassOf: B some", "Frame: A"):
+        with pytest.raises((ManchesterFault, KeyError)):
+            Document(bad).parse()
+
+
+def test_canonical_labels_do_not_depend_on_names(spark):
+    from quadrille.sources.canonical import canonical_lines
+    from quadrille.sources.rdf import quads_from_text
+
+    text = "@prefix ex: <http://ex/> . _:{0} ex:p _:{1} . _:{1} ex:p _:{2} . _:{2} ex:q 'end' . _:{3} ex:p _:{3} . ex:s ex:p _:{0} ."
+    a, b = (sorted(r.value for r in canonical_lines(quads_from_text(spark, text.format(*n))).collect()) for n in ("wxyz", "zyxw"))
+    assert a == b and len(a) == 5 and sum("_:c14n" in x for x in a) == 5
