@@ -9,7 +9,7 @@ start) is removed.  Whether a string repeats is read off suffix arrays of shards
 2. Copies.  Stretches with equal anchor and equal bytes collapse to their first occurrence; the others are covered by
    it as a whole.  This is a combined aggregation, so thousands of copies are one row before any text moves.
 3. Suffix arrays.  Where an anchor has several different stretches, the first occurrences of those that agree with another
-   one beside the anchor are concatenated, shard by shard, and sorted: suffixes are classified, leftmost-smaller substrings sorted and named, the names sorted
+   one around the anchor, as far as a window in common must, are concatenated, shard by shard, and sorted: suffixes are classified, leftmost-smaller substrings sorted and named, the names sorted
    recursively, and the shard's array induced from them in linear time.  Permuted common prefixes of `length` or
    more mark the suffixes that repeat an earlier one.
 4. Hot anchors.  A shard holds whole anchors, so stretches of an anchor that has more than a few shards of different
@@ -25,6 +25,7 @@ not be valid UTF-8.
 
 import gc
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from ._text import byte_table, mix, powers, small_batches, span_hashes, string_b
 
 LENGTH, GRAM = 100, 24
 GRAMS, POWERS = byte_table(lower=False, seed=7), powers(1 << 10)
+PARTS = 8  # ranges of windows that are compared before suffixes are sorted
 SHARD, SHARDS = 2 << 20, 8  # bytes of a suffix array, and how many of them an anchor may fill
 
 
@@ -107,20 +109,27 @@ def _induce_names(s, small, counts, lms):
     n, sa = len(s), [-1] * len(s)
     ends = np.cumsum(counts)
     head, tail, t = (ends - counts).tolist(), (ends - 1).tolist(), (ends - 1).tolist()
-    v, kind = s.tolist(), small.tolist()
+    v, larger = s.tolist(), np.full(n + 1, -1, dtype=np.int64)  # the symbol before each suffix; the last is for empty places
+    larger[1:n] = s[:-1]
+    smaller = larger.copy()
+    larger[1:n][small[:-1]] = -1
+    smaller[1:n][~small[:-1]] = -1
+    larger, smaller = larger.tolist(), smaller.tolist()
     for i in reversed(lms.tolist()):
         sa[t[v[i]]] = i
         t[v[i]] -= 1
-    for r in range(n):
-        j = sa[r] - 1
-        if j >= 0 and not kind[j]:
-            sa[head[v[j]]] = j
-            head[v[j]] += 1
-    for r in range(n - 1, -1, -1):
-        j = sa[r] - 1
-        if j >= 0 and kind[j]:
-            sa[tail[v[j]]] = j
-            tail[v[j]] -= 1
+    for i in sa:  # grows ahead of the loop
+        c = larger[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
+    for i in reversed(sa):
+        c = smaller[i]
+        if c >= 0:
+            at = tail[c]
+            sa[at] = i - 1
+            tail[c] = at - 1
     return np.array(sa, dtype=np.int64)
 
 
@@ -281,32 +290,34 @@ def _pieces(length):
 def may_repeat(anchor, rows, length, gram):
     """The rows (doc, lo, piece) of an anchor that can have a window in common with another one.
 
-    All windows hold the anchor's gram, so one that two pieces share reaches at least half of the rest of `length` bytes to
-    the left or to the right of it; a piece whose bytes there are like no other's on either side repeats nothing.
+    All windows hold the anchor's gram.  How far one reaches to its left falls into one of `PARTS` ranges, and a window that two
+    pieces share has the bytes in common that all windows of its range hold; a piece whose bytes there are like no
+    other's in any range repeats nothing, and of the others only the windows from the first such range to the last stay.
     """
     first = np.frombuffer(rows[0][2], dtype=np.uint8)
     at = np.flatnonzero(gram_hashes(first, gram, POWERS if len(first) < len(POWERS[0]) else powers(len(first) + 1))[1] == np.uint64(anchor & (1 << 64) - 1))
     if not len(at):
         return rows
-    word, side, keys, seen = rows[0][2][at[0] : at[0] + gram], (length - gram) // 2, [], {}
+    word, rest, places = rows[0][2][at[0] : at[0] + gram], length - gram, []
     for _, _, piece in rows:
         g = piece.find(word)
         if g < 0 or piece.find(word, g + 1) >= 0:
             return rows
-        pair = (piece[g - side : g] if g >= side else None, piece[g + gram : g + gram + side] if len(piece) >= g + gram + side else None)
-        keys.append(pair)
-        for k in enumerate(pair):
-            seen[k] = seen.get(k, 0) + 1
+        places.append(g)
+    edges = [rest * j // PARTS for j in range(PARTS + 1)]
+    shared = [[] for _ in rows]
+    for j in range(PARTS):
+        left, right = edges[j], gram + rest - edges[j + 1]  # bytes held to the left of the gram, from it on; two that clash keep more
+        keys = [hash(r[2][g - left : g + right]) if left <= g and g + right <= len(r[2]) else None for r, g in zip(rows, places)]
+        many = Counter(keys)
+        for k, found in zip(keys, shared):
+            if k is not None and many[k] > 1:
+                found.append(j)
     out = []
-    for (doc, lo, piece), (a, b) in zip(rows, keys):
-        left, right, g = a is not None and seen[0, a] > 1, b is not None and seen[1, b] > 1, piece.find(word)
-        if left and right:
-            out.append((doc, lo, piece))
-        elif left:  # only windows that reach to the left
-            out.append((doc, lo, piece[: g + gram + side + (length - gram) % 2]))
-        elif right:
-            cut = max(0, g - side - (length - gram) % 2)
-            out.append((doc, lo + cut, piece[cut:]))
+    for (doc, lo, piece), g, found in zip(rows, places, shared):
+        if found:
+            cut = max(0, g - edges[found[-1] + 1])
+            out.append((doc, lo + cut, piece[cut : g + gram + rest - edges[found[0]]]))
     return [r for r in out if len(r[2]) >= length]
 
 
@@ -349,22 +360,20 @@ def _sorter(length, gram, shard_bytes):
 
 
 def _windows(length):
-    """Every window of the needed stretches by two hashes: rows (h1, h2, doc, start, again)."""
+    """Every window of the pieces by two hashes: rows (h1, h2, doc, start)."""
 
     def run(batches):
-        tables = byte_table(lower=False, seed=11), byte_table(lower=False, seed=13)
-        for batch in small_batches(batches):
-            for d, text, needs in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "needs"))):
-                raw = np.frombuffer(text.encode(), dtype=np.uint8)
-                at = np.unique(np.concatenate([np.arange(x["lo"], x["lo"] + x["n"]) for x in needs]))
-                low, high = int(at[0]), int(at[-1]) + length
-                h1, h2 = (span_hashes(raw[low:high], at - low, at - low + length, table) for table in tables)
-                order = np.lexsort((at, h2, h1))
-                again = np.zeros(len(at), dtype=bool)
-                again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-                for i in range(0, len(at), 50_000):
-                    j = i + 50_000
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[i:j].view(np.int64)), pa.array(h2[i:j].view(np.int64)), pa.array(np.full(len(at[i:j]), d)), pa.array(at[i:j].astype(np.int32)), pa.array(again[i:j])], names=["h1", "h2", "doc", "start", "again"])
+        tables, pows = (byte_table(lower=False, seed=11), byte_table(lower=False, seed=13)), powers(1 << 21)
+        for batch in small_batches(batches, "body"):
+            data, offs = string_buffers(batch.column("body"))
+            n = np.diff(offs) - length + 1
+            piece = np.repeat(np.arange(len(n)), n)
+            off = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+            at = offs[piece] + off
+            h1, h2 = (span_hashes(data, at, at + length, table, pows=pows) for table in tables)
+            doc, start = batch.column("doc").to_numpy()[piece], (batch.column("lo").to_numpy()[piece] + off).astype(np.int32)
+            for j in range(0, len(at), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[j : j + 50_000]) for x in (h1.view(np.int64), h2.view(np.int64), doc, start)], names=["h1", "h2", "doc", "start"])
 
     return run
 
@@ -421,15 +430,16 @@ def repeated_spans(spark, docs, length=LENGTH, gram=GRAM, shard_bytes=SHARD):
     different = mixed.where(own & ~again).select("anchor", "doc", lo.alias("lo"), n.alias("n"))
     hot = stored(spark, different.groupBy("anchor").agg(F.sum(F.col("n") - 1 + length).alias("bytes")).where(F.col("bytes") > SHARDS * shard_bytes).select("anchor"), "hot")
     grouped = lambda x: docs.join(x.groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("needs")), "doc").select("doc", "text", "needs")
-    pieces = stored(spark, grouped(different.join(hot, "anchor", "left_anti")).mapInArrow(_pieces(length), "anchor long, doc long, lo int, body binary"), "pieces")
+    pieces = stored(spark, grouped(different).mapInArrow(_pieces(length), "anchor long, doc long, lo int, body binary"), "pieces")
     _settle(spark)
-    ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc", "lo")
+    split = hot.limit(1).count()
+    ordered = (pieces.join(hot, "anchor", "left_anti") if split else pieces).repartition("anchor").sortWithinPartitions("anchor", "doc", "lo")
     spans = plain.unionAll(copies).unionAll(ordered.mapInArrow(_sorter(length, gram, shard_bytes), "doc long, start int, end int"))
     tables = [met, mixed, pieces, hot]
-    if hot.limit(1).count():
-        windows = stored(spark, grouped(different.join(hot, "anchor")).mapInArrow(_windows(length), "h1 long, h2 long, doc long, start int, again boolean"), "windows")
-        first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        later = windows.join(first, ["h1", "h2"]).where("again or doc <> first").select("doc", "start", (F.col("start") + length).alias("end"))
+    if split:
+        windows = stored(spark, pieces.join(hot, "anchor", "left_semi").mapInArrow(_windows(length), "h1 long, h2 long, doc long, start int"), "windows")
+        first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        later = windows.join(first, ["h1", "h2"]).where("doc <> first.doc or start <> first.start").select("doc", "start", (F.col("start") + length).alias("end"))
         spans, tables = spans.unionAll(later), [*tables, windows]
     spans = stored(spark, spans, "spans")
     for table in tables:

@@ -12,12 +12,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.llm import mixing
+from quadrille.llm._text import powers
 from quadrille.llm.cross_polytope import similar_vectors
 from quadrille.llm.decontam import RADIUS, block_tables, contamination, lookup
 from quadrille.llm.html_main import main_text, main_texts
 from quadrille.llm.near_dup import near_duplicates, posterior_bounds
 from quadrille.llm.passages import chain, repeated_passages, without_passages
-from quadrille.llm.suffix_dedup import permuted_prefixes, repeated_windows, suffix_array, without_repeats
+from quadrille.llm.suffix_dedup import gram_hashes, may_repeat, permuted_prefixes, repeated_windows, suffix_array, without_repeats
 from quadrille.llm.toxicity import fit, marginals, score_texts, toxicity
 from quadrille.llm.url_rules import judge, mine
 from quadrille.llm.ziv_merhav import Automaton, cross_parse_scores, segments
@@ -168,6 +169,22 @@ def test_without_repeats_splits_a_hot_anchor(spark):
     assert sum(x[1] > 0 for x in got.values()) == 40
 
 
+def test_chance_neighbours_of_an_anchor_are_not_sorted():
+    """Pieces that agree in less than a window's length beside their anchor go before suffixes are sorted; windows in common stay."""
+    rng, gram, length = random.Random(12), 24, 100
+    filler = lambda n: bytes(rng.choice(b"abcdefghij ") for _ in range(n))
+    word = filler(gram)
+    sums = gram_hashes(np.frombuffer(word, dtype=np.uint8), gram, powers(1 << 10))[1]
+    left = filler(50)
+    rows = [(i, 0, filler(20) + left + word + filler(70)) for i in range(30)]  # 74 bytes in common
+    assert not may_repeat(int(sums[0].view(np.int64)), rows, length, gram)
+    source = filler(76) + word + filler(76)
+    mixed = [(0, 0, source)] + [(i, 10 * i, filler(rng.randint(0, 76 - x)) + source[76 - x : 176 - x] + filler(rng.randint(0, x))) for i, x in enumerate(range(77), 1)]
+    kept = may_repeat(int(sums[0].view(np.int64)), mixed, length, gram)
+    found = lambda rows: {(d, lo + int(o)) for (d, lo, _), o in ((rows[p], o) for p, o in zip(*repeated_windows([r[2] for r in rows], length)))}
+    assert found(kept) == found(mixed) and len(found(mixed)) >= 77
+
+
 def test_chain_prefers_collinear_matches():
     x, y = [0, 10, 20, 30, 30], [5, 15, 25, 35, 2]
     assert chain(x, y, 8)[0] == [0, 1, 2, 3]
