@@ -23,7 +23,6 @@ extra columns are ignored; an empty table gives an empty result.  Bytes are thos
 not be valid UTF-8.
 """
 
-import gc
 import hashlib
 from collections import Counter
 
@@ -31,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ._store import drop_stored, stored
+from ._store import drop_stored, settle, stored
 from ._text import byte_table, mix, powers, small_batches, span_hashes, string_buffers
 
 LENGTH, GRAM = 100, 24
@@ -400,12 +399,6 @@ def _finisher(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-def _settle(spark):
-    """Let Spark's cleaner drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(spark, docs, length=LENGTH, gram=GRAM, shard_bytes=SHARD):
     """Removed byte ranges of docs(doc, text), doc unique and in corpus order: rows (doc, start, end), which may overlap."""
     anchors = stored(spark, docs.mapInArrow(_anchors(length, gram), "anchor long, body long, doc long, at long"), "anchors")
@@ -414,12 +407,12 @@ def repeated_spans(spark, docs, length=LENGTH, gram=GRAM, shard_bytes=SHARD):
     again_met = stored(spark, anchors.join(several, "anchor"), "several")
     drop_stored(spark, anchors)
     del several
-    _settle(spark)
+    settle(spark)
     kinds = again_met.groupBy("anchor").agg(F.min("body").alias("b0"), F.max("body").alias("b1"), F.min("doc").alias("first"))
     met = stored(spark, again_met.join(kinds.select("anchor", (F.col("b0") != F.col("b1")).alias("mixed"), "first"), "anchor"), "met")
     drop_stored(spark, again_met)
     del kinds
-    _settle(spark)
+    settle(spark)
     lo, n = F.shiftright("at", 17).cast("int"), (F.shiftright("at", 1).bitwiseAND(0xFFFF)).cast("int")
     own, again = F.col("doc") == F.col("first"), F.col("at").bitwiseAND(1) == 1
     span = ["doc", lo.alias("start"), (lo + n - 1 + length).alias("end")]
@@ -431,7 +424,7 @@ def repeated_spans(spark, docs, length=LENGTH, gram=GRAM, shard_bytes=SHARD):
     hot = stored(spark, different.groupBy("anchor").agg(F.sum(F.col("n") - 1 + length).alias("bytes")).where(F.col("bytes") > SHARDS * shard_bytes).select("anchor"), "hot")
     grouped = lambda x: docs.join(x.groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("needs")), "doc").select("doc", "text", "needs")
     pieces = stored(spark, grouped(different).mapInArrow(_pieces(length), "anchor long, doc long, lo int, body binary"), "pieces")
-    _settle(spark)
+    settle(spark)
     split = hot.limit(1).count()
     ordered = (pieces.join(hot, "anchor", "left_anti") if split else pieces).repartition("anchor").sortWithinPartitions("anchor", "doc", "lo")
     spans = plain.unionAll(copies).unionAll(ordered.mapInArrow(_sorter(length, gram, shard_bytes), "doc long, start int, end int"))
@@ -462,6 +455,6 @@ def without_repeats(spark, docs, length=LENGTH, shard_bytes=SHARD):
     """Every document of docs(doc_id, text) without its repeated bytes: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
     docs = _named(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     spans = repeated_spans(spark, docs.select("doc", "text"), length, shard_bytes=shard_bytes)
-    _settle(spark)
+    settle(spark)
     per = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return docs.join(per, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_finisher, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -648,3 +648,24 @@ def test_similar_vectors_hot_bucket(spark):
     found, want = sum(r.n_links for r in got.values()), int(close.sum())
     assert all(got[i].n_links <= close[i].sum() for i in got) and 100 <= want and found >= 0.98 * want
     assert (unit @ unit.T >= 0.6).mean() > 0.5
+
+
+def test_passages_whose_seeds_occur_elsewhere_first_and_last(spark):
+    """Every phrase of an edited passage stands alone in documents before and after its source too."""
+    rng = random.Random(31)
+    passage = words(91, 120)
+    around = lambda i: " ".join(words(400 + i, 30))
+    copy = lambda a: " ".join(w if j % 30 != a else f"edit{a}x{j}" for j, w in enumerate(passage))
+    pieces = [passage[j : j + 7] for j in range(0, len(passage) - 3, 4)]
+
+    def scattered(seed):
+        order = pieces[:]
+        random.Random(seed).shuffle(order)
+        return " ".join(" ".join([*p, *(f"f{rng.random():.12f}" for _ in range(5))]) for p in order)
+
+    rows = [(i, scattered(i)) for i in range(10)] + [(10, around(10) + " " + copy(3) + " " + around(11))]
+    rows += [(i, scattered(i)) for i in range(11, 20)] + [(20, around(20) + " " + copy(18) + " " + around(21))]
+    got = repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [r for r in got if (r.doc_id, r.src_id) == (20, 10)]
+    assert len(found) == 1 and found[0].end - found[0].start >= 100, got
+    assert {r.doc_id for r in got} == {20}
