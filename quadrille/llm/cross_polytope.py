@@ -13,10 +13,9 @@ link with nothing; vectors of different length never link; equal vectors of a la
 other and counted with its size; of rows that repeat a vec_id one counts; rows without vec_id are left out; extra columns
 are ignored; an empty table gives an empty result.
 
-Hot groups: equal vectors collapse in a map-side combined aggregation.  Keys of buckets with more than `hot` vectors are
-made longer by one more hash function, with its second nearest axis as a further probe, up to `levels` times; a pair at
-cosine 0.98 agrees there with probability 0.85 at least, so one that meets in hot buckets only is missed with
-probability below 0.001.  What is still larger than `block` vectors is split into blocks by hash, each pair of blocks a
+Hot groups: equal vectors collapse in a map-side combined aggregation.  The keys of a vector depend on it alone, never on how
+many share them, so what is found is the same in every table that holds a pair.  A bucket larger than `block` vectors is
+split into blocks by hash (four times as large in buckets of more than `hot`, which ships fewer copies), each pair of blocks a
 group of its own, and a group gives counts and a spanning forest of its links, never its pairs.  A pair that meets in several
 buckets counts in the one with the smallest key only.
 """
@@ -29,7 +28,7 @@ from ._graph import connected_components
 from ._store import drop_stored, stored
 from ._text import mix
 
-TABLES, FUNCTIONS, BLOCK, HOT, MOST_HOT = 12, 3, 256, 4096, 1_000_000
+TABLES, FUNCTIONS, BLOCK, HOT = 12, 3, 256, 4096
 
 
 def hadamard(x):
@@ -63,37 +62,6 @@ def axes(x, seed):
     return tuple((i * 2 + (y[np.arange(n), i] > 0)).astype(np.uint64) for i in (first, second))
 
 
-def refined_keys(x, keys, hot, seed):
-    """Keys with those in `hot` (sorted) made longer by one more hash function a table, and one more probe a table."""
-    tables = keys.shape[1]
-    out = np.concatenate((keys, keys[:, :, :1]), axis=2)
-    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-    found = hot[at] == keys
-    rows = np.flatnonzero(found.any(axis=(1, 2)))
-    for t in range(tables):
-        best, other = axes(x[rows], seed + t)
-        k, f = keys[rows, t], found[rows, t]
-        out[rows, t, :-1] = np.where(f, mix(k * np.uint64(31) + best[:, None] + np.uint64(7)), k)
-        out[rows, t, -1] = np.where(f[:, 0], mix(k[:, 0] * np.uint64(31) + other + np.uint64(7)), k[:, 0])
-    return out
-
-
-def _refiner(hot, width, seed):
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                keys = np.array(pa.concat_arrays([batch.column("keys")]).flatten().to_numpy(), dtype=np.int64).view(np.uint64).reshape(batch.num_rows, -1, width)
-                out = np.empty((*keys.shape[:2], width + 1), dtype=np.uint64)
-                for rows, x in _matrix(pa.concat_arrays([batch.column("embedding")])):
-                    out[rows] = refined_keys(_unit(x), keys[rows], hot.value, seed)
-                size = out.shape[1] * out.shape[2]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(out) + 1, size, dtype=np.int32)), pa.array(out.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("copies"), batch.column("embedding"), lists], names=["vec_id", "copies", "embedding", "keys"])
-
-    return run
-
-
 def bucket_keys(x, salt, tables=TABLES, functions=FUNCTIONS):
     """Keys of unit vectors x: array (n, tables, 1 + functions); [:, :, 0] is the bucket, the rest are probes.
 
@@ -216,7 +184,7 @@ def _linker(threshold, width):
     return run
 
 
-def similar_vectors(spark, vectors, threshold=0.98, tables=TABLES, functions=FUNCTIONS, block=BLOCK, hot=HOT, levels=3):
+def similar_vectors(spark, vectors, threshold=0.98, tables=TABLES, functions=FUNCTIONS, block=BLOCK, hot=HOT):
     """Links between the rows of vectors(vec_id, embedding, label) with equal labels and cosine >= threshold.
 
     Rows (vec_id, n_links, component_id, kept): other vectors linked directly, smallest vec_id reachable, and whether it
@@ -230,19 +198,10 @@ def similar_vectors(spark, vectors, threshold=0.98, tables=TABLES, functions=FUN
     classes = stored(spark, usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "classes")
     index = stored(spark, classes.mapInArrow(_indexer(tables, functions), "vec_id long, copies long, embedding array<double>, keys array<long>"), "index")
     width = 1 + functions
-    for level in range(levels):
-        full = index.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot).select("key")
-        keys = full.limit(MOST_HOT + 1).toArrow().column("key").to_numpy()  # at most 8 MB; beyond that the blocks below do all
-        if not 0 < len(keys) <= MOST_HOT:
-            break
-        longer = _refiner(spark.sparkContext.broadcast(np.sort(keys.view(np.uint64))), width, (tables + level) * 1000)
-        before, index = index, stored(spark, index.mapInArrow(longer, "vec_id long, copies long, embedding array<double>, keys array<long>"), "index")
-        drop_stored(spark, before)
-        width += 1
     slots = index.select("vec_id", F.posexplode("keys").alias("at", "key")).select("vec_id", "key", (F.col("at") % width == 0).cast("int").alias("own"))
     slots = slots.groupBy("key", "vec_id").agg(F.max("own").alias("own"))
     full = slots.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("own").alias("owned")).where("size > 1 and owned > 0")
-    met = slots.join(full, "key").select("key", "vec_id", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    met = slots.join(full, "key").select("key", "vec_id", F.ceil(F.col("size") / F.when(F.col("size") > hot, 4 * block).otherwise(block)).cast("int").alias("blocks"))
     met = met.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "vec_id", "part", F.least("part", "other").alias("r"), F.greatest("part", "other").alias("s"))

@@ -669,3 +669,14 @@ def test_passages_whose_seeds_occur_elsewhere_first_and_last(spark):
     found = [r for r in got if (r.doc_id, r.src_id) == (20, 10)]
     assert len(found) == 1 and found[0].end - found[0].start >= 100, got
     assert {r.doc_id for r in got} == {20}
+
+
+def test_similar_vectors_find_the_same_in_hot_buckets(spark):
+    """What is found depends on the vectors only, not on how many share their buckets."""
+    rng = np.random.default_rng(10)
+    centre = rng.normal(size=32)
+    x = [centre + rng.normal(size=32) * 0.45 for _ in range(200)]
+    x += [v + rng.normal(size=32) * 0.18 for v in x]
+    df = spark.createDataFrame([(i, [float(a) for a in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    hot, cold = (sorted(similar_vectors(spark, df, tables=1, functions=1, block=16, hot=h).collect()) for h in (10, 10**6))
+    assert hot == cold and sum(r.n_links for r in cold) > 100
