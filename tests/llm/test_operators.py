@@ -17,7 +17,7 @@ from quadrille.llm.cross_polytope import similar_vectors
 from quadrille.llm.decontam import RADIUS, block_tables, contamination, lookup
 from quadrille.llm.html_main import main_text, main_texts
 from quadrille.llm.near_dup import near_duplicates, posterior_bounds
-from quadrille.llm.passages import chain, repeated_passages, without_passages
+from quadrille.llm.passages import align, chain, repeated_passages, without_passages
 from quadrille.llm.suffix_dedup import gram_hashes, may_repeat, permuted_prefixes, repeated_windows, suffix_array, without_repeats
 from quadrille.llm.toxicity import fit, marginals, score_texts, toxicity
 from quadrille.llm.url_rules import judge, mine
@@ -680,3 +680,16 @@ def test_similar_vectors_find_the_same_in_hot_buckets(spark):
     df = spark.createDataFrame([(i, [float(a) for a in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     hot, cold = (sorted(similar_vectors(spark, df, tables=1, functions=1, block=16, hot=h).collect()) for h in (10, 10**6))
     assert hot == cold and sum(r.n_links for r in cold) > 100
+
+
+def test_long_gaps_of_a_chain_are_aligned():
+    """A gap without seeds counts by its words in common, however long it is."""
+    rng = np.random.default_rng(12)
+    flank, gap, tail = (rng.integers(0, 1 << 16, n).astype("<u2") for n in (400, 450, 400))
+    other = gap.copy()
+    other[::3] ^= 1  # no four words in a row are left
+    a, b = np.concatenate((flank, gap, tail)), np.concatenate((flank, [np.uint16(7)], other, tail)).astype("<u2")
+    x = [*range(0, 396, 3), *range(850, 1246, 3)]
+    y = [i if i < 400 else i + 1 for i in x]
+    (found,) = align(a, b, x, y, 4, 50, 0.8)
+    assert found[:4] == (0, len(a), 0, len(b)) and found[4] >= 1100 / len(b)
