@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import mixing
+from quadrille.llm import mixing, passages
 from quadrille.llm._text import powers
 from quadrille.llm.cross_polytope import similar_vectors
 from quadrille.llm.decontam import RADIUS, block_tables, contamination, lookup
@@ -693,3 +693,33 @@ def test_long_gaps_of_a_chain_are_aligned():
     y = [i if i < 400 else i + 1 for i in x]
     (found,) = align(a, b, x, y, 4, 50, 0.8)
     assert found[:4] == (0, len(a), 0, len(b)) and found[4] >= 1100 / len(b)
+
+
+def test_long_documents_do_not_travel_with_each_chain(spark):
+    """Chains of one long source carry the words around them; those that need more give what whole documents give."""
+    long, shared = words(95, 6000, 40000), words(96, 900, 40000)
+    rows = [(0, " ".join(long[:3000] + shared + long[3000:]))]
+    rows += [(1 + i, " ".join(words(700 + i, 20, 40000) + long[i * 100 : i * 100 + 70] + words(800 + i, 20, 40000))) for i in range(25)]
+    rows += [(30, " ".join(words(97, 200, 40000) + [w if j % 3 else f"x{j}" for j, w in enumerate(shared)] + words(98, 9, 40000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketches = docs.mapInArrow(passages._sketcher, "doc_id long, words binary").cache()
+    chains = spark.createDataFrame([(30, 0, [700, 740], [3500, 3540]), *((1 + i, 0, [20, 60], [i * 100, i * 100 + 40]) for i in range(25))], "doc_id long, src_id long, xs array<int>, ys array<int>")
+    near = passages.around(chains, sketches, 4, 64).collect()
+    assert len(near) == 26 and max(len(r.words) + len(r.src_words) for r in near) <= 4 * (44 + 2 * 64)
+    whole = {i: [r.words for r in sketches.where(f"doc_id = {i}").collect()][0] for i in (0, 30)}
+    a, b = (np.frombuffer(whole[i], "<u2") for i in (30, 0))
+    parts = {r.doc_id: r for r in near}
+    x, y = (np.frombuffer(w, "<u2") for w in (parts[30].words, parts[30].src_words))
+    assert (x == a[parts[30].low : parts[30].low + len(x)]).all() and (y == b[parts[30].src_low : parts[30].src_low + len(y)]).all()
+    assert align(a, b, [700, 740], [3500, 3540], 4, 50, 0.6)[0][1] > 1000
+    assert align(x, y, [64, 104], [64, 104], 4, 50, 0.6, (True, True), (True, True)) is None  # goes on beyond those words
+    found = {(r.doc_id, r.src_id): r for r in repeated_passages(spark, docs).collect()}
+    assert all((r.start, r.end, r.src_start) == (20, 90, i * 100) for i, r in ((i, found[1 + i, 0]) for i in range(25)))
+
+
+def test_seeds_that_occur_once_are_not_sorted_with_the_rest():
+    """Matches are those of the seeds that occur again, and none where no seed does."""
+    seed, doc, pos = np.array([5, 9, 5, 7, 9, 5], dtype=np.uint64), np.array([1, 1, 2, 2, 3, 3]), np.array([0, 4, 1, 3, 2, 8])
+    got = [np.concatenate(x).tolist() for x in zip(*passages.links(seed, doc, pos))]
+    assert sorted(zip(*got)) == [(2, 1, 1, 0), (3, 1, 2, 4), (3, 1, 8, 0)]
+    assert list(passages.links(np.array([1, 2, 3], dtype=np.uint64), doc[:3], pos[:3])) == []
