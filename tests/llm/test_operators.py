@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import mixing, passages
 from quadrille.llm._text import powers
+from quadrille.llm.cross_parse import whole_parse_scores
 from quadrille.llm.cross_polytope import similar_vectors
 from quadrille.llm.decontam import RADIUS, block_tables, contamination, lookup
 from quadrille.llm.html_main import main_text, main_texts
@@ -723,3 +724,29 @@ def test_seeds_that_occur_once_are_not_sorted_with_the_rest():
     got = [np.concatenate(x).tolist() for x in zip(*passages.links(seed, doc, pos))]
     assert sorted(zip(*got)) == [(2, 1, 1, 0), (3, 1, 2, 4), (3, 1, 8, 0)]
     assert list(passages.links(np.array([1, 2, 3], dtype=np.uint64), doc[:3], pos[:3])) == []
+
+
+def test_whole_reference_parse(spark, corpus):
+    """Phrases against all reference documents of the language, run through the document: as the greedy parse by brute force has them."""
+    rng, long = random.Random(77), words(90, 400, 30)
+    rows = [(i, t, lang) for i, t, lang, _ in corpus if i != 11]
+    rows += [(100 + i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))), rng.choice(["en", "fr", None])) for i in range(40)]
+    for i in range(30):  # patchworks of pieces, whose matches overlap
+        at = [rng.randrange(380) for _ in range(6)]
+        rows.append((200 + i, " ".join(w for a in at for w in long[a : a + rng.randint(3, 40)]), "en"))
+    rows += [(300, " ".join(long), "en"), (301, " ".join(long).upper(), "en"), (302, "la " * 500, "en"), (303, "la " * 70 + "so", "en"), (303, "La la la so", "en")]
+    rows += [(None, " ".join(long[:200]), "en"), (None, " ".join(long[:200]) + " end", "en"), (304, "Été   été un deux", "en"), (305, "été été un", "en"), (300, "twice here", "en")]
+    good = {i for i, *_ in rows if i is not None and (i % 3 == 0 or i in (1, 2, 4, 304))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = whole_parse_scores(spark, docs, spark.createDataFrame([(i,) for i in sorted(good)] + [(None,)], "doc_id long")).collect()
+    assert len(got) == len(rows)
+    want = collections.Counter()
+    for i, t, lang in rows:
+        w, ref = (t or "").lower().split(), [(r or "").lower().split() for j, r, x in rows if j in good and x == lang and j != i]
+        m = sum(len((r or "").split()) for j, r, x in rows if j in good and x == lang)
+        want[i, len(w), greedy_phrases(w, ref), m] += 1
+    assert collections.Counter((r.doc_id, r.n_words, r.n_phrases, r.n_reference) for r in got) == want
+    assert all((r.score is None) == (r.n_words == 0) for r in got)
+    assert all(abs(r.cross_bits - r.n_phrases * np.log2(max(2, r.n_reference)) / r.n_words) < 1e-9 for r in got if r.n_words)
+    assert whole_parse_scores(spark, docs, docs.select("doc_id").limit(0)).count() == len(rows)
+    assert whole_parse_scores(spark, docs.limit(0), docs.select("doc_id")).count() == 0
