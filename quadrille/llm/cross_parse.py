@@ -14,6 +14,7 @@ Grams are compared by 55 bits of hash in a bucket.  Defined cases as in ziv_merh
 """
 
 import bisect
+import functools
 import hashlib
 import time
 
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ._store import beside, drop_stored, settle, shared_dir, stored
-from ._text import MULT, mix, powers, small_batches, span_hashes, string_buffers, word_spans
+from ._text import MULT, mix, small_batches
 from .ziv_merhav import own_phrases, words_of
 
 LEVELS, LONG = ((2,), (3,), (4, 5), (6, 7, 8)), 8
 BUCKET = 1 << 20  # about the most grams in a bucket
-CHUNK = 1 << 21  # bytes of text whose grams are packed together
+CHUNK = 1 << 22  # bytes of text whose grams are packed together
+LONG_WORD = 256
+FEW = 20_000  # about the most documents that are looked for by a broadcast of their numbers
 
 
 def table(rows, kinds):
@@ -36,21 +39,46 @@ def table(rows, kinds):
 
 
 def _texter(batches):
-    """Rows (chunk, k, begin, row, doc_id, lang, good, odd, text, own): texts in lower case with one space between words; begin counts the chunk's words before."""
+    """Rows of CHUNK_ROW, a chunk each: its documents and their words in lower case with one space between, packed once for all that read them."""
     from pyspark import TaskContext
 
     chunk = TaskContext.get().partitionId() << 20
-    kinds = {"chunk": pa.int64(), "k": pa.int32(), "begin": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "lang": pa.string(), "good": pa.bool_(), "odd": pa.int64(), "text": pa.string(), "own": pa.int64()}
     for batch in small_batches(batches, most=CHUNK):
-        rows, begin = [], 0
-        for k, (i, lang, good, odd, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "good", "odd", "text")))):
-            words = words_of(text)
-            rows.append((chunk, k, begin, chunk << 16 | k, i, lang, good, odd, " ".join(words), own_phrases(words)))
-            begin += len(words)
-        yield table(rows, kinds)
+        texts, counts, own = [], [], []
+        for words in map(words_of, batch.column("text").to_pylist()):
+            counts.append(len(words))
+            own.append(own_phrases(words))
+            if words:
+                texts.append(" ".join(words))
+        text = " ".join(texts).encode()
+        docs = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "good", "odd"))
+        yield table([(chunk, sum(counts), *docs, counts, own, len(text), pa.Codec("zstd", 3).compress(text, asbytes=True))], CHUNK_ROW)
         chunk += 1
 
 
+def word_hashes(text):
+    """64-bit hashes of the words of a text with one space between, eight bytes at a time; words of over LONG_WORD bytes one by one."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(text, np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    start, end = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
+    size = end - start
+    eights = np.ndarray((len(data),), "<u8", text + bytes(8), 0, (1,))  # the eight bytes from each place on
+    mask = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    h = mix((eights[start] & mask[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(MULT))
+    at = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    done = 8
+    while len(at):
+        h[at] = mix(h[at] * np.uint64(MULT) + (eights[start[at] + done] & mask[np.minimum(size[at] - done, 8)]))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(text[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+@functools.lru_cache(1000)
 def salt(lang):
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "replace"), digest_size=8).digest(), "little"))
 
@@ -69,17 +97,15 @@ def packed(steps):
 
 
 class Chunk:
-    """Documents of a chunk, all or some: their words' hashes one after the other, and how long the matches known so far are."""
-
-    def __init__(self, number, docs, replies, pows):
-        self.number, self.docs, self.k, self.begin = number, docs, docs[0]["k"], docs[0]["begin"]
-        data, offs = string_buffers(pa.array([d["text"] for d in docs], pa.string()))
-        s, e, self.first = word_spans(data, offs)
-        self.words = span_hashes(data, s, e, pows=pows)
-        counts = np.diff(self.first)
-        self.doc, self.end = np.repeat(np.arange(len(docs)), counts), np.repeat(self.first[1:], counts)
-        self.salts = np.array([salt(d["lang"]) for d in docs], dtype=np.uint64)
-        self.good = np.array([d["good"] for d in docs], dtype=bool)
+    """Documents of a chunk: their words' hashes one after the other, and how long the matches known so far are."""
+
+    def __init__(self, row, replies):
+        self.number, self.ids, self.langs, self.odd, self.own, counts = (row[c] for c in ("chunk", "ids", "langs", "odd", "own", "counts"))
+        self.first = np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))
+        self.words = word_hashes(pa.Codec("zstd").decompress(row["text"], row["size"], asbytes=True))
+        self.doc, self.end = np.repeat(np.arange(len(counts)), counts), np.repeat(self.first[1:], counts)
+        self.salts = np.array([salt(x) for x in self.langs], dtype=np.uint64)
+        self.good = np.array(row["good"], dtype=bool)
         self.match, used = np.zeros(len(self.words), np.uint8), {}
         for level, start, steps, ok, n in replies:  # by growing level
             pos = start + np.cumsum(np.frombuffer(steps, "<u2" if len(steps) == 2 * n else "<u4").astype(np.int64))
@@ -90,7 +116,7 @@ class Chunk:
     def messages(self, levels, before, buckets):
         """Rows (bucket, chunk, level, hashes, start, steps, docs, odd): the grams at places that `before` left, by bucket."""
         live, rows = np.arange(len(self.words)) if before is None else self.used.get(before, np.zeros(0, np.int64)), []
-        odd = b"".join(np.array([d["k"], d["odd"]], "<i8").tobytes() for d in self.docs if d["odd"] is not None)
+        odd = b"".join(np.array([k, x], "<i8").tobytes() for k, x in enumerate(self.odd) if x is not None)
         for k in levels:
             at = live[live + k <= self.end[live]]
             if not len(at):
@@ -102,33 +128,32 @@ class Chunk:
             h = ((h[order] & np.uint64((1 << 56) - 2)) | self.good[doc].astype(np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
             edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                rows.append((int(bucket[a]), self.number, k, h[a:b].tobytes(), int(at[a]) + self.begin, packed(np.diff(at[a:b], prepend=at[a])), np.diff(doc[a:b] + self.k, prepend=0).astype("<u2").tobytes(), odd))
+                rows.append((int(bucket[a]), self.number, k, h[a:b].tobytes(), int(at[a]), packed(np.diff(at[a:b], prepend=at[a])), np.diff(doc[a:b], prepend=0).astype("<u2").tobytes(), odd))
         return rows
 
 
 def _chunks(batches):
-    """Chunks from rows sorted by chunk, kind (0 replies, 1 texts) and k."""
-    key, docs, replies, pows = None, [], [], powers(CHUNK + (1 << 16))
+    """Chunks from rows sorted by chunk, kind (0 replies, 1 chunks) and k."""
+    replies, small = [], ("k", "start", "steps", "ok", "size")
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            for r in batch.slice(at, 2000).to_pylist():
-                if r["chunk"] != key:
-                    if docs:
-                        yield Chunk(key, docs, replies, pows)
-                    key, docs, replies = r["chunk"], [], []
-                if r["kind"]:
-                    docs.append(r)
-                else:
-                    replies.append((r["k"], r["start"], r["steps"], r["ok"], r["size"]))
-    if docs:
-        yield Chunk(key, docs, replies, pows)
+        both = zip(*(batch.column(c).to_pylist() for c in small)) if "steps" in batch.schema.names else [None] * batch.num_rows
+        for i, (kind, reply) in enumerate(zip(batch.column("kind").to_pylist(), both)):
+            if kind:
+                yield Chunk({c: batch.column(c)[i].as_py() for c in CHUNK_ROW}, replies)
+                replies = []
+            else:
+                replies.append(reply)
 
 
+LONGS, INTS, STRINGS, BOOLS = (pa.list_(x) for x in (pa.int64(), pa.int32(), pa.string(), pa.bool_()))
+CHUNK_ROW = {"chunk": pa.int64(), "words": pa.int64(), "ids": LONGS, "langs": STRINGS, "good": BOOLS, "odd": LONGS, "counts": INTS, "own": INTS, "size": pa.int32(), "text": pa.binary()}
 MESSAGE = {"bucket": pa.int32(), "chunk": pa.int64(), "level": pa.int32(), "hashes": pa.binary(), "start": pa.int32(), "steps": pa.binary(), "docs": pa.binary(), "odd": pa.binary()}
-REPLY = {"chunk": pa.int64(), "k": pa.int32(), "start": pa.int32(), "steps": pa.binary(), "ok": pa.binary(), "size": pa.int32()}
+REPLY = {"chunk": pa.int64(), "k": pa.int32(), "start": pa.int32(), "steps": pa.binary(), "ok": pa.binary(), "size": pa.int32()}  # size: places here, bytes of text in a chunk
 DOC = {"row": pa.int64(), "doc_id": pa.int64(), "lang": pa.string(), "good": pa.bool_(), "ident": pa.int64(), "n": pa.int64(), "own": pa.int64(), "phrases": pa.int64(), "match": pa.binary(), "at": pa.binary(), "words": pa.binary()}
 ASK = {"row": pa.int64(), "phrases": pa.int64(), "ident": pa.int64(), "key": pa.int64(), "p": pa.int32(), "follow": pa.binary()}
+OFFER = "key long, row long, p int"
 SQL = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean"}
+SQL |= {pa.list_(x): f"array<{n}>" for x, n in SQL.items()}
 
 
 def schema(kinds):
@@ -198,13 +223,13 @@ def _resolver(batches):
         return table(rows, REPLY)
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            bucket, *part = (batch.column(c)[i].as_py() for c in range(len(MESSAGE)))
-            if bucket != held and parts:
-                yield out()
-                parts = []
-            held = bucket
-            parts.append(part)
+        for at in range(0, batch.num_rows, 200):
+            for bucket, *part in zip(*(batch.column(c).slice(at, 200).to_pylist() for c in range(len(MESSAGE)))):
+                if bucket != held and parts:
+                    yield out()
+                    parts = []
+                held = bucket
+                parts.append(part)
     if parts:
         yield out()
 
@@ -257,19 +282,19 @@ def _documents(batches):
     for c in _chunks(batches):
         rows, place = [], c.used.get(LONG, np.zeros(0, np.int64))
         edges = np.searchsorted(place, c.first)
-        for i, d in enumerate(c.docs):
+        for i, odd in enumerate(c.odd):
             a, b = int(c.first[i]), int(c.first[i + 1])
             mine, at = c.match[a:b], place[edges[i] : edges[i + 1]] - a
             phrases, asked = parse(mine, run_ends(mine), {}, 0)
             runs = words = None
-            if len(at) and (d["good"] or asked):
+            if len(at) and (c.good[i] or asked):
                 new = np.flatnonzero(np.concatenate(([True], np.diff(at) > LONG)))  # runs whose words overlap or touch are kept as one
                 spans = np.stack((at[new], at[np.concatenate((new[1:] - 1, [len(at) - 1]))] + LONG), axis=1)
                 runs = np.concatenate((spans.reshape(-1), at)).astype("<i4").tobytes()
                 runs = len(spans).to_bytes(4, "little") + runs
                 words = np.concatenate([c.words[a + x : a + y] for x, y in spans.tolist()]).astype("<u8").tobytes()
-            ident = d["row"] if d["odd"] is None else d["odd"]
-            rows.append((d["row"], d["doc_id"], d["lang"], d["good"], ident, b - a, d["own"], None if asked else phrases, mine.tobytes() if asked else None, runs, words))
+            row = c.number << 16 | i
+            rows.append((row, c.ids[i], c.langs[i], bool(c.good[i]), row if odd is None else odd, b - a, c.own[i], None if asked else phrases, mine.tobytes() if asked else None, runs, words))
         yield table(rows, DOC)
 
 
@@ -380,6 +405,23 @@ def _matcher(batches):
         yield table(rows, kinds)
 
 
+def few(df):
+    return df.limit(FEW + 1).count() <= FEW
+
+
+def only(df, rows):
+    """The rows of df whose numbers `rows` has, where those are so few that df needn't move for it; else df."""
+    return df.join(F.broadcast(rows.select("row")), "row", "left_semi") if few(rows) else df
+
+
+def narrowed(spark, offers, sources, todo):
+    """The offers whose keys the documents in todo have in their runs, the others are never asked for again, and their sources."""
+    keys = todo.select("row", "lang", "at", "words").mapInArrow(_offerer, OFFER).select("key").distinct()
+    offers = stored(spark, offers.join(beside(spark, keys, "keys"), "key", "left_semi").select("key", "row", "p"), "offers")
+    rows = beside(spark, offers.select("row").distinct(), "rows")
+    return offers, stored(spark, sources.join(rows, "row", "left_semi").select(*sources.columns), "sources")
+
+
 def whole_parse_scores(spark, docs, good):
     """Score of every document of docs(doc_id, text, lang) against all documents of its language whose ids are in good(doc_id).
 
@@ -388,20 +430,20 @@ def whole_parse_scores(spark, docs, good):
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("\u0000")).alias("lang"))
     marks = good.where("doc_id is not null").select("doc_id").distinct()
     some = marks.join(d.where("trim(text) <> ''").select("doc_id"), "doc_id", "left_semi").limit(1).count()
-    chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (6 * BUCKET)))
     repeated = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or doc_id is null").select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
     repeated = beside(spark, repeated, "repeated")
     d = d.join(beside(spark, marks.withColumn("good", F.lit(True)), "marks"), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False))) if some else d.withColumn("good", F.lit(True))
     d = d.withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("none", F.col("doc_id").isNull()).join(repeated.withColumn("odd", F.xxhash64("id", "none").bitwiseOR(F.lit(-(1 << 63)))), ["id", "none"], "left")
     path = f"{shared_dir(spark)}/words-{hashlib.blake2b(np.random.bytes(16), digest_size=12).hexdigest()}"
-    d.mapInArrow(_texter, "chunk long, k int, begin int, row long, doc_id long, lang string, good boolean, odd long, text string, own long").write.option("compression", "zstd").parquet(path)
-    texts = spark.read.parquet(path).withColumn("kind", F.lit(1))
+    d.mapInArrow(_texter, schema(CHUNK_ROW)).write.option("compression", "none").parquet(path)
+    texts = spark.read.schema(schema(CHUNK_ROW)).parquet(path).withColumn("kind", F.lit(1))
+    words = texts.agg(F.sum("words")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BUCKET))
     settle(spark)
 
     def chunks(*replies):
         rows = texts
-        if not replies:  # parts of chunks do
+        if not replies:
             return rows
         for r in replies:
             rows = rows.unionByName(r.withColumn("kind", F.lit(0)), allowMissingColumns=True)
@@ -424,7 +466,8 @@ def whole_parse_scores(spark, docs, good):
         settle(spark)
         time.sleep(0.5)
     sources = parsed.where("good and at is not null").select("row", "ident", "lang", "at", "words")
-    offers = stored(spark, sources.mapInArrow(_offerer, "key long, row long, p int"), "offers")
+    offers = stored(spark, sources.mapInArrow(_offerer, OFFER), "offers")
+    held = offers.count()
     todo, known, done, ahead = parsed.where("phrases is null").select("row", "lang", "ident", "match", "at", "words"), None, None, 0
     while True:
         ask = todo.withColumn("known", F.lit(None).cast("array<struct<p:int,length:int>>")) if known is None else todo.join(known.groupBy("row").agg(F.collect_list(F.struct("p", "length")).alias("known")), "row", "left")
@@ -433,14 +476,18 @@ def whole_parse_scores(spark, docs, good):
         done = ended if done is None else done.unionAll(ended)
         if not open_.limit(1).count():
             break
-        need = open_.groupBy("key").agg(F.max(F.expr("length(follow) / 8")).cast("int").alias("need"))
-        places = offers.join(need, "key").groupBy("row").agg(F.collect_list(F.struct("key", "p", "need")).alias("places"))
-        offered = sources.join(places, "row").mapInArrow(_follower, "key long, ident long, follow binary").groupBy("key", "follow").agg(F.min("ident").alias("ident"), F.max("ident").alias("high"))
+        need = beside(spark, open_.groupBy("key").agg(F.max(F.expr("length(follow) / 8")).cast("int").alias("need")), "need")
+        places = stored(spark, offers.join(need, "key").groupBy("row").agg(F.collect_list(F.struct("key", "p", "need")).alias("places")), "places")
+        offered = only(sources, places).join(places, "row").mapInArrow(_follower, "key long, ident long, follow binary").groupBy("key", "follow").agg(F.min("ident").alias("ident"), F.max("ident").alias("high"))
         both = offered.withColumn("kind", F.lit(0)).unionByName(open_.drop("phrases").withColumn("kind", F.lit(1)), allowMissingColumns=True)
         new = stored(spark, both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_matcher, "row long, p int, length int"), "lengths")
         known, ahead = new if known is None else known.unionAll(new), 16 * ahead or 16
-        todo = stored(spark, todo.join(open_.select("row").distinct(), "row", "left_semi"), "todo")
-        del places, offered, both, ask
+        rows = stored(spark, open_.select("row").distinct(), "rows")
+        todo = stored(spark, only(todo, rows) if few(rows) else todo.join(rows, "row", "left_semi"), "todo")
+        del need, places, offered, both, ask, rows
+        if 8 * (todo.agg(F.sum(F.expr("length(at) div 4"))).first()[0] or 0) <= held:
+            offers, sources = narrowed(spark, offers, sources, todo)
+            held = offers.count()
         settle(spark)
     reference = beside(spark, parsed.where("good").groupBy("lang").agg(F.sum("n").alias("m")), "reference")
     bits = lambda n, m: F.col(n) * F.log2(F.greatest(F.col(m), F.lit(2)).cast("double"))

@@ -120,15 +120,19 @@ class Automaton:
 
 def own_phrases(words):
     """Number of phrases of the incremental (dictionary) parse of a sequence by itself."""
-    trie, node, c = {}, 0, 0
+    root, c = {}, 0
+    node = root
     for w in words:
-        key = (node, w)
-        node = trie.get(key)
-        if node is None:
+        if w in node:
+            after = node[w]
+            if after is None:  # a phrase of its own so far
+                after = node[w] = {}
+            node = after
+        else:
             c += 1
-            trie[key] = c
-            node = 0
-    return c + (node != 0)
+            node[w] = None
+            node = root
+    return c + (node is not root)
 
 
 def words_of(text):

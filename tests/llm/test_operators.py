@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import mixing, passages
+from quadrille.llm import cross_parse, mixing, passages
 from quadrille.llm._text import powers
 from quadrille.llm.cross_parse import whole_parse_scores
 from quadrille.llm.cross_polytope import similar_vectors
@@ -750,3 +750,33 @@ def test_whole_reference_parse(spark, corpus):
     assert all(abs(r.cross_bits - r.n_phrases * np.log2(max(2, r.n_reference)) / r.n_words) < 1e-9 for r in got if r.n_words)
     assert whole_parse_scores(spark, docs, docs.select("doc_id").limit(0)).count() == len(rows)
     assert whole_parse_scores(spark, docs.limit(0), docs.select("doc_id")).count() == 0
+
+
+def test_whole_parse_packs_texts_and_forgets_offers(spark, corpus):
+    """Chunks travel packed, words have one hash each however long they are, and late rounds hold the offers of open documents only."""
+    docs = spark.createDataFrame([(i, "en", True, None, f"{t or ''} {'x' * (i % 700)} Été " * 3) for i, t, _, _ in corpus], "doc_id long, lang string, good boolean, odd long, text string")
+    rows = docs.mapInArrow(cross_parse._texter, cross_parse.schema(cross_parse.CHUNK_ROW)).collect()
+    assert sum(len(r.text) for r in rows) < sum(r["size"] for r in rows) / 2
+    words = {i: (t or "").lower().split() for i, t in docs.select("doc_id", "text").collect()}
+    seen, hashes = {}, set()
+    for r in rows:
+        c = cross_parse.Chunk(r, [])
+        for i, a, b in zip(c.ids, c.first[:-1].tolist(), c.first[1:].tolist()):
+            assert b - a == len(words[i])
+            for w, h in zip(words[i], c.words[a:b].tolist()):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    for w in ("a" * n for n in range(1, 600)):
+        hashes.update(cross_parse.word_hashes(f"{w} {w} {w[:-1]}b".encode()).tolist())
+    assert len(hashes) == 2 * 599
+    same = list(range(1, 16))  # two documents in one run of words, a third in another
+
+    def run(row, w):
+        at = np.array([0, len(w), *range(len(w) - 7)], "<i4")
+        return (row, row, "en", bytearray((1).to_bytes(4, "little") + at.tobytes()), bytearray(np.array(w, "<u8").tobytes()))
+
+    sources = spark.createDataFrame([run(1, same), run(2, same[2:]), run(3, range(50, 65))], "row long, ident long, lang string, at binary, words binary")
+    offers = sources.select("row", "lang", "at", "words").mapInArrow(cross_parse._offerer, cross_parse.OFFER)
+    fewer, left = cross_parse.narrowed(spark, offers, sources, sources.where("row = 2"))
+    assert sorted((r.row, r.p) for r in fewer.collect()) == [(1, p) for p in range(2, 8)] + [(2, p) for p in range(6)]
+    assert sorted(r.row for r in left.collect()) == [1, 2]
