@@ -30,7 +30,7 @@ LEVELS, LONG = ((2,), (3,), (4, 5), (6, 7, 8)), 8
 BUCKET = 1 << 20  # about the most grams in a bucket
 CHUNK = 1 << 22  # bytes of text whose grams are packed together
 LONG_WORD = 256
-FEW = 20_000  # about the most documents that are looked for by a broadcast of their numbers
+FEW = 200_000  # the most documents that are looked for by a broadcast of their numbers
 
 
 def table(rows, kinds):
@@ -470,7 +470,11 @@ def whole_parse_scores(spark, docs, good):
     held = offers.count()
     todo, known, done, ahead = parsed.where("phrases is null").select("row", "lang", "ident", "match", "at", "words"), None, None, 0
     while True:
-        ask = todo.withColumn("known", F.lit(None).cast("array<struct<p:int,length:int>>")) if known is None else todo.join(known.groupBy("row").agg(F.collect_list(F.struct("p", "length")).alias("known")), "row", "left")
+        if known is None:
+            ask = todo.withColumn("known", F.lit(None).cast("array<struct<p:int,length:int>>"))
+        else:  # only what is known of documents still open, beside them where that is little
+            lengths = only(known, rows).groupBy("row").agg(F.collect_list(F.struct("p", "length")).alias("known"))
+            ask = todo.join(F.broadcast(lengths) if known.count() <= 500_000 else lengths, "row", "left")
         asked = stored(spark, ask.mapInArrow(_asker(ahead), schema(ASK)), "asked")
         ended, open_ = asked.where("phrases is not null").select("row", F.col("phrases").alias("found")), asked.where("phrases is null")
         done = ended if done is None else done.unionAll(ended)
@@ -484,7 +488,7 @@ def whole_parse_scores(spark, docs, good):
         known, ahead = new if known is None else known.unionAll(new), 16 * ahead or 16
         rows = stored(spark, open_.select("row").distinct(), "rows")
         todo = stored(spark, only(todo, rows) if few(rows) else todo.join(rows, "row", "left_semi"), "todo")
-        del need, places, offered, both, ask, rows
+        del need, places, offered, both, ask
         if 8 * (todo.agg(F.sum(F.expr("length(at) div 4"))).first()[0] or 0) <= held:
             offers, sources = narrowed(spark, offers, sources, todo)
             held = offers.count()
