@@ -14,7 +14,6 @@ Grams are compared by 55 bits of hash in a bucket.  Defined cases as in ziv_merh
 """
 
 import bisect
-import functools
 import hashlib
 import time
 
@@ -78,7 +77,6 @@ def word_hashes(text):
     return h
 
 
-@functools.lru_cache(1000)
 def salt(lang):
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "replace"), digest_size=8).digest(), "little"))
 
@@ -104,7 +102,8 @@ class Chunk:
         self.first = np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))
         self.words = word_hashes(pa.Codec("zstd").decompress(row["text"], row["size"], asbytes=True))
         self.doc, self.end = np.repeat(np.arange(len(counts)), counts), np.repeat(self.first[1:], counts)
-        self.salts = np.array([salt(x) for x in self.langs], dtype=np.uint64)
+        salts = {x: salt(x) for x in set(self.langs)}
+        self.salts = np.array([salts[x] for x in self.langs], dtype=np.uint64)
         self.good = np.array(row["good"], dtype=bool)
         self.match, used = np.zeros(len(self.words), np.uint8), {}
         for level, start, steps, ok, n in replies:  # by growing level
