@@ -8,7 +8,8 @@ meet in buckets of hashes, and of each gram's documents the smallest and largest
 the asking document holds it.  Positions whose gram no other document has are out from then on.  What matches eight words or more lies
 in runs of such positions, and a phrase ends no later than its run does.  So a phrase that starts in a run asks for its
 length: places of the reference with the same eight words send the words that follow, sorted, and the neighbours in that order hold
-the longest match.  The parse goes on as if a match lasted to the end of its run and is repeated where that was wrong.
+the longest match.  The parse goes on as if a match lasted to the end of its run and is repeated where that was wrong.  Once
+the places that share eight words with the documents still open are few, each of those is parsed beside the words at all of them.
 
 Grams are compared by 55 bits of hash in a bucket.  Defined cases as in ziv_merhav.py.
 """
@@ -30,6 +31,7 @@ BUCKET = 1 << 20  # about the most grams in a bucket
 CHUNK = 1 << 22  # bytes of text whose grams are packed together
 LONG_WORD = 256
 FEW = 200_000  # the most documents that are looked for by a broadcast of their numbers
+PAIRS = 1 << 21  # the most places of others, counted for each open document, whose words are brought together to end the rounds
 
 
 def table(rows, kinds):
@@ -404,6 +406,74 @@ def _matcher(batches):
         yield table(rows, kinds)
 
 
+def _spanner(batches):
+    """Rows (row, ident, sizes, words): stretches of a source that cover its places with the same eight words as the open document `open`."""
+    kinds = {"row": pa.int64(), "ident": pa.int64(), "sizes": pa.binary(), "words": pa.binary()}
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            rows = []
+            for row, ident, lang, at, words, places in zip(*(batch.slice(i, 500).column(c).to_pylist() for c in ("open", "ident", "lang", "at", "words", "places"))):
+                runs, p = Runs(at, words, lang), np.sort(np.array(places, np.int64))
+                new = np.flatnonzero(np.concatenate(([True], np.diff(p) > LONG)))
+                sizes = p[np.concatenate((new[1:] - 1, [len(p) - 1]))] + LONG - p[new]
+                parts = [runs.words[a : a + n] for a, n in zip(runs.offset(p[new]).tolist(), sizes.tolist())]
+                rows.append((row, ident, sizes.astype("<i4").tobytes(), np.concatenate(parts).astype("<u8").tobytes()))
+            yield table(rows, kinds)
+
+
+class Lengths(dict):
+    """Lengths of a document's matches by place, found where they are asked for; others are (sizes, words) of stretches with eight words in common."""
+
+    def __init__(self, runs, ends, others):
+        self.runs, self.ends, lang = runs, ends, salt(runs.lang)
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i4").astype(np.int64) for x, _ in others)])
+        self.words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8") for _, x in others)])
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.words))  # words to the stretch's end
+        at = np.flatnonzero(left >= LONG)
+        keys = grams(self.words, np.full(len(at), lang), at, LONG).view(np.int64)
+        order = np.argsort(keys)
+        self.keys, self.at, self.left = keys[order], at[order], left[at[order]]
+
+    def __contains__(self, p):
+        return True
+
+    def __missing__(self, p):
+        key, most = self.runs.keys([p])[0], int(self.ends[p]) + LONG - p
+        a, b = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+        at, left, mine = self.at[a:b], np.minimum(self.left[a:b], most), int(self.runs.offset(p))
+        mine, best, done, step = self.runs.words[mine : mine + most], LONG, LONG, 16
+        while len(at):  # those that agree so far
+            step = max(16, min(2 * step, (1 << 20) // len(at)))
+            n = np.arange(done, min(done + step, most))
+            same = (self.words[np.minimum(at[:, None] + n, len(self.words) - 1)] == mine[n]) & (n < left[:, None])
+            whole = same.all(axis=1)
+            best = max(best, done + int(np.where(whole, len(n), same.argmin(axis=1)).max(initial=0)) if len(n) else best)
+            done += len(n)
+            at, left = at[whole & (left > done)], left[whole & (left > done)]
+        self[p] = best
+        return best
+
+
+def _finisher(batches):
+    """Rows (row, found): phrases of open documents (kind 1), each after the stretches of others (kind 0)."""
+    held, others = None, []
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            rows = []
+            for kind, row, ident, lang, match, at, words, sizes in zip(*(batch.slice(i, 500).column(c).to_pylist() for c in ("kind", "row", "ident", "lang", "match", "at", "words", "sizes"))):
+                if row != held:
+                    held, others = row, []
+                if not kind:
+                    others.append((ident, sizes, words))
+                    continue
+                match = np.frombuffer(match, np.uint8)
+                ends = run_ends(match)
+                lengths = Lengths(Runs(at, words, lang), ends, [x for other, *x in others if other != ident])
+                rows.append((row, parse(match, ends, lengths, 0)[0]))
+                others = []
+            yield table(rows, {"row": pa.int64(), "found": pa.int64()})
+
+
 def few(df):
     return df.limit(FEW + 1).count() <= FEW
 
@@ -421,6 +491,19 @@ def narrowed(spark, offers, sources, todo):
     return offers, stored(spark, sources.join(rows, "row", "left_semi").select(*sources.columns), "sources")
 
 
+def finished(spark, offers, sources, todo):
+    """Rows (row, found) of all open documents, each parsed beside the words of others that match eight of its own; None where those are more than PAIRS."""
+    keys = stored(spark, todo.select("row", "lang", "at", "words").mapInArrow(_offerer, OFFER).select(F.col("row").alias("open"), "key").distinct(), "keys")
+    times = beside(spark, keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")), "times")
+    if (offers.join(times, "key").agg(F.sum("times")).first()[0] or 0) > PAIRS:
+        return None
+    places = offers.join(keys, "key").where("row <> open").groupBy("open", "row").agg(F.collect_list("p").alias("places"))
+    places = stored(spark, places, "places")
+    others = only(sources, places).join(places, "row").mapInArrow(_spanner, "row long, ident long, sizes binary, words binary")
+    both = todo.withColumn("kind", F.lit(1)).unionByName(others.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    return stored(spark, both.repartition("row").sortWithinPartitions("row", "kind").mapInArrow(_finisher, "row long, found long"), "finished")
+
+
 def whole_parse_scores(spark, docs, good):
     """Score of every document of docs(doc_id, text, lang) against all documents of its language whose ids are in good(doc_id).
 
@@ -484,14 +567,20 @@ def whole_parse_scores(spark, docs, good):
         offered = only(sources, places).join(places, "row").mapInArrow(_follower, "key long, ident long, follow binary").groupBy("key", "follow").agg(F.min("ident").alias("ident"), F.max("ident").alias("high"))
         both = offered.withColumn("kind", F.lit(0)).unionByName(open_.drop("phrases").withColumn("kind", F.lit(1)), allowMissingColumns=True)
         new = stored(spark, both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_matcher, "row long, p int, length int"), "lengths")
-        known, ahead = new if known is None else known.unionAll(new), 16 * ahead or 16
         rows = stored(spark, open_.select("row").distinct(), "rows")
-        todo = stored(spark, only(todo, rows) if few(rows) else todo.join(rows, "row", "left_semi"), "todo")
+        if known is not None:  # at first all of them are open
+            todo = stored(spark, only(todo, rows) if few(rows) else todo.join(rows, "row", "left_semi"), "todo")
+        known, ahead = new if known is None else known.unionAll(new), 16 * ahead or 16
         del need, places, offered, both, ask
-        if 8 * (todo.agg(F.sum(F.expr("length(at) div 4"))).first()[0] or 0) <= held:
+        size = todo.agg(F.sum(F.expr("length(at) div 4"))).first()[0] or 0
+        if 8 * size <= held:
             offers, sources = narrowed(spark, offers, sources, todo)
             held = offers.count()
         settle(spark)
+        rest = finished(spark, offers, sources, todo) if 8 * size <= PAIRS else None
+        if rest is not None:
+            done = done.unionAll(rest)
+            break
     reference = beside(spark, parsed.where("good").groupBy("lang").agg(F.sum("n").alias("m")), "reference")
     bits = lambda n, m: F.col(n) * F.log2(F.greatest(F.col(m), F.lit(2)).cast("double"))
     out = parsed.select("row", "doc_id", "lang", "n", "own", "phrases").join(done, "row", "left").join(reference, "lang", "left")

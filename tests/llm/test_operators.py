@@ -780,3 +780,49 @@ def test_whole_parse_packs_texts_and_forgets_offers(spark, corpus):
     fewer, left = cross_parse.narrowed(spark, offers, sources, sources.where("row = 2"))
     assert sorted((r.row, r.p) for r in fewer.collect()) == [(1, p) for p in range(2, 8)] + [(2, p) for p in range(6)]
     assert sorted(r.row for r in left.collect()) == [1, 2]
+
+
+def test_open_documents_end_the_rounds_together(spark, monkeypatch):
+    """Few open documents are parsed at once beside the words of others, as rounds of lookups and the greedy parse by brute force have it."""
+    rng, long, asked = random.Random(5), words(91, 420, 60), []
+    rows = [(i, " ".join(long[20 * i : 20 * i + 28] + words(900 + i, 5, 60)), "en") for i in range(20)]  # matches end inside the run
+    rows += [(30, " ".join(long), "en"), (31, " ".join(long[3:300]), "en"), (31, " ".join(long[100:400]), "en"), (None, " ".join(long[50:200]), "en")]
+    rows += [(40 + k, " ".join(w for a in (rng.randrange(380) for _ in range(9)) for w in long[a : a + rng.randint(8, 40)]), "en") for k in range(20)]
+    rows += [(70, "la " * 90, "en"), (71, "la " * 40 + "so " + "la " * 30, "en"), (72, " ".join(long[:60]), "fr"), (73, "", "en")]
+    good = {*range(0, 20), 31, 41, 44, 47, 70, 71, 72}
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i,) for i in good], "doc_id long")
+    want = collections.Counter((i, greedy_phrases(t.split(), [r.split() for j, r, x in rows if j in good and x == lang and j != i])) for i, t, lang in rows)
+    keep = cross_parse.stored
+    monkeypatch.setattr(cross_parse, "stored", lambda spark, df, name: asked.append(name) or keep(spark, df, name))
+    for pairs, together in ((cross_parse.PAIRS, True), (0, False)):
+        monkeypatch.setattr(cross_parse, "PAIRS", pairs)
+        asked.clear()
+        got = whole_parse_scores(spark, docs, marks).collect()
+        assert collections.Counter((r.doc_id, r.n_phrases) for r in got) == want
+        assert (asked.count("asked") == 1) == together
+
+
+def test_lengths_beside_the_words_of_others():
+    """Lengths of matches are the longest by brute force: up to the end of a stretch, of the document's run, and past many equal words."""
+    rng = np.random.default_rng(3)
+    mine = rng.integers(0, 2, 900).astype("<u8")
+    mine[300:600] = 7
+    others = [mine[a : a + n].copy() for a, n in ((0, 40), (5, 300), (250, 400), (290, 40), (310, 200), (640, 8))]
+    at = np.arange(len(mine) - 7)
+    runs = cross_parse.Runs((1).to_bytes(4, "little") + np.concatenate(([0, len(mine)], at)).astype("<i4").tobytes(), mine.tobytes(), "en")
+    ends = np.where(at < 700, 700, len(mine) - 8)
+    sent = [(np.array([len(x)], "<i4").tobytes(), x.tobytes()) for x in others[:2]]
+    sent.append((np.array([len(x) for x in others[2:]], "<i4").tobytes(), np.concatenate(others[2:]).tobytes()))
+    lengths, found = cross_parse.Lengths(runs, ends, sent), 0
+    for p in range(0, 700, 7):
+        best = 0
+        for x in others:
+            for q in range(len(x) - 7):
+                n = 0
+                while n < min(len(x) - q, 708 - p) and x[q + n] == mine[p + n]:
+                    n += 1
+                best = max(best, n)
+        if best >= 8:
+            found += 1
+            assert lengths[p] == best
+    assert found > 50
