@@ -123,13 +123,20 @@ class Chunk:
             if not len(at):
                 continue
             h = grams(self.words, self.salts[self.doc[at]], at, k)
-            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-            bucket, at, doc = bucket[order], at[order], self.doc[at][order]
-            h = ((h[order] & np.uint64((1 << 56) - 2)) | self.good[doc].astype(np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                rows.append((int(bucket[a]), self.number, k, h[a:b].tobytes(), int(at[a]), packed(np.diff(at[a:b], prepend=at[a])), np.diff(doc[a:b], prepend=0).astype("<u2").tobytes(), odd))
+            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+            order = np.argsort(bucket, kind="stable")
+            at, edges = at[order], np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+            doc, full = self.doc[at], np.flatnonzero(np.diff(edges))
+            h = ((h[order] & np.uint64((1 << 56) - 2)) | self.good[doc]).astype("<u8", copy=False).view(np.uint8)
+            h = np.ascontiguousarray(h.reshape(-1, 8)[:, :7])  # at once: slices of seven in eight bytes are slow to copy
+            steps, docs = np.diff(at, prepend=0), np.diff(doc, prepend=0)
+            first = edges[full]
+            steps[first], docs[first] = 0, doc[first]
+            docs = docs.astype("<u2")
+            if steps.max() <= 0xFFFF:
+                steps = steps.astype("<u2")
+            for x, a, b in zip(full.tolist(), first.tolist(), edges[full + 1].tolist()):
+                rows.append((x, self.number, k, h[a:b].tobytes(), int(at[a]), steps[a:b].tobytes() if steps.itemsize == 2 else packed(steps[a:b]), docs[a:b].tobytes(), odd))
         return rows
 
 
