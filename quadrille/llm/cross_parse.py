@@ -323,10 +323,11 @@ class Runs:
         p = np.asarray(p, dtype=np.int64)
         return grams(self.words, np.full(len(p), salt(self.lang)), self.offset(p), LONG).view(np.int64)
 
-    def follow(self, p, end):
-        """Words after the first LONG ones at p and before end, as bytes that sort."""
-        a = int(self.offset(p))
-        return self.words[a + LONG : a + end - p].astype(">u8").tobytes()
+    def follows(self, p, end):
+        """For each place of p the words after the first LONG ones and before its end, as bytes that sort."""
+        p, text = np.asarray(p, dtype=np.int64), self.words.astype(">u8").tobytes()
+        a = 8 * (self.offset(p) + LONG)
+        return [text[x:y] for x, y in zip(a.tolist(), (a + 8 * (end - p - LONG)).tolist())]
 
 
 def _offerer(batches):
@@ -350,7 +351,7 @@ def _asker(ahead):
                         rows.append((row, phrases, ident, None, None, None))
                         continue
                     runs = Runs(at, words, lang)
-                    rows += [(row, None, ident, key, p, runs.follow(p, int(ends[p]) + LONG)) for p, key in zip(asked, runs.keys(asked).tolist())]
+                    rows += [(row, None, ident, key, p, follow) for p, key, follow in zip(asked, runs.keys(asked).tolist(), runs.follows(asked, ends[asked] + LONG))]
                 yield table(rows, ASK)
 
     return run
@@ -364,10 +365,9 @@ def _follower(batches):
             rows = []
             for ident, lang, at, words, places in zip(*(batch.slice(i, 200).column(c).to_pylist() for c in ("ident", "lang", "at", "words", "places"))):
                 runs = Runs(at, words, lang)
-                last = dict(zip(runs.at.tolist(), last_of_run(runs.at).tolist()))
-                for x in places:
-                    high = min(last[x["p"]], x["p"] + x["need"])
-                    rows.append((x["key"], ident, runs.follow(x["p"], high + LONG)))
+                p, need = (np.array([x[c] for x in places], np.int64) for c in ("p", "need"))
+                high = np.minimum(last_of_run(runs.at)[np.searchsorted(runs.at, p)], p + need)
+                rows += [(x["key"], ident, follow) for x, follow in zip(places, runs.follows(p, high + LONG))]
             yield table(rows, kinds)
 
 
