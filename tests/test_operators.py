@@ -5,13 +5,15 @@ import os
 import pytest
 
 from quadrille.engine import BASE, Engine, tables_source
-from quadrille.operators.datalog import KEY, Contradiction, Rule, delete_quads, insert_quads, materialise_rules, naive, parse_rules, stratify
+from quadrille.operators import datalog
+from quadrille.operators.datalog import KEY, Contradiction, Program, Rule, delete_quads, insert_quads, materialise_rules, naive, parse_rules, stratify
 from quadrille.operators.ottr import expand_document
 from quadrille.operators.owl import entail
 from quadrille.operators.rml import confine, map_quads
 from quadrille.operators.shacl import Shapes, Validator, validate
 from quadrille.operators.update import Conflict, Store
 from quadrille.operators.vqs import Config, NavGraph, estimated_answers, greedy_search, lookup, random_search
+from quadrille.plans import store
 from quadrille.sources.quads import QuadSource
 from quadrille.sources.rdf import nquads_lines
 from quadrille.streaming.ingest import maintain, quad_stream
@@ -38,6 +40,46 @@ def test_seminaive_equals_naive_and_grouped_shapes(chain):
     assert same(materialise_rules(chain, rules), naive(chain, rules))
 
 
+def test_rule_filters_subjects_before_a_join_on_a_shared_value(spark):
+    text = " ".join(f"ex:s{i} ex:in ex:n{i % 2} ." for i in range(40)) + " ex:s0 a ex:Rich . ex:s2 a ex:Rich . ex:s3 a ex:Rich ."
+    src = QuadSource.from_text(spark, P + text)
+    rules = parse_rules("prefix ex: <http://ex/> ex:peer[?a, ?b] :- ex:Rich[?a], ex:Rich[?b], ex:in[?a, ?n], ex:in[?b, ?n], ?a != ?b .")
+    program = Program(src, rules)
+    seen, join = [], datalog.P.join
+
+    def counted(a, b, *more):
+        out = join(a, b, *more)
+        seen.append(out.df.count())
+        return out
+
+    datalog.P.join = counted
+    try:
+        assert program.heads(rules[0], None, src.quads).count() == 2
+    finally:
+        datalog.P.join = join
+    assert max(seen) <= 5  # pairs of rich subjects, not of all that share a value
+
+
+def test_many_rows_are_spread_by_their_number(spark, monkeypatch):
+    text = P + "ex:a ex:p ex:b . ex:b ex:p ex:c . ex:c ex:p ex:a . ex:c ex:p ex:d . ex:d ex:p ex:e . ex:e ex:p ex:f ."
+    want = materialise_rules(QuadSource.from_text(spark, text), parse_rules(CLOSURE))
+    monkeypatch.setattr(store, "ROWS", 1)
+    again = QuadSource.from_text(spark, text)
+    assert len(again.quads.inputFiles()) > 2
+    assert same(materialise_rules(again, parse_rules(CLOSURE)), want)
+
+
+def test_large_dictionaries_are_hashed_not_sorted(spark, chain):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = Engine(chain).sparql(f"SELECT ?x ?y WHERE {{ ?x <{BASE}p> ?y }}")
+        assert df.count() == 4
+        assert "SortMergeJoin" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_incremental_equals_from_scratch(spark, chain):
     rules = parse_rules(CLOSURE)
     new = QuadSource.from_text(spark, P + "ex:d ex:p ex:e .")
