@@ -12,6 +12,7 @@ from ..functions.scalar import CASTS, cast, equal, less
 from ..functions.terms import ANY, BNODE, ID, IRI, LIT, STRING, Val
 from ..plans import plan as P
 from ..plans.plan import Plan, columns
+from ..plans.store import materialise, spread
 from ..sparql.compile import Compiler
 from ..sparql.parser import parse_query
 from .owl import Ontology
@@ -135,6 +136,8 @@ class Validator:
         """(f, v) of a path from the focus nodes, distinct."""
         pairs = self.compiler.pairs(path, None)
         pairs = pairs.with_vals({"f": pairs.val("__s"), "v": pairs.val("__o")}, {"f", "v"}).only(["f", "v"])
+        if path[0] == "link" or path[0] == "inv" and path[1][0] == "link":  # a scan, quick to count: all that follows is by focus node
+            pairs = Plan(spread(pairs.df, pairs.df.count(), *columns("f", pairs.vars["f"])), pairs.vars, pairs.must)
         out = P.join(focus, pairs)
         return Plan(out.df.distinct(), out.vars, frozenset({"f", "v"}))
 
@@ -153,11 +156,12 @@ class Validator:
         add = lambda component, plan: out.append((component, plan, shape, path_text(at)))
         num = lambda t: int(t[1])
         if path_node:
-            for t in s.get(shape, SH + "minCount"):
-                if num(t) > 0:
-                    add("minCount", self.by_count(focus, vals, lambda n, t=t: n < num(t)))
-            for t in s.get(shape, SH + "maxCount"):
-                add("maxCount", self.by_count(focus, vals, lambda n, t=t: n > num(t)))
+            limits = [(name, bad(num(t))) for name, bad in (("minCount", lambda k: lambda n: n < k), ("maxCount", lambda k: lambda n: n > k)) for t in s.get(shape, SH + name) if name == "maxCount" or num(t) > 0]
+            counts = self.counts(focus, vals) if limits else None
+            if len(limits) > 1:  # counted once for all of them
+                counts = Plan(materialise(counts.df, "counts"), counts.vars, counts.must)
+            for name, bad in limits:
+                add(name, counts.filter(bad(counts.val("n").col)).only(["f"]))
             if s.one(shape, "uniqueLang", (0, ""))[1] == "true":
                 d = self.decoded(vals, ["v"])
                 lang = d.val("v").lang()
@@ -296,12 +300,16 @@ class Validator:
 
     def by_count(self, focus, vals, bad):
         """Focus nodes whose number of distinct values is bad."""
+        counts = self.counts(focus, vals)
+        return counts.filter(bad(counts.val("n").col)).only(["f"])
+
+    def counts(self, focus, vals):
+        """The number (n) of distinct values of each focus node (f)."""
         keys = columns("f", vals.vars["f"])
-        n = vals.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("q_n"))
-        counted = Plan(n, {"f": vals.vars["f"]}, frozenset({"f"})).df
-        plan = Plan(counted.withColumnRenamed("q_n", "q0_n"), {"f": vals.vars["f"], "n": Val.integer(F.lit(1)).rep}, frozenset({"f", "n"}))
-        both = P.join(focus, plan, "left")
-        return both.filter(bad(F.coalesce(both.val("n").col, F.lit(0)))).only(["f"])
+        n = vals.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("q0_n"))
+        rep = Val.integer(F.lit(1)).rep
+        both = P.join(focus, Plan(n, {"f": vals.vars["f"], "n": rep}, frozenset({"f", "n"})), "left")
+        return both.with_vals({"n": Val(rep, F.coalesce(both.val("n").col, F.lit(0)))}, {"n"})
 
     @staticmethod
     def datatype_ok(v, dt):

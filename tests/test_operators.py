@@ -266,3 +266,13 @@ def test_canonical_labels_do_not_depend_on_names(spark):
     text = "@prefix ex: <http://ex/> . _:{0} ex:p _:{1} . _:{1} ex:p _:{2} . _:{2} ex:q 'end' . _:{3} ex:p _:{3} . ex:s ex:p _:{0} ."
     a, b = (sorted(r.value for r in canonical_lines(quads_from_text(spark, text.format(*n))).collect()) for n in ("wxyz", "zyxw"))
     assert a == b and len(a) == 5 and sum("_:c14n" in x for x in a) == 5
+
+
+def test_counts_of_a_path_are_taken_once_and_spread(spark, monkeypatch):
+    src = QuadSource.from_text(spark, P + "ex:a a ex:C . ex:b a ex:C . ex:c a ex:C . " + " ".join(f"ex:o{i} ex:of ex:{'a' if i < 5 else 'b'} ." for i in range(7)))
+    shape = P + "ex:S sh:targetClass ex:C ; sh:property [ sh:path [ sh:inversePath ex:of ] ; sh:minCount 1 ; sh:maxCount 3 ] ."
+    monkeypatch.setattr(store, "ROWS", 1)
+    report = validate(src, shape)
+    assert sorted((r.focus, r.component) for r in report.collect()) == [("http://ex/a", "maxCount"), ("http://ex/c", "minCount")]
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 2  # only the lookups of terms are left
