@@ -8,7 +8,7 @@ from quadrille.engine import BASE, Engine, tables_source
 from quadrille.operators import datalog
 from quadrille.operators.datalog import KEY, Contradiction, Program, Rule, delete_quads, insert_quads, materialise_rules, naive, parse_rules, stratify
 from quadrille.operators.ottr import expand_document
-from quadrille.operators.owl import entail
+from quadrille.operators.owl import Ontology, entail
 from quadrille.operators.rml import confine, map_quads
 from quadrille.operators.shacl import Shapes, Validator, validate
 from quadrille.operators.update import Conflict, Store
@@ -276,3 +276,16 @@ def test_counts_of_a_path_are_taken_once_and_spread(spark, monkeypatch):
     assert sorted((r.focus, r.component) for r in report.collect()) == [("http://ex/a", "maxCount"), ("http://ex/c", "minCount")]
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 2  # only the lookups of terms are left
+
+
+def test_axioms_are_found_by_id_before_terms_are_joined(spark, monkeypatch):
+    src = QuadSource.from_text(spark, P + "ex:A rdfs:subClassOf ex:B . ex:p a owl:FunctionalProperty . ex:x a ex:A ; ex:p ex:y .")
+    met, as_terms = [], QuadSource.as_terms
+
+    def counted(self, derived=None):
+        met.append(self.quads.count())
+        return as_terms(self, derived)
+
+    monkeypatch.setattr(QuadSource, "as_terms", counted)
+    assert len(Ontology.from_source(src).triples) == 2
+    assert met == [2]
